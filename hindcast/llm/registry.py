@@ -1,7 +1,7 @@
 """All queries of this subpackage, with SQL where there is some."""
 
-from hindcast.llm import lm_scoring, substring_dedup, token_counts
+from hindcast.llm import lm_scoring, near_dedup, substring_dedup, token_counts
 
-MODULES = (substring_dedup, lm_scoring, token_counts)
+MODULES = (near_dedup, substring_dedup, lm_scoring, token_counts)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
