@@ -14,9 +14,9 @@ def components(edges: DataFrame, shared: B.Shared, name: str = "labels") -> Data
     Each round's labels are written, so lineage stays short and a lost executor costs one round at most.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = shared.write(both, f"{name}-links")
+    both = shared.write(both, f"{name}-links", few=True)
     labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label")
-    labels = shared.write(labels, f"{name}-0")
+    labels = shared.write(labels, f"{name}-0", few=True)
     step = 0
     while True:
         step += 1
@@ -24,7 +24,7 @@ def components(edges: DataFrame, shared: B.Shared, name: str = "labels") -> Data
         spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
         moved = spread.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("label"), (F.least("to", F.coalesce("far", "to")) != F.col("label")).alias("moved"))
-        moved = shared.write(moved, f"{name}-{step}")
+        moved = shared.write(moved, f"{name}-{step}", few=True)
         again = not moved.where("moved").isEmpty()
         shared.drop(f"{name}-{step - 1}")
         labels = moved.select("node", "label")

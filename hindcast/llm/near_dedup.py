@@ -8,9 +8,9 @@ weighted Jaccard similarity.  Points are made up to a horizon at which all regis
 and further for documents where one is not.
 
 Candidates: texts with equal words are one node.  Nodes that share a band are each compared with the
-band's least node.  Where one of them is not similar to it, all nodes of that band are compared with
-each other in tiles of bounded size, none of which emits more links than it has nodes.  Similarity
-is computed from the whole texts.
+band's least node.  Where a band's nodes are not all in one component after that, they are compared
+with each other in tiles of bounded size, none of which emits more links than it has components.
+Similarity is computed from the whole texts.
 
 Texts of fewer words than a shingle have one shingle of all their words.  Null texts and texts
 without words are never duplicates.  A null ``doc_id`` counts as the largest; rows with equal ids are
@@ -34,23 +34,29 @@ SHINGLE, SIMILAR, BANDS, ROWS, TILE = 5, 0.8, 40, 6, 128
 _KEYS = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def contents(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each text's words and their places."""
+    place = np.arange(len(ids)) - np.repeat(first[:-1], np.diff(first))
+    each = B.mix(ids + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return B.mix(B.per_word(each, first).view(np.uint64) + np.diff(first).astype(np.uint64))
+
+
 def multisets(block: B.Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, shingle and count of each distinct shingle of each text, by text; and each text's content hash."""
     _, _, ids, first = block.words()
     n = np.diff(first)
     doc = np.repeat(np.arange(len(block)), n)
-    place = np.arange(len(ids)) - first[:-1][doc]
-    content = B.mix(B.per_word((B.mix(ids + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64), first).view(np.uint64) + n.astype(np.uint64))
-    at = np.flatnonzero((place + size <= n[doc]) | ((place == 0) & (n[doc] < size)))
+    left = np.repeat(first[1:], n) - np.arange(len(ids))  # words from here to the text's end
+    at = np.flatnonzero((left >= size) | (left == np.repeat(n, n)))
     s = np.zeros(len(at), np.uint64)
     for j in range(size):
-        there = at + j < first[1:][doc[at]]
+        there = left[at] > j
         s += np.where(there, ids[np.minimum(at + j, len(ids) - 1)], np.uint64(j)) * _KEYS[j] if len(at) else s
     s = B.mix(s)
-    own, where, count = np.unique(B.mix(s ^ B.mix(doc[at].astype(np.uint64))), return_index=True, return_counts=True)
-    order = np.argsort(doc[at][where], kind="stable")
+    _, where, count = np.unique(B.mix(s ^ B.mix(doc[at].astype(np.uint64))), return_index=True, return_counts=True)
+    order = np.argsort(where)
     where, count = where[order], count[order]
-    return doc[at][where], s[where], count, content
+    return doc[at][where], s[where], count, contents(ids, first)
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -107,8 +113,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in B.blocks(batches, B.BLOCK_BYTES // 2):
-        *_, content = multisets(block)
-        yield pa.RecordBatch.from_arrays([pa.array(block.doc_id), pa.array(content.view(np.int64)), pa.array([block.text(i) or b"" for i in range(len(block))], pa.binary()).cast(pa.string())], ["doc_id", "node", "text"])
+        _, _, ids, first = block.words()
+        yield pa.RecordBatch.from_arrays([pa.array(block.doc_id), pa.array(contents(ids, first).view(np.int64)), pa.array([block.text(i) or b"" for i in range(len(block))], pa.binary()).cast(pa.string())], ["doc_id", "node", "text"])
 
 
 def overlaps(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -132,8 +138,8 @@ def _verify(similar: float):
     return run
 
 
-def forest(texts: list[bytes], similar: float, size: int = SHINGLE) -> list[tuple[int, int]]:
-    """Links that join what similarities of ``similar`` or more join, one fewer than texts at most."""
+def forest(texts: list[bytes], labels: list[int], similar: float, size: int = SHINGLE) -> list[tuple[int, int]]:
+    """Links that join what similarities of ``similar`` or more join, none within a label."""
     doc, s, c, _ = multisets(B.Block(np.arange(len(texts)), texts), size)
     n, total = len(texts), np.bincount(doc, c, len(texts))
     nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)  # the second time a shingle stands is an element of its own
@@ -150,7 +156,10 @@ def forest(texts: list[bytes], similar: float, size: int = SHINGLE) -> list[tupl
         has[of[i:j], place[i:j] - lo] = 1
         both += has @ has.T
     near = both >= similar * (total[:, None] + total[None, :] - both)
-    root, links = list(range(n)), []
+    lead: dict[int, int] = {}
+    root, links = [lead.setdefault(x, i) for i, x in enumerate(labels)], []
+    of_label = np.array(root)
+    near &= of_label[:, None] != of_label[None, :]
 
     def top(x: int) -> int:
         while root[x] != x:
@@ -166,9 +175,9 @@ def forest(texts: list[bytes], similar: float, size: int = SHINGLE) -> list[tupl
 
 def _tile(similar: float):
     def run(t: pa.Table) -> pa.Table:
-        node = t.column("node").to_pylist()
-        links = forest(t.column("text").cast(pa.binary()).to_pylist(), similar)
-        return pa.table({"a": pa.array([node[i] for i, _ in links], pa.int64()), "b": pa.array([node[j] for _, j in links], pa.int64())})
+        label = t.column("label").to_pylist()
+        links = forest(t.column("text").cast(pa.binary()).to_pylist(), label, similar)
+        return pa.table({"a": pa.array([label[i] for i, _ in links], pa.int64()), "b": pa.array([label[j] for _, j in links], pa.int64())})
 
     return run
 
@@ -181,22 +190,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     shares = nodes.select("node", F.explode("bands").alias("band"))
     groups = shares.groupBy("band").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    members = shared.write(shares.join(groups, "band"), "members")
+    members = shared.write(shares.join(groups, "band"), "members", few=True)
     pairs = members.where("node != lead").select("node", "lead").distinct()
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node")
-    own = shared.write(texts.mapInArrow(_nodes, "doc_id long, node long, text string").join(wanted, ["doc_id", "node"], "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    own = shared.write(texts.mapInArrow(_nodes, "doc_id long, node long, text string").join(wanted, ["doc_id", "node"], "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts", few=True)
     compared = pairs.join(own.withColumnRenamed("text", "a_text"), "node").join(own.select(F.col("node").alias("lead"), F.col("text").alias("b_text")), "lead")
     compared = compared.select(F.col("node").alias("a"), F.col("lead").alias("b"), "a_text", "b_text").mapInArrow(_verify(similar), "a long, b long, similar boolean")
-    compared = shared.write(compared, "compared")
-    unlike = compared.where("not similar").select(F.col("a").alias("node"), F.col("b").alias("lead"))
-    mixed = members.join(unlike, ["node", "lead"], "left_semi").select("band").distinct()
+    compared = shared.write(compared, "compared", few=True)
+    labels = components(compared.where("similar").select("a", "b"), shared, "first")
+    known = members.select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
     tiles = F.ceil(F.col("n") / TILE)
-    dealt = members.join(mixed, "band").select("band", "node", "n", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("mine"))
+    dealt = known.join(mixed, "band").select("band", "node", "label", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("mine"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("node", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
-    inside = dealt.join(own, "node").groupBy("tile").applyInArrow(_tile(similar), "a long, b long")
-    links = compared.where("similar").select("a", "b").unionByName(inside)
-    labels = components(links, shared)
+    dealt = dealt.select("node", "label", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
+    useful = dealt.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("tile")
+    inside = dealt.join(useful, "tile", "left_semi").join(own, "node").groupBy("tile").applyInArrow(_tile(similar), "a long, b long")
+    over = components(inside, shared, "second").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    labels = labels.join(over, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
     of = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     sizes = signed.groupBy("node").agg(F.count("*").alias("rows"))
     of = of.join(sizes, "node")

@@ -139,7 +139,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     shared, buckets = B.Shared(spark, "substring-dedup"), B.n_buckets(spark)
     texts = shared.write(B.pair(docs, doc_id, text, carry=True).mapInArrow(B.states, B.BLOCK_SCHEMA), "texts").select("block", "payload")
-    symbols = shared.write(B.answer(texts.mapInArrow(ask_symbols(buckets), B.BLOCK_SCHEMA), shared_by_two), "symbols")
+    symbols = shared.write(B.answer(texts.mapInArrow(ask_symbols(buckets), B.BLOCK_SCHEMA), shared_by_two), "symbols", few=True)
 
     def flags(right: pa.Table, which: int) -> list[tuple[int, np.ndarray]]:
         rows = right.filter(pa.array(right.column("which").to_numpy() == which)) if "which" in right.column_names else right
