@@ -1,7 +1,7 @@
 """All queries of this subpackage, with SQL where there is some."""
 
-from hindcast.llm import lm_scoring, mixing, near_dedup, nearest, substring_dedup, token_counts, warc
+from hindcast.llm import decontamination, language_id, lm_scoring, mixing, near_dedup, nearest, quality, substring_dedup, token_counts, warc
 
-MODULES = (near_dedup, mixing, substring_dedup, warc, nearest, lm_scoring, token_counts)
+MODULES = (near_dedup, mixing, substring_dedup, language_id, warc, nearest, quality, decontamination, lm_scoring, token_counts)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
