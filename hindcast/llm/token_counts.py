@@ -76,17 +76,25 @@ def _frequencies(buckets: int):
             no = B.task_block(seq)
             s, e, first = units(block)
             keys, at, place = np.unique(B.hashes(block.buf, s, e), return_index=True, return_inverse=True)
+            data = block.buf.tobytes()
+            texts = [data[i:j] for i, j in zip(s[at].tolist(), e[at].tolist())]
+            bucket = B.bucket_of(keys, buckets).tolist()
+            order = sorted(range(len(keys)), key=lambda i: (bucket[i], texts[i]))  # texts side by side pack well
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = np.arange(len(keys))
             doc = np.repeat(np.arange(len(block)), np.diff(first))
-            own, freq = np.unique(doc * np.int64(max(len(keys), 1)) + place, return_counts=True)
-            doc, place = np.divmod(own, max(len(keys), 1))
+            own, freq = np.unique(doc * np.int64(max(len(keys), 1)) + rank[place], return_counts=True)
+            doc, rank = np.divmod(own, max(len(keys), 1))
             pairs = np.searchsorted(doc, np.arange(len(block) + 1))
-            rows = [(0, no, -1, B.pack(block.doc_id, block.length, pairs, B.narrow(place), B.narrow(freq)))]
-            cut, size = B.slices(keys, buckets), (e - s)[at]
+            step = np.diff(rank, prepend=0)
+            begins = pairs[:-1][pairs[1:] > pairs[:-1]]
+            step[begins] = rank[begins]
+            rows = [(0, no, -1, B.pack(block.doc_id, block.length, pairs, B.planes(step), B.narrow(freq)))]
+            cut = np.searchsorted(np.array(bucket, np.int64), np.arange(buckets + 1))
             for b in range(buckets):
                 if cut[b + 1] > cut[b]:
-                    mine = slice(cut[b], cut[b + 1])
-                    text = b"".join(block.buf[i:j].tobytes() for i, j in zip(s[at[mine]], e[at[mine]]))
-                    rows.append((1, no, b, B.pack(keys[mine], B.narrow(size[mine]), np.frombuffer(text, np.uint8))))
+                    mine = [texts[i] for i in order[cut[b] : cut[b + 1]]]
+                    rows.append((1, no, b, B.pack(B.narrow(np.array([len(t) for t in mine])), np.frombuffer(b"".join(mine), np.uint8))))
             yield B.rows_batch(rows)
 
     return run
@@ -99,20 +107,20 @@ def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     table = shared.write(B.pair(docs, doc_id, text).mapInArrow(_frequencies(B.n_buckets(spark)), B.BLOCK_SCHEMA), "pairs", ["kind"])
 
     def count(got: list[list[np.ndarray]]) -> list[np.ndarray]:
-        distinct, first, place = np.unique(np.concatenate([g[0] for g in got]), return_index=True, return_inverse=True)
-        begin = np.concatenate(([0], np.cumsum([len(g[0]) for g in got])))
-        of = np.searchsorted(begin, first, "right") - 1
-        ends = [np.cumsum(g[1], dtype=np.int64) for g in got]
-        texts = []
-        for b, i in zip(of, first - begin[of]):
-            stop = ends[b][i]
-            texts.append(got[b][2][stop - got[b][1][i] : stop].tobytes().decode("utf-8", "replace"))
-        n = B.narrow(pieces(path, texts))[place]
-        return [n[i:j] for i, j in zip(begin[:-1], begin[1:])]
+        known: dict[bytes, int] = {}
+        places = []
+        for size, text in got:
+            cut, text = np.concatenate(([0], np.cumsum(size, dtype=np.int64))).tolist(), text.tobytes()
+            places.append(np.array([known.setdefault(text[i:j], len(known)) for i, j in zip(cut[:-1], cut[1:])], np.int64))
+        n = B.narrow(pieces(path, [t.decode("utf-8", "replace") for t in known]))
+        return [n[p] for p in places]
 
     def total(_: int, state: bytes, parts: list[np.ndarray]) -> pa.Table:
-        ids, size, pairs, place, freq = B.unpack(state)
-        n = B.per_word(B.joined(parts, np.int64)[place] * freq, pairs) if len(place) else np.zeros(len(ids), np.int64)
+        ids, size, pairs, step, freq = B.unpack(state)
+        run = np.cumsum(B.unplanes(step), dtype=np.int64)
+        begins = np.repeat(pairs[:-1], np.diff(pairs))
+        rank = run - np.where(begins > 0, run[begins - 1], 0) if len(run) else run
+        n = B.per_word(B.joined(parts, np.int64)[rank] * freq, pairs) if len(rank) else np.zeros(len(ids), np.int64)
         return pa.table({"doc_id": B.ids_out(ids), "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
 
     return B.told(table.where("kind = 0"), B.answer(table.where("kind = 1"), count), total, SCHEMA)
