@@ -9,6 +9,7 @@ sorted keys split into one slice a bucket, and answers come back aligned with th
 from __future__ import annotations
 
 import atexit
+import ctypes
 import struct
 import tempfile
 import uuid
@@ -21,11 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SEGMENT = 1 << 20
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: after all others
 BLOCK_SCHEMA = "kind int, block long, bucket int, payload binary"
 
+try:  # give large arrays back to the system at once, so that a reused worker is no larger than its task
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+except (OSError, AttributeError):
+    pass
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SAME = np.arange(256, dtype=np.uint8)
@@ -176,6 +182,15 @@ def task_block(seq: int) -> int:
     return (TaskContext.get().partitionId() << 24) + seq
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The bytes of 32-bit numbers by significance, which packs better."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def unplanes(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.reshape(4, -1).T).view("<u4").ravel()
+
+
 def per_word(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` by text, of which text i has ``first[i]`` to ``first[i + 1]``."""
     kind = np.float64 if values.dtype.kind == "f" else np.int64
@@ -190,7 +205,7 @@ def ids_out(doc_id: np.ndarray) -> pa.Array:
 
 
 def n_buckets(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def slices(keys: np.ndarray, n: int) -> np.ndarray:
@@ -272,7 +287,10 @@ class Shared:
     def path(self, part: str) -> str:
         return f"{self.root}/{part}"
 
-    def write(self, df: DataFrame, part: str, by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, part: str, by: list[str] | None = None, few: bool = False) -> DataFrame:
+        """Writes and rereads.  ``few``: small results of a shuffle, in a file for some 16 of its partitions but for two a core at least."""
+        if few:
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
         w = df.write.option("compression", "none" if "payload" in df.columns else "zstd")
         (w.partitionBy(*by) if by else w).parquet(self.path(part))
         return self.spark.read.schema(df.schema).parquet(self.path(part))

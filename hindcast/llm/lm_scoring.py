@@ -79,21 +79,31 @@ def probe(filters: np.ndarray, bits: int, buckets: int, keys: np.ndarray) -> np.
     return out
 
 
-def _learn(buckets: int, fold: int, of: int):
+def _tokens(block: B.Block, fold: int, of: int):
+    """Tokens with an end token before each text and after the last, where each text's begin, and whether to learn from it."""
+    crc = B.crc32(block.doc_id)
+    _, _, h, first = block.words(B.LOWER)
+    return np.append(np.insert(h, first[:-1], END), END), first + np.arange(len(first)), (crc >= 0) & (crc % of != fold), crc % of == fold
+
+
+def _unigrams(buckets: int, fold: int, of: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for seq, block in enumerate(B.blocks(batches)):
-            no, crc = B.task_block(seq), B.crc32(block.doc_id)
-            learn = (crc >= 0) & (crc % of != fold)
-            _, _, h, first = block.words(B.LOWER)
-            tokens = np.append(np.insert(h, first[:-1], END), END)  # an end token before each text and after the last
-            del h
-            first = first + np.arange(len(first))
+            no = B.task_block(seq)
+            tokens, first, learn, held = _tokens(block, fold, of)
             keys, place = np.unique(tokens, return_inverse=True)
-            known = np.repeat(learn, np.diff(first))
-            uni = np.bincount(place[1:][known], minlength=len(keys))
-            yield B.rows_batch([(0, no, -1, B.pack(block.doc_id, crc % of == fold, first, keys, B.narrow(place)))] + B.asks(1, no, buckets, keys, uni))
-            both, n = np.unique(pairs(tokens)[known], return_counts=True)
-            yield B.rows_batch(B.asks(2, no, buckets, both, n))
+            n = np.bincount(place[1:][np.repeat(learn, np.diff(first))], minlength=len(keys))
+            yield B.rows_batch([(0, no, -1, B.pack(block.doc_id, held, first, keys, B.planes(place)))] + B.asks(1, no, buckets, keys, n))
+
+    return run
+
+
+def _bigrams(buckets: int, fold: int, of: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in B.blocks(batches):
+            tokens, first, learn, _ = _tokens(block, fold, of)
+            both, n = np.unique(pairs(tokens)[np.repeat(learn, np.diff(first))], return_counts=True)
+            yield B.rows_batch(B.asks(2, -1, buckets, both, n))
 
     return run
 
@@ -107,7 +117,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
     """Scores of all texts by a model of those whose crc32(id as text) modulo ``of`` is not ``fold``."""
     spark = docs.sparkSession
     shared, buckets = B.Shared(spark, "lm-scoring"), B.n_buckets(spark)
-    table = shared.write(B.pair(docs, doc_id, text).mapInArrow(_learn(buckets, fold, of), B.BLOCK_SCHEMA), "ngrams", ["kind"])
+    texts = B.pair(docs, doc_id, text)
+    table = shared.write(texts.mapInArrow(_unigrams(buckets, fold, of), B.BLOCK_SCHEMA), "words", ["kind"])
 
     def unigrams(got):
         keys, n, place, begin = _sum(got)
@@ -120,8 +131,8 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
         data = B.pack(keys[keep], n[keep], np.bincount(levels(n[keep]), minlength=LEVELS + 1))
         return pa.table({"bucket": pdf.column("bucket")[:1], "payload": pa.array([data], pa.binary())})
 
-    answers = shared.write(B.answer(table.where("kind = 1"), unigrams), "unigrams")
-    twos = shared.write(table.where("kind = 2").groupBy("bucket").applyInArrow(bigrams, "bucket int, payload binary"), "bigrams")
+    answers = shared.write(B.answer(table.where("kind = 1"), unigrams), "unigrams", few=True)
+    twos = shared.write(texts.mapInArrow(_bigrams(buckets, fold, of), B.BLOCK_SCHEMA).groupBy("bucket").applyInArrow(bigrams, "bucket int, payload binary"), "bigrams", few=True)
 
     def totals(batches):
         for b in batches:
@@ -150,7 +161,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
         return pa.table({"bucket": pdf.column("bucket")[:1], "payload": pa.array([made.tobytes()], pa.binary())})
 
     filters = np.zeros(buckets * bits // 8, np.uint8)  # max_bits at most
-    for r in grams.groupBy("bucket").applyInArrow(build, "bucket int, payload binary").toLocalIterator():
+    for r in grams.groupBy("bucket").applyInArrow(build, "bucket int, payload binary").collect():
         filters[r.bucket * bits // 8 : (r.bucket + 1) * bits // 8] = np.frombuffer(r.payload, np.uint8)
     shared.drop("bigrams")
     sent = spark.sparkContext.broadcast(filters)
@@ -159,7 +170,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
     def score(_: int, state: bytes, parts: list[np.ndarray]) -> pa.Table:
         ids, held, first, keys, place = B.unpack(state)
         flt, mean, count = sent.value, means(), B.joined(parts, np.int64)
-        place, first = place.astype(np.int64), first.astype(np.int64)
+        place, first = B.unplanes(place).astype(np.int64), first.astype(np.int64)
         n = np.diff(first)
         log_all = np.log10(n_all + v_all + 1)
         base = B.per_word(np.log10(count + 1)[place[1:]], first) - n * log_all
