@@ -198,19 +198,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     compared = compared.select(F.col("node").alias("a"), F.col("lead").alias("b"), "a_text", "b_text").mapInArrow(_verify(similar), "a long, b long, similar boolean")
     compared = shared.write(compared, "compared", few=True)
     labels = components(compared.where("similar").select("a", "b"), shared, "first")
-    known = members.select("band", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    tiles = F.ceil(F.col("n") / TILE)
-    dealt = known.join(mixed, "band").select("band", "node", "label", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).alias("mine"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("node", "label", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")).alias("tile"))
+    known = members.select("band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = known.groupBy("band", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    mixed = mixed.select("band", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / TILE).alias("mains"), F.ceil((F.col("n") - F.col("top.c")) / TILE).alias("others"))
+    dealt = known.join(mixed, "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    upto = lambda c, f: F.transform(F.sequence(F.lit(0), F.col(c) - 1), lambda i: F.xxhash64("band", *f(i)))
+    # the band's largest component needs no comparing with itself: its nodes go once to each tile of the others
+    of_main = upto("others", lambda i: (F.lit("main"), i, "mine"))
+    of_other = F.concat(upto("others", lambda i: (F.lit("other"), F.least("mine", i), F.greatest("mine", i))), upto("mains", lambda i: (F.lit("main"), "mine", i)))
+    dealt = dealt.select("node", "label", F.explode(F.when(F.col("label") == F.col("main"), of_main).otherwise(of_other)).alias("tile"))
     useful = dealt.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("tile")
     inside = dealt.join(useful, "tile", "left_semi").join(own, "node").groupBy("tile").applyInArrow(_tile(similar), "a long, b long")
     over = components(inside, shared, "second").select(F.col("node").alias("label"), F.col("label").alias("to"))
     labels = labels.join(over, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
     of = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    sizes = signed.groupBy("node").agg(F.count("*").alias("rows"))
-    of = of.join(sizes, "node")
+    of = of.join(signed.groupBy("node").agg(F.count("*").alias("rows")), "node")
     classes = of.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
     of = of.join(classes, "label").select("node", "class_id", "class_size")
     found = signed.select("doc_id", "node").join(of, "node", "left")
