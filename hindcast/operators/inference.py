@@ -153,7 +153,7 @@ def model_confidence_sets(losses: DataFrame, keys: list[str], order: str, model:
     whole = whole.withColumn("here", F.count("*").over(Window.partitionBy(*keys, order))).where("here = models")
     kinds = {f.name: f.dataType.simpleString() for f in losses.schema if f.name in keys}
 
-    def run(key, rows: pa.Table) -> pa.Table:
+    def run(key, rows):
         wide = rows.to_pandas().pivot(index=order, columns=model, values=value).sort_index()
         found = confidence_set(wide.to_numpy(float), **how)
         names = list(wide.columns)

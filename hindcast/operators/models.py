@@ -66,7 +66,7 @@ def volatilities(series: str, rows: pa.Table, decay: float) -> pa.Table:
 def fhs_ewma(panel: DataFrame, decay: float) -> DataFrame:
     """Past returns over their volatility, times tomorrow's: scenarios for each day from all days up to it."""
 
-    def fold(key, rows: pa.Table) -> pa.Table:
+    def fold(key, rows):
         return volatilities(key[0].as_py(), rows, decay)
 
     s = panel.where("ret is not null").select("series", "pos", "ret").groupBy("series").applyInArrow(fold, "series string, pos long, ret double, sigma double")

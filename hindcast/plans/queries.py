@@ -18,7 +18,7 @@ from hindcast.sources import panel as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 SIZE, K = 20, 50
-TEST = F.col("date") >= F.lit(SPLITS.test).cast("date")
+TEST = f"date >= DATE '{SPLITS.test}'"
 QUERIES: dict[str, Query] = {}
 
 
