@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from hindcast.llm import blocks as B
 from hindcast.llm.components import components
 
-SHINGLE, SIMILAR, BANDS, ROWS, TILE = 5, 0.8, 40, 6, 128
+SHINGLE, SIMILAR, BANDS, ROWS, TILE = 5, 0.8, 40, 6, 256
 _KEYS = np.random.default_rng(5).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
