@@ -2,7 +2,7 @@
 
 Words are runs of letters, digits and non-ASCII characters, in lower case (ASCII and Latin-1).  An item's
 seeds are its trigrams whose chance at any place, by the words' shares of all words of all
-documents, is ``RARE`` or less, and its ``LEAST`` rarest in any case, so that a passage that has spread
+documents, is ``RARE`` or less, or too small for one to be expected at all, and its ``LEAST`` rarest in any case, so that a passage that has spread
 keeps its seeds.  A seed found in a document marks the stretch the item would cover there and
 ``PAD`` words on either side; stretches that overlap are one.  Word-level local alignment (match +2,
 other word -1, word too many or too few -1) is divided by its greatest value, twice the item's words.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
 
-N, RARE, LEAST, PAD, SCORE, SLICE = 3, 1e-8, 8, 8, 0.5, 4 << 20
+N, RARE, LEAST, PAD, SCORE, SLICE = 3, 1e-8, 12, 8, 0.5, 4 << 20
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 _KEYS = np.random.default_rng(8).integers(0, 2**63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,7 +92,7 @@ class Items:
             for j in range(N):
                 chance *= p[j : j + len(chance)]
             order = np.argsort(chance, kind="stable")
-            own = order[: max(LEAST, int((chance <= RARE).sum()))]
+            own = order[: max(LEAST, int((chance <= max(RARE, 0.5 / max(total, 1))).sum()))]
             keys.append(_grams(w)[own]), item.append(np.full(len(own), i)), offset.append(own)
         none = np.zeros(0, np.int64)
         keys, self.item, self.offset = (np.concatenate(x) if x else none for x in (keys, item, offset))
