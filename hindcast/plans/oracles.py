@@ -124,7 +124,7 @@ SQL = {
     "neighbour_lists": f"WITH {PANEL}{_nn(5)} SELECT t, string_agg(s::VARCHAR, ';' ORDER BY rank) AS neighbours FROM nn GROUP BY t",
     "cutoff_ties": f"WITH {PANEL}{_nn(K + 1)}, d AS (SELECT t, max(d) FILTER (rank = {K}) AS a, max(d) FILTER (rank = {K + 1}) AS b FROM nn GROUP BY t) SELECT 'all' AS series, count(*) AS n, count(*) FILTER (a = b) AS exact, count(*) FILTER (b - a <= 1e-12 * greatest(1, b)) AS near, round(min(b - a), 6) + 0.0 AS least_gap FROM d WHERE b IS NOT NULL",
     "exclusion_comparison": f"WITH {PANEL}{_nn()}{_risk('nn', 'r0')}{_scored('r0', 's0')}{_nn(radius=125, name='nn5', first=False)}{_risk('nn5', 'r5')}{_scored('r5', 's5')} SELECT count(*) AS n, round(avg(s0.pinball), 8) + 0.0 AS near, round(avg(s5.pinball), 8) + 0.0 AS far, round(avg(s5.pinball - s0.pinball), 8) + 0.0 AS difference, round(avg(s5.var - s0.var), 8) + 0.0 AS var_difference FROM s0 JOIN s5 USING (t)",
-    "skipped_forecasts": f"WITH {PANEL} SELECT 'no features or no candidates' AS reason, count(*) AS n, max(pos) AS last FROM panel WHERE pos < {SIZE + 126}",
+    "skipped_forecasts": f"WITH {PANEL} SELECT 'no features or no candidates' AS reason, count(*) FILTER (pos < {SIZE + 126}) AS n, max(pos) FILTER (pos < {SIZE + 126}) AS last FROM panel",
     "mutual_information": f"WITH {PANEL}, x AS (SELECT tau, ret AS x, lead(ret, tau) OVER (PARTITION BY tau ORDER BY pos) AS y FROM panel, (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS tau) WHERE ret IS NOT NULL), c AS (SELECT tau, least(floor((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 16), 15) AS bx, least(floor((y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) * 16), 15) AS b_y FROM x WHERE y IS NOT NULL WINDOW w AS (PARTITION BY tau)), n AS (SELECT tau, bx, b_y, count(*)::DOUBLE AS n FROM c GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY tau) AS al, sum(n) OVER (PARTITION BY tau, bx) AS nx, sum(n) OVER (PARTITION BY tau, b_y) AS ny FROM n) SELECT tau, round(sum(n / al * ln(n * al / (nx * ny))), 8) + 0.0 AS mi FROM m GROUP BY tau",
     "duplicate_checks": f"WITH {PANEL} SELECT count(*) AS n, count(DISTINCT date) AS dates, max(pos) + 1 AS positions, count(*) FILTER (ret IS NULL) AS no_return FROM panel",
     "loss_matrix": f"WITH {_models()} SELECT date, " + ", ".join(f"round(max(pinball) FILTER (model = '{m}'), 8) + 0.0 AS {m}" for m in ("fhs_ewma", "gap_hs", "rolling_hs", "window_knn")) + " FROM s GROUP BY date",
