@@ -106,16 +106,18 @@ def top(distances: np.ndarray, k: int) -> np.ndarray:
     return some[np.argsort(distances[some], kind="stable")][:k]
 
 
-def retrieve(panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.ndarray]], np.ndarray], columns: tuple[str, ...], k: int, radius: int = 0, queries: F.Column | str = "true") -> DataFrame:
+def retrieve(panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.ndarray]], np.ndarray], columns: tuple[str, ...], k: int, radius: int = 0, queries: F.Column | str = "true", draws: int | None = None) -> DataFrame:
     """``SCHEMA`` rows for positions for which ``queries`` holds.
 
     ``features`` makes a matrix, a row a position, from a series' ``columns``; rows with a value that isn't
     finite are no candidates, and as queries they give no row, nor does a query without candidates or
-    one that ``metric`` refuses (see ``skipped``).
+    one that ``metric`` refuses (see ``skipped``).  With ``draws``, ``metric`` makes a metric from a draw's number,
+    each query gives a row a draw, and ``draw`` comes last.
     """
     held = panel.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", *columns, "next_loss"))).alias("rows"))
     chunks = panel.where(queries).groupBy("series", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list("pos")).alias("asked"))
-    work = chunks.join(held, "series").repartition("series", "chunk").select("series", "asked", *(F.col("rows")[c].alias(c) for c in (*columns, "next_loss")))
+    chunks = chunks.crossJoin(F.broadcast(panel.sparkSession.range(draws or 1).withColumnRenamed("id", "draw")))  # a row a draw
+    work = chunks.join(held, "series").repartition("series", "chunk", "draw").select("series", "asked", "draw", *(F.col("rows")[c].alias(c) for c in (*columns, "next_loss")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,6 +128,8 @@ def retrieve(panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.
                     return np.array((x.flatten() if pa.types.is_list(x.type) else x).to_numpy(zero_copy_only=False), float)
 
                 f, loss = features({c: get(c) for c in columns}), get("next_loss")
+                draw = b.column("draw")[i].as_py()
+                measure = metric if draws is None else metric(draw)
                 good = np.isfinite(f).all(axis=1)
                 out = []
                 for t in b.column("asked")[i].as_py():
@@ -133,15 +137,15 @@ def retrieve(panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.
                     if not good[t] or not len(c):
                         continue
                     try:
-                        d = metric(f, t, c)
+                        d = measure(f, t, c)
                     except ValueError:
                         continue
                     best = top(d, k)
-                    out.append({"series": b.column("series")[i].as_py(), "t": t, "neighbours": c[best].tolist(), "distances": d[best].tolist(), "losses": loss[c[best]].tolist()})
-                kinds = [("series", pa.string()), ("t", pa.int64()), ("neighbours", pa.list_(pa.int64())), ("distances", pa.list_(pa.float64())), ("losses", pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
+                    out.append({"series": b.column("series")[i].as_py(), "t": t, "neighbours": c[best].tolist(), "distances": d[best].tolist(), "losses": loss[c[best]].tolist(), "draw": draw})
+                kinds = [("series", pa.string()), ("t", pa.int64()), ("neighbours", pa.list_(pa.int64())), ("distances", pa.list_(pa.float64())), ("losses", pa.list_(pa.float64())), ("draw", pa.int64())]
+                yield pa.RecordBatch.from_pylist(out, pa.schema(kinds if draws else kinds[:-1]))
 
-    return work.mapInArrow(run, SCHEMA)
+    return work.mapInArrow(run, SCHEMA + (", draw long" if draws else ""))
 
 
 def window_features(size: int, z: bool = False):

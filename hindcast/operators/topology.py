@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.config import TOPOLOGY, Topology
+from hindcast.config import STATE, TOPOLOGY, Topology
+from hindcast.operators import controls
 from hindcast.operators import retrieval as R
 
 
@@ -103,8 +104,9 @@ MODES = ("h1_weighted", "h0_weighted", "h0_h1_weighted", "h1_first", "h1_first_a
 
 
 def window_feature(window: np.ndarray, t: Topology = TOPOLOGY, mode: str = "h1_weighted") -> np.ndarray:
-    z = R.standardise(window[None])[0]
-    h0, h1 = persistence(thin(embed(z, t.tau, t.dimension), t.points))
+    """Landscape of one window, a row a day; of several columns each is standardised, and a point holds all their delays."""
+    z = R.standardise(window.reshape(len(window), -1).T)
+    h0, h1 = persistence(thin(np.concatenate([embed(c, t.tau, t.dimension) for c in z], axis=1), t.points))
     grid = np.linspace(0, t.upper, t.steps)
     if mode == "h1_weighted":
         return landscape(h1, grid, t.weights)
@@ -122,29 +124,69 @@ def window_feature(window: np.ndarray, t: Topology = TOPOLOGY, mode: str = "h1_w
     raise ValueError(f"unknown mode: {mode}")
 
 
-def landscapes(panel: DataFrame, size: int, t: Topology = TOPOLOGY, mode: str = "h1_weighted") -> DataFrame:
-    """A feature array for each position with a whole window; windows are dealt over the cluster."""
+def landscapes(panel: DataFrame, size: int, t: Topology = TOPOLOGY, mode: str = "h1_weighted", columns: tuple[str, ...] = ("ret",)) -> DataFrame:
+    """A feature array for each position with a whole window of ``columns``; windows are dealt over the cluster."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("series").orderBy("pos").rowsBetween(-(size - 1), 0)
-    w = panel.select("series", "pos", F.collect_list("ret").over(by).alias("window")).where(F.size("window") == size)
+    w = panel.select("series", "pos", F.collect_list(F.when(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, F.array(*columns))).over(by).alias("window")).where(F.size("window") == size)
     w = w.repartition("series", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("window").flatten().to_numpy().reshape(-1, size)
+            x = b.column("window").flatten().flatten().to_numpy().reshape(-1, size, len(columns))
             yield pa.RecordBatch.from_arrays([b.column("series"), b.column("pos"), pa.array([window_feature(row, t, mode).tolist() for row in x], pa.list_(pa.float64()))], ["series", "pos", "feature"])
 
     return w.mapInArrow(run, "series string, pos long, feature array<double>")
 
 
-def topology_knn(panel: DataFrame, size: int, k: int, radius: int = 0, queries="true", t: Topology = TOPOLOGY, mode: str = "h1_weighted") -> DataFrame:
-    """Retrieval by landscapes, each coordinate scaled by the query's eligible history."""
-    f = landscapes(panel, size, t, mode)
-    width = {"h0_h1_weighted": 2, "h1_layers": len(t.weights)}.get(mode, 1) * t.steps + (mode == "h1_first_area")
-    none = F.array_repeat(F.lit(float("nan")), width)
-    wide = panel.join(f, ["series", "pos"], "left").withColumn("feature", F.coalesce("feature", none))
-    return R.retrieve(wide, R.scaled_euclidean, lambda s: s["feature"].reshape(-1, width), ("feature",), k, radius, queries)
+def width(t: Topology = TOPOLOGY, mode: str = "h1_weighted") -> int:
+    return {"h0_h1_weighted": 2, "h1_layers": len(t.weights)}.get(mode, 1) * t.steps + (mode == "h1_first_area")
+
+
+def blended(states: int, alpha: float, radius: int) -> R.Metric:
+    """``alpha`` of the distance of states, the first columns, and the rest of that of features.
+
+    States are scaled by all eligible days with a state, features by those that have a feature too.
+    """
+
+    def run(f: np.ndarray, t: int, c: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(c))
+        if alpha < 1:
+            total += (1 - alpha) * R.scaled_euclidean(f[:, states:], t, c)
+        if alpha > 0:
+            known = np.flatnonzero(np.isfinite(f[: R.eligible(t, len(f), radius), :states]).all(axis=1))
+            total += alpha * R.scaled_euclidean(f[:, :states], t, known)[np.searchsorted(known, c)]
+        return total
+
+    return run
+
+
+def placebo(features, seed: int):
+    """Features of the days that have them, dealt to those days at random: a placebo that looks ahead, for contrast only."""
+
+    def run(s: dict[str, np.ndarray]) -> np.ndarray:
+        f = features(s).copy()
+        at = np.flatnonzero(np.isfinite(f).all(axis=1))
+        f[at] = f[np.random.default_rng(seed).permutation(at)]
+        return f
+
+    return run
+
+
+def topology_knn(panel: DataFrame, size: int, k: int, radius: int = 0, queries="true", t: Topology = TOPOLOGY, mode: str = "h1_weighted", alpha: float = 0.0, state: tuple[str, ...] = STATE, columns: tuple[str, ...] = ("ret",), placebo_seed: int | None = None, control_seed: int | None = None, draws: int | None = None) -> DataFrame:
+    """Retrieval by landscapes, each coordinate scaled by the query's eligible history.
+
+    Days need all of ``state``, whatever ``alpha``.  With ``placebo_seed`` features are dealt anew over all days;
+    with ``control_seed`` and ``draws`` over each query's eligible ones, once a draw.
+    """
+    f, n = landscapes(panel, size, t, mode, columns), width(t, mode)
+    wide = panel.join(f, ["series", "pos"], "left").withColumn("feature", F.coalesce("feature", F.array_repeat(F.lit(float("nan")), n)))
+    shape = lambda s: s["feature"].reshape(-1, n)
+    shape = shape if placebo_seed is None else placebo(shape, placebo_seed)
+    metric = blended(len(state), alpha, radius)
+    made = metric if draws is None else lambda draw: controls.permuted(metric, control_seed or 0, draw)
+    return R.retrieve(wide, made, lambda s: np.column_stack([*(s[c] for c in state), shape(s)]), (*state, "feature"), k, radius, queries, draws)
 
 
 def mutual_information(panel: DataFrame, taus: range = range(1, 6), bins: int = 16) -> DataFrame:
@@ -190,3 +232,49 @@ def false_neighbours(x: np.ndarray, tau: int, dimension: int, ratio: float = 10.
 def choose_dimension(x: np.ndarray, tau: int, dimensions: range = range(2, 6), accept: float = 0.05) -> int:
     rates = {m: false_neighbours(x, tau, m) for m in dimensions}
     return next((m for m in dimensions if rates[m] <= accept), min(rates, key=lambda m: (rates[m], m)))
+
+
+def embedding_choice(panel: DataFrame, train: str = "true", taus: range = range(1, 6), bins: int = 16, dimensions: range = range(2, 6), least: int = 200) -> DataFrame:
+    """Delay and dimension of each series, from the returns for which ``train`` holds; series with fewer than ``least`` give no row."""
+    from pyspark.sql import Window
+
+    p = panel.where(train).where("ret is not null").select("series", "pos", "ret").withColumn("n", F.count("*").over(Window.partitionBy("series"))).where(F.col("n") >= least)
+    tau = first_minimum(mutual_information(p, taus, bins))
+    packed = p.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", "ret"))).alias("rows")).select("series", F.col("rows.ret").alias("x")).join(tau, "series")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [choose_dimension(R.standardise(x.values.to_numpy()[None])[0], lag.as_py(), dimensions) for x, lag in zip(b.column("x"), b.column("tau"))]
+            yield pa.RecordBatch.from_arrays([b.column("series"), b.column("tau"), pa.array(found, pa.int64())], ["series", "tau", "dimension"])
+
+    return packed.select("series", "tau", "x").mapInArrow(run, "series string, tau long, dimension long")
+
+
+def shuffle_test(panel: DataFrame, size: int, windows: int, draws: int, seed: int = 1, t: Topology = TOPOLOGY) -> DataFrame:
+    """How far landscapes of evenly spaced windows lie from those of the same days in random order.
+
+    A row a window: mean distance of the window to its shuffles and of the shuffles to each other, their difference,
+    and the share of shuffles that lie as central as the window or more.
+    """
+    from pyspark.sql import Window
+
+    by, whole = Window.partitionBy("series").orderBy("pos"), Window.partitionBy("series")
+    w = panel.select("series", "pos", F.collect_list("ret").over(by.rowsBetween(-(size - 1), 0)).alias("window")).where(F.size("window") == size)
+    w = w.withColumn("i", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(whole))
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda j: F.rint(j * (F.col("n") - 1) / max(windows - 1, 1)))
+    w = w.where(F.array_contains(spaced, F.col("i").cast("double"))).select("series", "pos", "window").repartition("series", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for series, pos, x in zip(b.column("series").to_pylist(), b.column("pos").to_pylist(), b.column("window")):
+                x, rng = x.values.to_numpy(), np.random.default_rng((seed, pos))
+                f = np.array([window_feature(x, t), *(window_feature(rng.permutation(x), t) for _ in range(draws))])
+                d = np.sqrt(np.maximum(((f[:, None] - f[None]) ** 2).sum(axis=2), 0))
+                mean = d.sum(axis=1) / draws
+                apart = float(d[1:, 1:].sum() / (draws * (draws - 1))) if draws > 1 else None
+                out.append({"series": series, "pos": pos, "to_shuffles": float(mean[0]), "among_shuffles": apart, "difference": None if apart is None else float(mean[0]) - apart, "central_share": float((mean[1:] <= mean[0]).mean())})
+            kinds = [("series", pa.string()), ("pos", pa.int64()), *((c, pa.float64()) for c in ("to_shuffles", "among_shuffles", "difference", "central_share"))]
+            yield pa.RecordBatch.from_pylist(out, pa.schema(kinds))
+
+    return w.mapInArrow(run, "series string, pos long, to_shuffles double, among_shuffles double, difference double, central_share double")

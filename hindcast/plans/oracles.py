@@ -124,10 +124,57 @@ SQL = {
     "neighbour_lists": f"WITH {PANEL}{_nn(5)} SELECT t, string_agg(s::VARCHAR, ';' ORDER BY rank) AS neighbours FROM nn GROUP BY t",
     "cutoff_ties": f"WITH {PANEL}{_nn(K + 1)}, d AS (SELECT t, max(d) FILTER (rank = {K}) AS a, max(d) FILTER (rank = {K + 1}) AS b FROM nn GROUP BY t) SELECT 'all' AS series, count(*) AS n, count(*) FILTER (a = b) AS exact, count(*) FILTER (b - a <= 1e-12 * greatest(1, b)) AS near, round(min(b - a), 6) + 0.0 AS least_gap FROM d WHERE b IS NOT NULL",
     "exclusion_comparison": f"WITH {PANEL}{_nn()}{_risk('nn', 'r0')}{_scored('r0', 's0')}{_nn(radius=125, name='nn5', first=False)}{_risk('nn5', 'r5')}{_scored('r5', 's5')} SELECT count(*) AS n, round(avg(s0.pinball), 8) + 0.0 AS near, round(avg(s5.pinball), 8) + 0.0 AS far, round(avg(s5.pinball - s0.pinball), 8) + 0.0 AS difference, round(avg(s5.var - s0.var), 8) + 0.0 AS var_difference FROM s0 JOIN s5 USING (t)",
-    "skipped_forecasts": f"WITH {PANEL} SELECT 'no features or no candidates' AS reason, count(*) FILTER (pos < {SIZE + 126}) AS n, max(pos) FILTER (pos < {SIZE + 126}) AS last FROM panel",
+    "skipped_forecasts": f"WITH {PANEL}{_windows()} SELECT 'no features or no candidates' AS reason, count(*) AS n, max(p.pos) AS last FROM panel p WHERE p.pos NOT IN (SELECT pos FROM w) OR NOT EXISTS (FROM w c WHERE c.pos <= p.pos - 126)",
     "mutual_information": f"WITH {PANEL}, x AS (SELECT tau, ret AS x, lead(ret, tau) OVER (PARTITION BY tau ORDER BY pos) AS y FROM panel, (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS tau) WHERE ret IS NOT NULL), c AS (SELECT tau, least(floor((x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) * 16), 15) AS bx, least(floor((y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) * 16), 15) AS b_y FROM x WHERE y IS NOT NULL WINDOW w AS (PARTITION BY tau)), n AS (SELECT tau, bx, b_y, count(*)::DOUBLE AS n FROM c GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY tau) AS al, sum(n) OVER (PARTITION BY tau, bx) AS nx, sum(n) OVER (PARTITION BY tau, b_y) AS ny FROM n) SELECT tau, round(sum(n / al * ln(n * al / (nx * ny))), 8) + 0.0 AS mi FROM m GROUP BY tau",
     "duplicate_checks": f"WITH {PANEL} SELECT count(*) AS n, count(DISTINCT date) AS dates, max(pos) + 1 AS positions, count(*) FILTER (ret IS NULL) AS no_return FROM panel",
     "loss_matrix": f"WITH {_models()} SELECT date, " + ", ".join(f"round(max(pinball) FILTER (model = '{m}'), 8) + 0.0 AS {m}" for m in ("fhs_ewma", "gap_hs", "rolling_hs", "window_knn")) + " FROM s GROUP BY date",
     "shortfall_test": f"WITH {_models()}, x AS (SELECT model, CASE WHEN es > 0 THEN CASE WHEN next_loss > var THEN next_loss / ((1 - {RISK.es}::DOUBLE) * es) ELSE 0 END - 1 END AS x FROM s) SELECT model, count(x) AS n, round(sqrt(count(x)) * avg(x) / stddev_samp(x), 6) + 0.0 AS z2 FROM x GROUP BY model",
     "lineitem_rollup": "SELECT r_name AS region, year(l_shipdate)::BIGINT AS year, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
 }
+
+
+def _winners() -> str:
+    return f"""WITH {_models()}, f AS (SELECT model, quarter(date)::BIGINT AS fold, avg(pinball) AS mean FROM s GROUP BY 1, 2),
+fr AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY mean) AS rank FROM f),
+whole AS (SELECT model, avg(mean) AS mean, max(mean) AS worst, avg(rank) AS mean_rank, max(rank)::BIGINT AS worst_rank, count(*) FILTER (rank = 1) AS fold_wins FROM fr GROUP BY model),
+lo AS (SELECT a.fold AS out, b.model, avg(b.mean) AS mean FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY 1, 2),
+lw AS (SELECT model, count(*) FILTER (place = 1) AS left_out_wins FROM (SELECT *, row_number() OVER (PARTITION BY out ORDER BY mean, model) AS place FROM lo) GROUP BY model)
+SELECT model, {_r('mean worst mean_rank')}, worst_rank, fold_wins, left_out_wins, row_number() OVER (ORDER BY mean, worst, model) = 1 AS winner FROM whole LEFT JOIN lw USING (model)"""
+
+
+def _coverage(level: float = 0.95) -> str:
+    clip = lambda p: f"least(greatest({p}, 1e-12), 1 - 1e-12::DOUBLE)"
+    ll = lambda p, yes, no: f"(({yes}) * ln({clip(p)}) + ({no}) * ln(1 - {clip(p)}))"
+    pair = ", ".join(f"(count(*) FILTER (before = {a} AND hit = {b}))::DOUBLE AS n{a}{b}" for a in (0, 1) for b in (0, 1))
+    tail, share = f"{1 - level!r}::DOUBLE", lambda a, b: f"({a}) / greatest({a} + {b}, 1)"
+    ind = f"{ll(share('n01 + n11', 'n00 + n10'), 'n01 + n11', 'n00 + n10')} - {ll(share('n01', 'n00'), 'n01', 'n00')} - {ll(share('n11', 'n10'), 'n11', 'n10')}"
+    return f"""WITH {_models()}, h AS (SELECT model, date, hit, lag(hit) OVER w AS before, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY model ORDER BY date)),
+spaced AS (SELECT *, CASE WHEN hit = 1 THEN i - last_value(CASE WHEN hit = 1 THEN i END IGNORE NULLS) OVER (PARTITION BY model ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS gap FROM h),
+c AS (SELECT model, count(*)::DOUBLE AS n, sum(hit) AS k, count(gap)::DOUBLE AS gaps, sum(gap)::DOUBLE AS days, {pair} FROM spaced GROUP BY model),
+x AS (SELECT model, n::BIGINT AS n, k AS hits, greatest(0, -2 * ((n - k) * ln(1 - {tail}) + k * ln({tail}) - {ll('k / n', 'k', 'n - k')})) AS uc, greatest(0, -2 * ({ind})) AS ind,
+  CASE WHEN gaps > 0 THEN greatest(0, 2 * ({ll('gaps / days', 'gaps', 'days - gaps')} - {ll(tail, 'gaps', 'days - gaps')})) END AS duration FROM c),
+y AS (SELECT *, uc + ind AS cc, exp(-(uc + ind) / 2) AS cc_p FROM x) SELECT model, n, hits, {_r('uc ind cc duration cc_p', 6)} FROM y"""
+
+
+def _comparison() -> str:
+    return f"""WITH {_models()}, d AS (SELECT a.model, a.date, o.pinball - a.pinball AS d FROM s a JOIN s o USING (date) WHERE o.model = 'window_knn' AND a.model <> 'window_knn'),
+e AS (SELECT model, d - avg(d) OVER w AS e, count(*) OVER w AS n, avg(d) OVER w AS mean, row_number() OVER (PARTITION BY model ORDER BY date) AS i FROM d WINDOW w AS (PARTITION BY model)),
+wide AS (SELECT *, greatest(1, floor(4 * power(n / 100, 2 / 9::DOUBLE))) AS bw FROM e),
+v AS (SELECT x.model, max(x.n) AS n, max(x.mean) AS mean, sum(x.e * y.e * CASE WHEN x.i = y.i THEN 1 ELSE 2 * (1 - (x.i - y.i) / (x.bw + 1)) END) / max(x.n) AS variance FROM wide x JOIN wide y ON x.model = y.model AND x.i - y.i BETWEEN 0 AND x.bw GROUP BY x.model),
+z AS (SELECT *, mean / sqrt(variance / n) * sqrt((n - 1) / n::DOUBLE) AS dm FROM v) SELECT model, n, {_r('mean variance dm', 6)} FROM z"""
+
+
+def _overlap() -> str:
+    z = _nn(z=True, name="nz").replace(" w0 AS", " z0 AS").replace("FROM w0", "FROM z0").replace(", w AS (SELECT", ", zw AS (SELECT").replace("FROM w q JOIN w c", "FROM zw q JOIN zw c")
+    return f"""WITH {PANEL}{_nn()}{z}, m AS (SELECT t, count(*) AS m FROM nz GROUP BY t),
+j AS (SELECT t, count(nz.s) / (count(*) + max(m) - count(nz.s))::DOUBLE AS j FROM nn JOIN m USING (t) LEFT JOIN nz USING (t, s) GROUP BY t)
+SELECT count(*) AS n, round(avg(j), 8) + 0.0 AS mean_jaccard, round(quantile_cont(j, 0.5), 8) + 0.0 AS median_jaccard FROM j"""
+
+
+SQL |= {
+    "model_winners": _winners(),
+    "coverage_tests": _coverage(),
+    "paired_comparison": _comparison(),
+    "neighbour_overlap": _overlap(),
+    "chosen_delay": f"WITH mi AS ({SQL['mutual_information']}), dips AS (SELECT *, mi < lag(mi) OVER w AND mi < lead(mi) OVER w AS dip FROM mi WINDOW w AS (ORDER BY tau)) SELECT 'all' AS series, coalesce(min(tau) FILTER (dip), arg_min(tau, mi)) AS tau FROM dips",
+}

@@ -24,15 +24,15 @@ def aligned(base: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two daily price series from sales and orders, their weighted simple return, and the day's position."""
+    """Two daily price series from sales and orders, their simple returns and the weighted one, and the day's position."""
     a = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("px_a"))
     b = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("px_b"), F.count("*").cast("double").alias("n_orders"))
     one = lambda d: d.withColumn("series", F.lit("all"))
     px = aligned(one(a), one(b), ["px_b", "n_orders"]).where("px_b is not null")
     by = Window.partitionBy("series").orderBy("date")
     change = lambda c: F.col(c) / F.lag(c).over(by) - 1
-    ret = F.lit(WEIGHTS[0]) * change("px_a") + F.lit(WEIGHTS[1]) * change("px_b")
-    px = px.withColumn("pos", (F.row_number().over(by) - 1).cast("long")).withColumn("ret", ret)
+    px = px.withColumn("pos", (F.row_number().over(by) - 1).cast("long")).withColumns({"ret_a": change("px_a"), "ret_b": change("px_b")})
+    px = px.withColumn("ret", F.lit(WEIGHTS[0]) * F.col("ret_a") + F.lit(WEIGHTS[1]) * F.col("ret_b"))
     return px.withColumn("loss", -F.col("ret")).withColumn("next_loss", -F.lead("ret").over(by))
 
 
