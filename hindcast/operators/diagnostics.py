@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.scores import jaccard
 from hindcast.operators import models as M
+from hindcast.operators import retrieval as R
 
 AGES = (21, 63, 126, 252, 504)
 
@@ -62,7 +63,7 @@ def drawn(panel: DataFrame, k: int, draws: int, radius: int = 0, queries: Column
     q = panel.where(queries).select("series", F.col("pos").alias("t"))
     q = q.crossJoin(F.broadcast(q.sparkSession.range(draws).withColumnRenamed("id", "draw"))).where(F.col("t") - radius - 1 >= 0)
     keyed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - radius - 1), lambda s: F.struct(F.xxhash64(F.lit(seed), "draw", "t", s).alias("h"), s.alias("s")))
-    q = q.repartition("series", "draw", "t").withColumn("neighbours", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x.s))
+    q = R.deal(q, "series", "draw", "t").withColumn("neighbours", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x.s))
     return with_losses(q, panel)
 
 
@@ -72,7 +73,7 @@ def recency_matched(found: DataFrame, panel: DataFrame, draws: int, radius: int
     q = found.select("series", "t", "neighbours").crossJoin(F.broadcast(found.sparkSession.range(draws).withColumnRenamed("id", "draw")))
     need = F.transform("neighbours", lambda s: bin_of(F.col("t") - s))
     day = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - radius - 1), lambda s: F.struct(F.xxhash64(F.lit(seed), "draw", "t", s).alias("h"), s.alias("s")))
-    q = q.repartition("series", "draw", "t").withColumn("need", need).withColumn("days", F.array_sort(day))
+    q = R.deal(q, "series", "draw", "t").withColumn("need", need).withColumn("days", F.array_sort(day))
     pick = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(edges))), lambda b: F.slice(F.filter("days", lambda d: bin_of(F.col("t") - d.s) == b), F.lit(1), F.size(F.filter("need", lambda n: n == b)))))
     return with_losses(q.withColumn("neighbours", F.transform(pick, lambda x: x.s)).drop("need", "days"), panel)
 

@@ -139,7 +139,7 @@ def garch_t(panel: DataFrame, risk: Risk = RISK, draws: int = 20_000, least: int
     """Risk from simulated Student errors on a GARCH(1,1), fitted once for each ``refit`` positions, at the first that is asked."""
     held = panel.where("ret is not null").groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", "ret"))).alias("rows"))
     chunks = panel.where(queries).groupBy("series", F.floor(F.col("pos") / refit).alias("bucket")).agg(F.sort_array(F.collect_list("pos")).alias("asked"))
-    work = chunks.join(held, "series").repartition("series", "bucket").select("series", "asked", F.col("rows.pos").alias("pos"), F.col("rows.ret").alias("ret"))
+    work = R.deal(chunks.join(held, "series"), "series", "bucket").select("series", "asked", F.col("rows.pos").alias("pos"), F.col("rows.ret").alias("ret"))
 
     def run(batches):
         for b in batches:

@@ -106,18 +106,27 @@ def top(distances: np.ndarray, k: int) -> np.ndarray:
     return some[np.argsort(distances[some], kind="stable")][:k]
 
 
-def retrieve(panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.ndarray]], np.ndarray], columns: tuple[str, ...], k: int, radius: int = 0, queries: F.Column | str = "true", draws: int | None = None) -> DataFrame:
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` over as many tasks as the session shuffles to.
+
+    The count is stated, as adaptive execution would otherwise merge rows that are few bytes but much work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def retrieve(panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.ndarray]], np.ndarray], columns: tuple[str, ...], k: int, radius: int = 0, queries: F.Column | str = "true", draws: int | None = None, asked: DataFrame | None = None) -> DataFrame:
     """``SCHEMA`` rows for positions for which ``queries`` holds.
 
     ``features`` makes a matrix, a row a position, from a series' ``columns``; rows with a value that isn't
     finite are no candidates, and as queries they give no row, nor does a query without candidates or
     one that ``metric`` refuses (see ``skipped``).  With ``draws``, ``metric`` makes a metric from a draw's number,
-    each query gives a row a draw, and ``draw`` comes last.
+    each query gives a row a draw, and ``draw`` comes last.  ``asked`` holds the queries' positions where ``panel``
+    is dear to compute.
     """
     held = panel.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", *columns, "next_loss"))).alias("rows"))
-    chunks = panel.where(queries).groupBy("series", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list("pos")).alias("asked"))
+    chunks = (panel if asked is None else asked).where(queries).groupBy("series", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list("pos")).alias("asked"))
     chunks = chunks.crossJoin(F.broadcast(panel.sparkSession.range(draws or 1).withColumnRenamed("id", "draw")))  # a row a draw
-    work = chunks.join(held, "series").repartition("series", "chunk", "draw").select("series", "asked", "draw", *(F.col("rows")[c].alias(c) for c in (*columns, "next_loss")))
+    work = deal(chunks.join(held, "series"), "series", "chunk", "draw").select("series", "asked", "draw", *(F.col("rows")[c].alias(c) for c in (*columns, "next_loss")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -31,7 +31,8 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
 
     Edges in order of length join components (deaths in dimension 0) or close a cycle (births in
     dimension 1).  Columns of triangles, in order of diameter, are reduced modulo 2 to kill the youngest
-    cycle they bound; the work ends when every cycle is dead.
+    cycle they bound.  Within the distance at which some point sees all others every cycle is dead, and
+    later ones die at birth, so nothing longer is looked at.
     """
     n = len(cloud)
     if n < 2:
@@ -40,6 +41,7 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
     i, j = np.triu_indices(n, 1)
     order = np.lexsort((j, i, d[i, j]))
     i, j = i[order], j[order]
+    far = d.max(axis=1).min()
     rank = np.zeros((n, n), int)
     rank[i, j] = rank[j, i] = np.arange(len(i))
     root, joins, open_cycles = list(range(n)), [], set()
@@ -52,7 +54,8 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
     for e, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
         ra, rb = find(a), find(b)
         if ra == rb:
-            open_cycles.add(e)
+            if d[a, b] <= far:
+                open_cycles.add(e)
         else:
             root[rb] = ra
             joins.append(d[a, b])
@@ -60,7 +63,7 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
     if n < 3:
         return h0, np.zeros((0, 2))
     a, b, c = (x.ravel() for x in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
-    keep = (a < b) & (b < c)
+    keep = (a < b) & (b < c) & (d[a, b] <= far) & (d[a, c] <= far) & (d[b, c] <= far)
     a, b, c = a[keep], b[keep], c[keep]
     sides = np.sort(np.stack([rank[a, b], rank[a, c], rank[b, c]], axis=1), axis=1)
     length = d[i, j]
@@ -130,7 +133,7 @@ def landscapes(panel: DataFrame, size: int, t: Topology = TOPOLOGY, mode: str =
 
     by = Window.partitionBy("series").orderBy("pos").rowsBetween(-(size - 1), 0)
     w = panel.select("series", "pos", F.collect_list(F.when(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0)) == 0, F.array(*columns))).over(by).alias("window")).where(F.size("window") == size)
-    w = w.repartition("series", "pos")
+    w = R.deal(w, "series", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +189,7 @@ def topology_knn(panel: DataFrame, size: int, k: int, radius: int = 0, queries="
     shape = shape if placebo_seed is None else placebo(shape, placebo_seed)
     metric = blended(len(state), alpha, radius)
     made = metric if draws is None else lambda draw: controls.permuted(metric, control_seed or 0, draw)
-    return R.retrieve(wide, made, lambda s: np.column_stack([*(s[c] for c in state), shape(s)]), (*state, "feature"), k, radius, queries, draws)
+    return R.retrieve(wide, made, lambda s: np.column_stack([*(s[c] for c in state), shape(s)]), (*state, "feature"), k, radius, queries, draws, asked=panel)
 
 
 def mutual_information(panel: DataFrame, taus: range = range(1, 6), bins: int = 16) -> DataFrame:
@@ -262,7 +265,7 @@ def shuffle_test(panel: DataFrame, size: int, windows: int, draws: int, seed: in
     w = panel.select("series", "pos", F.collect_list("ret").over(by.rowsBetween(-(size - 1), 0)).alias("window")).where(F.size("window") == size)
     w = w.withColumn("i", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(whole))
     spaced = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda j: F.rint(j * (F.col("n") - 1) / max(windows - 1, 1)))
-    w = w.where(F.array_contains(spaced, F.col("i").cast("double"))).select("series", "pos", "window").repartition("series", "pos")
+    w = R.deal(w.where(F.array_contains(spaced, F.col("i").cast("double"))).select("series", "pos", "window"), "series", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
