@@ -19,6 +19,15 @@ def summary(scores: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def spread(scores: DataFrame, *keys: str, value: str = "pinball") -> DataFrame:
+    """How a value is spread: distinct values, mean, sample deviation (zero for one row), 5th, 50th and 95th percentile, least and greatest."""
+    q = lambda p: F.percentile(value, p)
+    return scores.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.countDistinct(value).alias("distinct_values"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"),
+        q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.min(value).alias("least"), F.max(value).alias("greatest"),
+    )
+
+
 def winners(scores: DataFrame, fold: Column, by: str = "model", value: str = "pinball") -> DataFrame:
     """Each fold's models by mean score, the mean over folds, the worst fold, and the ranks when a fold is left out."""
     f = scores.groupBy(by, fold.alias("fold")).agg(F.avg(value).alias("mean"))

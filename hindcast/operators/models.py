@@ -12,11 +12,11 @@ from hindcast.functions.scores import array_quantile, bound, finite, fz0, pinbal
 from hindcast.operators import retrieval as R
 
 
-def risk(scenarios: DataFrame, risk: Risk = RISK, losses: str = "losses") -> DataFrame:
-    """Value at risk, expected shortfall and how many scenarios they are from."""
+def risk(scenarios: DataFrame, *keys: str, risk: Risk = RISK, losses: str = "losses") -> DataFrame:
+    """Value at risk, expected shortfall and how many scenarios they are from; ``keys`` stay."""
     a = F.col(losses)
     n = F.size(F.filter(a, finite)).cast("long")
-    return scenarios.select("series", "t", n.alias("n"), array_quantile(a, risk.var).alias("var"), tail_mean(a, risk.es).alias("es"))
+    return scenarios.select("series", "t", *keys, n.alias("n"), array_quantile(a, risk.var).alias("var"), tail_mean(a, risk.es).alias("es"))
 
 
 def scored(forecasts: DataFrame, panel: DataFrame) -> DataFrame:

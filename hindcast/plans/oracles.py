@@ -178,3 +178,26 @@ SQL |= {
     "neighbour_overlap": _overlap(),
     "chosen_delay": f"WITH mi AS ({SQL['mutual_information']}), dips AS (SELECT *, mi < lag(mi) OVER w AND mi < lead(mi) OVER w AS dip FROM mi WINDOW w AS (ORDER BY tau)) SELECT 'all' AS series, coalesce(min(tau) FILTER (dip), arg_min(tau, mi)) AS tau FROM dips",
 }
+
+
+def _backtest() -> str:
+    z = _nn(z=True, name="nz").replace(" w0 AS", " z0 AS").replace("FROM w0", "FROM z0").replace(", w AS (SELECT", ", zw AS (SELECT").replace("FROM w q JOIN w c", "FROM zw q JOIN zw c")
+    every = f"""{_models()}{_risk("(SELECT * FROM nn_window WHERE rank <= 20) few", "r_few")}{z}{_risk("nz", "r_z")}"""
+    names = {"rolling_hs": "rolling_hs_w250", "gap_hs": "gap_hs_w250_r125", "fhs_ewma": "fhs_ewma_l094", "few": "w_euclidean_l20_k20", "window_knn": "w_euclidean_l20_k50", "z": "wz_euclidean_l20_k50"}
+    union = " UNION ALL ".join(f"SELECT *, '{n}' AS configuration FROM r_{m}" for m, n in names.items())
+    return f"""WITH {every}, made AS ({union}){_scored('made', 'bt')} SELECT 'test' AS split, configuration, count(*) AS n, {", ".join(f"round(avg({v}), 8) + 0.0 AS {c}" for v, c in (("var", "mean_var"), ("es", "mean_es"), ("hit", "hit_rate"), ("(next_loss > es)::INT", "shortfall_rate"), ("next_loss", "mean_loss"), ("n", "mean_scenarios")))} FROM bt GROUP BY configuration"""
+
+
+def _skips() -> str:
+    made = {
+        "rolling_hs_w250": "EXISTS (FROM panel k WHERE k.loss IS NOT NULL AND k.pos <= p.pos)", "gap_hs_w250_r125": "EXISTS (FROM panel k WHERE k.loss IS NOT NULL AND k.pos <= p.pos - 126)", "fhs_ewma_l094": "p.ret IS NOT NULL",
+    } | {n: "p.pos IN (SELECT pos FROM w) AND EXISTS (FROM w c WHERE c.pos <= p.pos - 1)" for n in ("w_euclidean_l20_k20", "w_euclidean_l20_k50", "wz_euclidean_l20_k50")}
+    union = " UNION ALL ".join(f"SELECT '{n}' AS configuration, date FROM panel p WHERE next_loss IS NOT NULL AND NOT ({how})" for n, how in made.items())
+    return f"WITH {PANEL}{_windows()}, gone AS ({union}) SELECT CASE WHEN date >= DATE '{SPLITS.test}' THEN 'test' WHEN date >= DATE '{SPLITS.validation}' THEN 'validation' ELSE 'warmup' END AS split, configuration, 'no features, candidates or losses' AS reason, count(*) AS n FROM gone GROUP BY 1, 2"
+
+
+SQL |= {
+    "score_spread": f"WITH {_models()} SELECT model, count(*) AS n, count(DISTINCT pinball) AS distinct_values, round(avg(pinball), 8) + 0.0 AS mean, round(coalesce(stddev_samp(pinball), 0), 8) + 0.0 AS sd, {', '.join(f'round(quantile_cont(pinball, {p}), 8) + 0.0 AS {c}' for p, c in ((0.05, 'p05'), (0.5, 'p50'), (0.95, 'p95')))}, round(min(pinball), 8) + 0.0 AS least, round(max(pinball), 8) + 0.0 AS greatest FROM s GROUP BY model",
+    "backtest_summary": _backtest(),
+    "backtest_skips": _skips(),
+}

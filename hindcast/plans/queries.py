@@ -14,6 +14,7 @@ from hindcast.operators import inference as I
 from hindcast.operators import models as M
 from hindcast.operators import retrieval as R
 from hindcast.operators import topology as T
+from hindcast.plans import backtest as B
 from hindcast.sources import panel as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,6 +273,50 @@ def randomisation_test(spark, sf_dir):
     return D.randomisation_p(D.null_scores(D.drawn(p, K, 10, queries=TEST), p), real)
 
 
+_state_knn("topology_blend_forecasts", lambda p: T.topology_knn(p, 60, K, queries=TEST, alpha=0.5))
+_state_knn("topology_placebo_forecasts", lambda p: T.topology_knn(p, 60, K, queries=TEST, placebo_seed=20260426))
+
+
+@query
+def topology_components(spark, sf_dir):
+    """Landscapes of clouds whose points hold the delays of the weighted return and of both its parts."""
+    return T.landscapes(_panel(spark, sf_dir), 60, columns=("ret", "ret_a", "ret_b"))
+
+
+@query
+def permuted_topology_control(spark, sf_dir):
+    p = _state(spark, sf_dir)
+    return D.null_scores(T.topology_knn(p, 60, K, queries=TEST, control_seed=1, draws=10), p)
+
+
+@query
+def shuffle_test(spark, sf_dir):
+    return T.shuffle_test(_panel(spark, sf_dir), 60, 20, 10).drop("series")
+
+
+@query
+def embedding_choice(spark, sf_dir):
+    return T.embedding_choice(_panel(spark, sf_dir), f"date < DATE '{SPLITS.validation}'")
+
+
+@query
+def score_spread(spark, sf_dir):
+    return rounded(D.spread(_models(spark, sf_dir)[0], "model"))
+
+
+BACKTEST = ["rolling_hs_w250", "gap_hs_w250_r125", "fhs_ewma_l094", "w_euclidean_l20_k20", "w_euclidean_l20_k50", "wz_euclidean_l20_k50"]
+
+
+@query
+def backtest_summary(spark, sf_dir):
+    return rounded(B.summarise(B.run_backtest(_state(spark, sf_dir), BACKTEST, queries=TEST)[0]))
+
+
+@query
+def backtest_skips(spark, sf_dir):
+    return B.summarise_skips(B.run_backtest(_state(spark, sf_dir), BACKTEST)[1])
+
+
 @query
 def duplicate_checks(spark, sf_dir):
     p = _panel(spark, sf_dir)
