@@ -26,8 +26,10 @@ def permuted(base: Metric, seed: int, draw: int) -> Metric:
 
 
 def sign_flip(x: np.ndarray, draws: int = 10_000, seed: int = 1, batch: int = 1 << 22) -> tuple[float, float, float]:
-    """p-values of a mean below zero, above it and either, against random signs."""
-    rng, seen, low, high, step = np.random.default_rng(seed), x.mean(), 0, 0, max(1, batch // max(len(x), 1))
+    """p-values of a mean below zero, above it and either, against random signs; NaN without values."""
+    if not len(x):
+        return float("nan"), float("nan"), float("nan")
+    rng, seen, low, high, step = np.random.default_rng(seed), x.mean(), 0, 0, max(1, batch // len(x))
     for at in range(0, draws, step):
         mean = rng.choice((-1.0, 1.0), (min(step, draws - at), len(x))) @ x / len(x)
         low, high = low + int((mean <= seen).sum()), high + int((mean >= seen).sum())
