@@ -2,9 +2,9 @@
 
 An n-gram seen c times has level ``1 + floor(log(c) / log(BASE))`` and puts its pairs (n-gram, 1) to
 (n-gram, level) into the filter; its level is read back by probing until the first miss.  All
-unigrams go in and every bigram seen ``MIN_BIGRAM`` times or more.  The filter has
-``BITS_EACH`` bits an entry and ``MAX_BITS`` at most, which bounds the broadcast; where the bigrams
-would need more, those of the lowest levels stay out and back off to unigrams.
+unigrams go in and every bigram seen ``MIN_BIGRAM`` times or more.  The filter is split by bucket,
+and a bucket's part has ``BITS_EACH`` bits an entry however many there are.  It stays with the
+bucket's owner, whom each block asks for the levels of its distinct n-grams; nothing is broadcast.
 
     P(w | v) = W * min(1, c(vw) / c(v)) + (1 - W) * (c(w) + 1) / (N + V + 1)
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
 
-BASE, MIN_BIGRAM, BITS_EACH, MAX_BITS, PROBES, WEIGHT = 1.5, 2, 8, 1 << 28, 4, 0.3
+BASE, MIN_BIGRAM, BITS_EACH, PROBES, WEIGHT = 1.5, 2, 8, 4, 0.3
 LEVELS = 64
 END = np.uint64(0x5851F42D4C957F2D)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -79,6 +79,14 @@ def probe(filters: np.ndarray, bits: int, buckets: int, keys: np.ndarray) -> np.
     return out
 
 
+def read_back(keys: np.ndarray, n: np.ndarray, least: int, each: int) -> np.ndarray:
+    """The level of each key of a bucket by a filter of those seen ``least`` times or more, with ``each`` bits an entry."""
+    keep = n >= least
+    level = levels(n[keep])
+    bits = max(64, int(level.sum()) * each)
+    return probe(part_filter(keys[keep], level, bits), bits, 1, keys)
+
+
 def _tokens(block: B.Block, fold: int, of: int):
     """Tokens with an end token before each text and after the last, where each text's begin, and whether to learn from it."""
     crc = B.crc32(block.doc_id)
@@ -98,12 +106,14 @@ def _unigrams(buckets: int, fold: int, of: int):
     return run
 
 
-def _bigrams(buckets: int, fold: int, of: int):
+def _bigrams(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in B.blocks(batches):
-            tokens, first, learn, _ = _tokens(block, fold, of)
-            both, n = np.unique(pairs(tokens)[np.repeat(learn, np.diff(first))], return_counts=True)
-            yield B.rows_batch(B.asks(2, -1, buckets, both, n))
+        for b in batches:
+            for no, state in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+                ids, held, first, keys, place = B.unpack(state)
+                both, at = np.unique(pairs(keys[B.unplanes(place)]), return_inverse=True)
+                learn = np.repeat((ids != B.NO_ID) & ~held, np.diff(first))
+                yield B.rows_batch(B.asks(2, no, buckets, both, np.bincount(at[learn], minlength=len(both))))
 
     return run
 
@@ -113,81 +123,53 @@ def _sum(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return keys, np.bincount(place, np.concatenate([g[1] for g in got]), len(keys)).astype(np.int64), place, begin
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 2, of: int = 7, max_bits: int = MAX_BITS) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 2, of: int = 7) -> DataFrame:
     """Scores of all texts by a model of those whose crc32(id as text) modulo ``of`` is not ``fold``."""
-    spark = docs.sparkSession
+    spark, each = docs.sparkSession, BITS_EACH
     shared, buckets = B.Shared(spark, "lm-scoring"), B.n_buckets(spark)
     texts = B.pair(docs, doc_id, text)
     table = shared.write(texts.mapInArrow(_unigrams(buckets, fold, of), B.BLOCK_SCHEMA), "words", ["kind"])
 
     def unigrams(got):
         keys, n, place, begin = _sum(got)
-        mine = B.narrow(n)[place]
-        return [mine[i:j] for i, j in zip(begin[:-1], begin[1:])] + [(keys[n > 0], n[n > 0], np.bincount(levels(n[n > 0]), minlength=LEVELS + 1))]
+        mine = B.narrow(n << 7 | read_back(keys, n, 1, each))[place]
+        return [mine[i:j] for i, j in zip(begin[:-1], begin[1:])] + [np.array([n.sum(), np.count_nonzero(n)])]
 
-    def bigrams(pdf: pa.Table) -> pa.Table:
-        keys, n, _, _ = _sum([B.unpack(p) for p in pdf.column("payload").to_pylist()])
-        keep = n >= MIN_BIGRAM
-        data = B.pack(keys[keep], n[keep], np.bincount(levels(n[keep]), minlength=LEVELS + 1))
-        return pa.table({"bucket": pdf.column("bucket")[:1], "payload": pa.array([data], pa.binary())})
-
-    answers = shared.write(B.answer(table.where("kind = 1"), unigrams), "unigrams", few=True)
-    twos = shared.write(texts.mapInArrow(_bigrams(buckets, fold, of), B.BLOCK_SCHEMA).groupBy("bucket").applyInArrow(bigrams, "bucket int, payload binary"), "bigrams", few=True)
+    def bigrams(got):
+        keys, n, place, begin = _sum(got)
+        mine = B.narrow(read_back(keys, n, MIN_BIGRAM, each))[place]
+        return [mine[i:j] for i, j in zip(begin[:-1], begin[1:])]
 
     def totals(batches):
         for b in batches:
-            for which, p in zip(b.column("which").to_pylist(), b.column("payload").to_pylist()):
-                _, n, hist = B.unpack(p)
-                yield pa.RecordBatch.from_pydict({"which": [which], "n": [int(n.sum())], "v": [len(n)], "hist": [hist.tolist()]})
-
-    grams = answers.where("block = -1").select(F.lit(1).alias("which"), "bucket", "payload").unionByName(twos.select(F.lit(2).alias("which"), "bucket", "payload"))
-    found = grams.mapInArrow(totals, "which long, n long, v long, hist array<long>").collect()  # a row a bucket and order
-    n_all, v_all = (sum(r[c] for r in found if r.which == 1) for c in ("n", "v"))
-    hist = {k: sum((np.array(r.hist) for r in found if r.which == k), np.zeros(LEVELS + 1, np.int64)) for k in (1, 2)}
-    least, size = 1, int((hist[1] * np.arange(LEVELS + 1)).sum())
-    entries = lambda at: size + int((hist[2] * np.arange(LEVELS + 1))[at:].sum())
-    while least <= LEVELS and entries(least) * BITS_EACH > max_bits:
-        least += 1
-    bits = max(64, min(max_bits, entries(least) * BITS_EACH) // buckets // 64 * 64)
-
-    def build(pdf: pa.Table) -> pa.Table:
-        keys, level = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for which, p in zip(pdf.column("which").to_pylist(), pdf.column("payload").to_pylist()):
-            k, n, _ = B.unpack(p)
-            q = levels(n)
-            keep = q >= (least if which == 2 else 1)
-            keys.append(k[keep]), level.append(q[keep])
-        made = part_filter(np.concatenate(keys), np.concatenate(level), bits)
-        return pa.table({"bucket": pdf.column("bucket")[:1], "payload": pa.array([made.tobytes()], pa.binary())})
-
-    filters = np.zeros(buckets * bits // 8, np.uint8)  # max_bits at most
-    for r in grams.groupBy("bucket").applyInArrow(build, "bucket int, payload binary").collect():
-        filters[r.bucket * bits // 8 : (r.bucket + 1) * bits // 8] = np.frombuffer(r.payload, np.uint8)
-    shared.drop("bigrams")
-    sent = spark.sparkContext.broadcast(filters)
-    del filters
+            for p in b.column("payload").to_pylist():
+                yield pa.RecordBatch.from_pydict(dict(zip(("n", "v"), B.unpack(p)[0].reshape(2, 1))))
+
+    answers = shared.write(B.answer(table.where("kind = 1"), unigrams), "unigrams", few=True)
+    total = answers.where("block = -1").mapInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    n_all, v_all = total.n, total.v
+    twos = B.answer(table.where("kind = 0").mapInArrow(_bigrams(buckets), B.BLOCK_SCHEMA), bigrams)
 
     def score(_: int, state: bytes, parts: list[np.ndarray]) -> pa.Table:
         ids, held, first, keys, place = B.unpack(state)
-        flt, mean, count = sent.value, means(), B.joined(parts, np.int64)
         place, first = B.unplanes(place).astype(np.int64), first.astype(np.int64)
-        n = np.diff(first)
+        _, pair = np.unique(pairs(keys[place]), return_inverse=True)
+        told, mean = B.joined(parts, np.int64), means()  # counts and levels of the unigrams, then levels of the bigrams
+        count, one, two = told[: len(keys)] >> 7, mean[told[: len(keys)] & 127], mean[told[len(keys) :]]
         log_all = np.log10(n_all + v_all + 1)
+        n = np.diff(first)
         base = B.per_word(np.log10(count + 1)[place[1:]], first) - n * log_all
-        each = mean[probe(flt, bits, buckets, keys)]
-        alone = (each + 1) / (n_all + v_all + 1)
-        logs = np.empty(len(place) - 1)
-        for i in range(0, len(logs), 1 << 19):
-            at = place[i : i + (1 << 19) + 1]
-            both = mean[probe(flt, bits, buckets, pairs(keys[at]))]
-            w = np.where(each[at[:-1]] > 0, WEIGHT, 0.0)
-            logs[i : i + len(both)] = np.log10(w * np.minimum(1, both / np.maximum(each[at[:-1]], 1)) + (1 - w) * alone[at[1:]])
+        alone = (one + 1) / (n_all + v_all + 1)
+        before = one[place[:-1]]
+        w = np.where(before > 0, WEIGHT, 0.0)
+        logs = np.log10(w * np.minimum(1, two[pair] / np.maximum(before, 1)) + (1 - w) * alone[place[1:]])
         return pa.table({
             "doc_id": B.ids_out(ids), "held_out": pa.array(held, pa.bool_(), mask=ids == B.NO_ID), "n_tokens": n, "n_known": B.per_word((count > 0)[place[1:]].astype(np.int64), first),
             "train_tokens": np.full(len(ids), n_all, np.int64), "base_score": base, "score": B.per_word(logs, first),
         })
 
-    return B.told(table.where("kind = 0"), answers.where("block >= 0"), score, SCHEMA)
+    both = answers.where("block >= 0").unionByName(twos.withColumn("bucket", F.col("bucket") + buckets))
+    return B.told(table.where("kind = 0"), both, score, SCHEMA)
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,34 @@ def test_lm_base_scores_and_model(spark):
     assert len(lm.lm_scores(frame(spark, ODD)).collect()) == len(ODD) and lm.lm_scores(bare(frame(spark, ODD))).count() == 0
 
 
+def plain_scores(rows):
+    """Scores by exact levels of all n-grams, and tokens of each text."""
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    tokens = {i: [b""] + t.encode().translate(low).split() + [b""] for i, t in rows}
+    one, two = Counter(), Counter()
+    for i, w in tokens.items():
+        if zlib.crc32(b"%d" % i) % 7 != 2:
+            one.update(w[1:]), two.update(zip(w, w[1:]))
+    mean, total = lm.means(), sum(one.values()) + len(one) + 1
+    level = lambda c: mean[lm.levels(np.array([c]))[0]]
+
+    def p(v, w):
+        k = lm.WEIGHT if one[v] else 0.0
+        return k * min(1, level(two[v, w]) / max(level(one[v]), 1)) + (1 - k) * (level(one[w]) + 1) / total
+
+    return {i: sum(math.log10(p(v, x)) for v, x in zip(w, w[1:])) for i, w in tokens.items()}
+
+
+def test_lm_filter_grows_with_its_entries(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BITS_EACH", 1 << 15)  # more than 2^28 bits in all, and no false positives
+    learned = [i for i in range(2000) if zlib.crc32(b"%d" % i) % 7 != 2]
+    held = [i for i in range(2000) if zlib.crc32(b"%d" % i) % 7 == 2]
+    texts = [t for _, t in documents(spark) if t][:150]
+    rows = list(zip(learned, texts + texts)) + list(zip(held, texts))  # every bigram at least twice
+    want = plain_scores(rows)
+    assert {r.doc_id: r.score for r in lm.lm_scores(frame(spark, rows)).collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_filter_has_no_false_negatives():
     keys = np.random.default_rng(0).integers(0, 2**64, 2000, dtype=np.uint64)
     level = np.random.default_rng(1).integers(1, 9, 2000)
