@@ -2,9 +2,9 @@
 
 An n-gram seen c times has level ``1 + floor(log(c) / log(BASE))`` and puts its pairs (n-gram, 1) to
 (n-gram, level) into the filter; its level is read back by probing until the first miss.  All
-unigrams go in and every bigram seen ``MIN_BIGRAM`` times or more.  The filter is split by bucket,
-and a bucket's part has ``BITS_EACH`` bits an entry however many there are.  It stays with the
-bucket's owner, whom each block asks for the levels of its distinct n-grams; nothing is broadcast.
+unigrams and all bigrams go in.  The filter is split by bucket, and a bucket's part has
+``BITS_EACH`` bits an entry however many there are.  It stays with the bucket's owner, whom each
+block asks for the levels of its distinct n-grams; nothing is broadcast.
 
     P(w | v) = W * min(1, c(vw) / c(v)) + (1 - W) * (c(w) + 1) / (N + V + 1)
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
 
-BASE, MIN_BIGRAM, BITS_EACH, PROBES, WEIGHT = 1.5, 2, 8, 4, 0.3
+BASE, BITS_EACH, PROBES, WEIGHT = 1.5, 8, 4, 0.3
 LEVELS = 64
 END = np.uint64(0x5851F42D4C957F2D)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -79,9 +79,9 @@ def probe(filters: np.ndarray, bits: int, buckets: int, keys: np.ndarray) -> np.
     return out
 
 
-def read_back(keys: np.ndarray, n: np.ndarray, least: int, each: int) -> np.ndarray:
-    """The level of each key of a bucket by a filter of those seen ``least`` times or more, with ``each`` bits an entry."""
-    keep = n >= least
+def read_back(keys: np.ndarray, n: np.ndarray, each: int) -> np.ndarray:
+    """The level of each key of a bucket by a filter of those that were seen, with ``each`` bits an entry."""
+    keep = n > 0
     level = levels(n[keep])
     bits = max(64, int(level.sum()) * each)
     return probe(part_filter(keys[keep], level, bits), bits, 1, keys)
@@ -132,12 +132,12 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
 
     def unigrams(got):
         keys, n, place, begin = _sum(got)
-        mine = B.narrow(n << 7 | read_back(keys, n, 1, each))[place]
+        mine = B.narrow(n << 7 | read_back(keys, n, each))[place]
         return [mine[i:j] for i, j in zip(begin[:-1], begin[1:])] + [np.array([n.sum(), np.count_nonzero(n)])]
 
     def bigrams(got):
         keys, n, place, begin = _sum(got)
-        mine = B.narrow(read_back(keys, n, MIN_BIGRAM, each))[place]
+        mine = B.narrow(read_back(keys, n, each))[place]
         return [mine[i:j] for i, j in zip(begin[:-1], begin[1:])]
 
     def totals(batches):
@@ -146,6 +146,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
                 yield pa.RecordBatch.from_pydict(dict(zip(("n", "v"), B.unpack(p)[0].reshape(2, 1))))
 
     answers = shared.write(B.answer(table.where("kind = 1"), unigrams), "unigrams", few=True)
+    shared.drop("words/kind=1")
     total = answers.where("block = -1").mapInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_all, v_all = total.n, total.v
     twos = B.answer(table.where("kind = 0").mapInArrow(_bigrams(buckets), B.BLOCK_SCHEMA), bigrams)

@@ -90,6 +90,13 @@ def test_lm_filter_grows_with_its_entries(spark, monkeypatch):
     assert {r.doc_id: r.score for r in lm.lm_scores(frame(spark, rows)).collect()} == pytest.approx(want, rel=1e-9)
 
 
+def test_lm_learns_bigrams_seen_once(spark):
+    rows = [(i, t) for i, t in documents(spark) if t]
+    got, want = {r.doc_id: r.score for r in lm.lm_scores(frame(spark, rows)).collect()}, plain_scores(rows)
+    off = [abs(got[i] - want[i]) / abs(want[i]) for i in want]  # by false positives alone
+    assert sum(off) / len(off) < 0.01
+
+
 def test_filter_has_no_false_negatives():
     keys = np.random.default_rng(0).integers(0, 2**64, 2000, dtype=np.uint64)
     level = np.random.default_rng(1).integers(1, 9, 2000)
