@@ -8,8 +8,9 @@ most; every vector is coded and scanned.
 
 Packed blocks of queries meet packed blocks of vectors; in each such pair a table of 8-bit partial
 scores a query and code gives the ``RERANK`` best, whose distances are then computed in double
-precision from the original vectors.  Each pair gives the nearest ``k`` of a query at most, and the
-nearest of those are the result.
+precision from the original vectors.  Each other vector whose score, with the error of its code and of
+the table, doesn't rule it out against the k-th of those is looked at too, first by a product.  Each
+pair gives the nearest ``k`` of a query, and the nearest of those are the result, which is exact.
 
 Vectors that are null, zero, of another length than the most common one, or that hold null or
 non-finite components take no part, nor do rows with a null id.  Rows with equal ids are candidates
@@ -94,13 +95,19 @@ class Codebooks:
                 out[:, m], along[:, m] = best, p[np.arange(len(a)), best]
         return out
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """8-bit partial scores of each query, part and centre; larger is nearer."""
+    def misses(self, a: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each vector is from what its codes stand for."""
+        return np.linalg.norm(a - self.centres[np.arange(len(self.centres)), codes].reshape(len(a), -1), axis=1)
+
+    def tables(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """8-bit partial scores of each query, part and centre (larger is nearer), the score of zeros, the step and the query's length."""
         full = np.zeros((len(q), (self.dim + 2) // 2 * 2))
         full[:, : self.dim], full[:, self.dim] = q, self.scale
         t = np.einsum("qmd,mcd->qmc", full.reshape(len(q), -1, 2), self.centres)
-        t -= t.min(2, keepdims=True)
-        return np.rint(t * (255 / np.maximum(t.max((1, 2)), 1e-12))[:, None, None]).astype(np.uint8)
+        least = t.min(2, keepdims=True)
+        t -= least
+        step = np.maximum(t.max((1, 2)), 1e-12) / 255
+        return np.rint(t / step[:, None, None]).astype(np.uint8), least.sum((1, 2)), step, np.linalg.norm(full, axis=1)
 
 
 def _packed(dim: int, each: int, books: Codebooks | None):
@@ -122,14 +129,16 @@ def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q
     """Query, vector and distance of the ``k`` nearest found for each query; ``ids`` are sorted."""
     out: list[tuple] = []
     wide = x.astype(np.float64)
+    norm, miss = (wide**2).sum(1), books.misses(books.augment(wide), codes)
     for lo in range(0, len(q), 32):
         mine = slice(lo, lo + 32)
-        table = books.tables(q[mine].astype(np.float64))
+        table, zero, step, length = books.tables(q[mine].astype(np.float64))
         scores = np.zeros((len(table), len(ids)), np.int32)
         for m in range(codes.shape[1]):
             scores += table[:, m, :][:, codes[:, m]]
         for i, own in enumerate(q_ids[mine]):
-            s = np.where(ids == own, -1, scores[i])
+            s, at = np.where(ids == own, -1, scores[i]), q[lo + i].astype(np.float64)
+            exact = lambda pick: np.sqrt(((wide[pick] - at) ** 2).sum(1))  # noqa: B023, E731
             if len(s) > rerank:  # of equal scores, those of smaller ids
                 least = np.partition(s, len(s) - rerank)[len(s) - rerank]
                 above, level = np.flatnonzero(s > least), np.flatnonzero(s == least)
@@ -137,7 +146,17 @@ def scan(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, q_ids: np.ndarray, q
             else:
                 pick = np.arange(len(s))
             pick = pick[s[pick] >= 0]
-            d = np.sqrt(((wide[pick] - q[lo + i].astype(np.float64)) ** 2).sum(1))
+            d = exact(pick)
+            if len(s) > rerank:
+                square = at @ at
+                far = np.partition(d, k - 1)[k - 1] ** 2 if len(d) >= k else np.inf
+                far += 1e-12 * (len(at) + 16) * (square + norm.max())  # more than rounding
+                # the nearest that the errors of the table and of the code allow
+                allowed = square - 2 * (zero[i] + step[i] * (s + codes.shape[1] / 2) + length[i] * miss)
+                left = np.flatnonzero((allowed <= far) & (s >= 0))
+                left = [j[square - 2 * (wide[j] @ at) + norm[j] <= far] for j in (left[n : n + 4096] for n in range(0, len(left), 4096))]
+                pick = np.union1d(pick, np.concatenate(left or [pick]))
+                d = exact(pick)
             best = np.lexsort((ids[pick], d))[:k]
             out.append((np.full(len(best), own), ids[pick][best], d[best]))
     return tuple(np.concatenate(c) for c in zip(*out))

@@ -216,6 +216,18 @@ def test_nearest_recall(spark):
     assert nearest.nearest(bare(odd), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_is_exact_in_a_tight_cluster(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 16))
+    x[::3] = x[0] + 1e-3 * rng.standard_normal((1000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = nearest.nearest(rows, F.col("vec_id") < 30).collect()
+    for q in range(30):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == np.argsort(d, kind="stable")[:10].tolist()
+
+
 def test_language_accuracy_and_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = lid.learn(docs)
