@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare word trigrams seed regions, Smith-Waterman scores them.
+"""Benchmark decontamination: word trigrams seed regions, Smith-Waterman scores them.
 
-Words are runs of letters, digits and non-ASCII characters, in lower case (ASCII and Latin-1).  An item's
-seeds are its trigrams whose chance at any place, by the words' shares of all words of all
-documents, is ``RARE`` or less, or too small for one to be expected at all, and its ``LEAST`` rarest in any case, so that a passage that has spread
-keeps its seeds.  A seed found in a document marks the stretch the item would cover there and
-``PAD`` words on either side; stretches that overlap are one.  Word-level local alignment (match +2,
+Words are runs of letters, digits and non-ASCII characters, in lower case (ASCII and Latin-1).  All
+trigrams of an item are its seeds, however frequent.  A seed found in a document marks the stretch the item would cover there and
+``PAD`` words on either side; stretches that overlap are one.  Those that hold too few words of the
+item for the score are left; in others, word-level local alignment (match +2,
 other word -1, word too many or too few -1) is divided by its greatest value, twice the item's words.
 
 The benchmark goes to the workers in slices of ``SLICE`` bytes at most, one pass over the documents for
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
 
-N, RARE, LEAST, PAD, SCORE, SLICE = 3, 1e-8, 12, 8, 0.5, 4 << 20
+N, PAD, SCORE, SLICE = 3, 8, 0.5, 4 << 20
 SCHEMA = "doc_id long, item_id long, score double, first_word long, last_word long"
 _KEYS = np.random.default_rng(8).integers(0, 2**63, N, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -72,33 +71,21 @@ class Lookup:
 
 
 class Items:
-    """The items of a slice, and, once word counts are known, their seeds."""
+    """The items of a slice and their seeds."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
         self.ids = [i for i, _ in rows]
         block = B.Block(np.arange(len(rows)), [None if t is None else t.encode() for _, t in rows])
         ids, first = words(block)
         self.words = [ids[i:j] for i, j in zip(first[:-1], first[1:])]
-        self.vocabulary = np.unique(ids)
-
-    def seed(self, counts: np.ndarray, total: int) -> None:
-        share = np.maximum(counts, 0.5) / max(total, 1)
-        keys, item, offset = [], [], []
-        for i, w in enumerate(self.words):
-            if len(w) < N:
-                continue
-            p = share[np.searchsorted(self.vocabulary, w)]
-            chance = np.ones(len(w) - N + 1)
-            for j in range(N):
-                chance *= p[j : j + len(chance)]
-            order = np.argsort(chance, kind="stable")
-            own = order[: max(LEAST, int((chance <= max(RARE, 0.5 / max(total, 1))).sum()))]
-            keys.append(_grams(w)[own]), item.append(np.full(len(own), i)), offset.append(own)
-        none = np.zeros(0, np.int64)
-        keys, self.item, self.offset = (np.concatenate(x) if x else none for x in (keys, item, offset))
+        self.kinds = [np.unique(w) for w in self.words]
+        size = np.maximum(np.diff(first) - N + 1, 0)
+        self.item = np.repeat(np.arange(len(rows)), size)
+        self.offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        keys = np.concatenate([np.zeros(0, np.uint64), *(_grams(w) for w in self.words)])
         order = np.argsort(keys, kind="stable")
         self.item, self.offset = self.item[order], self.offset[order]
-        self.keys, self.begin = np.unique(keys[order].astype(np.uint64), return_index=True)
+        self.keys, self.begin = np.unique(keys[order], return_index=True)
         self.begin = np.append(self.begin, len(keys))
 
 
@@ -168,6 +155,11 @@ def _find(items: Items, score: float):
                 rows = np.zeros((len(mine), int((hi - lo)[mine].max())), np.uint64)
                 for r, m in enumerate(mine):
                     rows[r, : hi[m] - lo[m]] = ids[lo[m] : hi[m]]
+                enough = np.isin(rows, items.kinds[it]).sum(1) >= score * len(items.words[it])  # words that match give 2 each at most
+                i = j
+                if not enough.any():
+                    continue
+                mine, rows = mine[enough], rows[enough]
                 value, begin, end = align(items.words[it], rows)
                 share = value / (2.0 * len(items.words[it]))
                 for r in np.flatnonzero(share >= score):
@@ -175,7 +167,6 @@ def _find(items: Items, score: float):
                     f = lo[m] - first[doc[m]]
                     got = (float(share[r]), -int(f + begin[r]), int(f + end[r]))
                     found[doc[m], it] = max(found.get((doc[m], it), got), got)
-                i = j
             keys = sorted(found)
             names = pa.array([items.ids[i] for _, i in keys], pa.int64())
             yield pa.RecordBatch.from_arrays([B.ids_out(block.doc_id[np.array([d for d, _ in keys], int)]), names, *(pa.array([sign * found[k][c] for k in keys], t) for c, sign, t in ((0, 1, pa.float64()), (1, -1, pa.int64()), (2, 1, pa.int64())))], ["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -183,19 +174,6 @@ def _find(items: Items, score: float):
     return run
 
 
-def _count(vocabulary: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, n, total = Lookup(vocabulary), np.zeros(len(vocabulary), np.int64), 0
-        for block in B.blocks(batches):
-            ids, _ = words(block)
-            n += np.bincount(lookup.find(ids)[1], minlength=len(n))
-            total += len(ids)
-        place = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(place, -1)), pa.array(np.append(n[place], total))], ["word", "n"])
-
-    return run
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE, slice_bytes: int = SLICE) -> DataFrame:
     """A row for each document and item whose alignment scores ``score`` or more: the score and the words it covers in the document."""
     spark, texts = docs.sparkSession, B.pair(docs, doc_id, text)
@@ -205,8 +183,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     out = spark.createDataFrame([], SCHEMA)
     for part in range(parts):
         mine = Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().collect()])
-        counts = {r.word: r.n for r in texts.mapInArrow(_count(mine.vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row a word of the slice
-        mine.seed(np.array([counts.get(i, 0) for i in range(len(mine.vocabulary))], np.float64), counts.get(-1, 0))
         out = out.unionByName(texts.mapInArrow(_find(mine, score), SCHEMA))
     return out
 

@@ -259,6 +259,17 @@ def test_alignment_and_leaks(spark):
     assert dec.find_leaks(bare(frame(spark, rows)), bench).count() == 0 and dec.find_leaks(frame(spark, rows), bare(bench)).count() == 0
 
 
+def test_leaks_of_an_item_of_frequent_words(spark):
+    rnd = random.Random(5)
+    common = [f"w{i}" for i in range(20)]
+    some = lambda n: [rnd.choice(common) for _ in range(n)]
+    head, tail = some(25), some(25)
+    item = " ".join(head + [f"rare{i}" for i in range(10)] + tail)
+    rows = [(i, " ".join(some(60))) for i in range(1, 301)] + [(0, " ".join(head + ["other"] * 10 + tail))]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id: r.score for r in dec.find_leaks(frame(spark, rows), bench).collect()}[0] >= 0.75
+
+
 def test_quality_separates_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
