@@ -20,6 +20,7 @@ from hindcast.sources import panel as P
 Query = Callable[[SparkSession, str], DataFrame]
 SIZE, K = 20, 50
 TEST = f"date >= DATE '{SPLITS.test}'"
+NULL_DRAWS, GARCH_DRAWS, RESAMPLES = 500, 20_000, 2_000
 QUERIES: dict[str, Query] = {}
 
 
@@ -131,7 +132,7 @@ _series("fhs_ewma_forecasts", lambda p: M.fhs_ewma(p, 0.94))
 @query
 def garch_forecasts(spark, sf_dir):
     p = _panel(spark, sf_dir)
-    return _out(M.garch_t(p, draws=4000, queries=TEST), p)
+    return _out(M.garch_t(p, draws=GARCH_DRAWS, queries=TEST), p)
 
 
 def _models(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -185,12 +186,12 @@ def paired_holm(spark, sf_dir):
 
 @query
 def block_intervals(spark, sf_dir):
-    return I.bootstrap_intervals(_paired(spark, sf_dir), ["model"], "date")
+    return I.bootstrap_intervals(_paired(spark, sf_dir), ["model"], "date", draws=RESAMPLES)
 
 
 @query
 def confidence_set(spark, sf_dir):
-    return I.model_confidence_sets(_models(spark, sf_dir)[0].withColumn("family", F.lit("pinball")), ["family"], "date", "model", "pinball")
+    return I.model_confidence_sets(_models(spark, sf_dir)[0].withColumn("family", F.lit("pinball")), ["family"], "date", "model", "pinball", draws=RESAMPLES)
 
 
 @query
@@ -257,20 +258,20 @@ def landscapes(spark, sf_dir):
 @query
 def random_control(spark, sf_dir):
     p = _panel(spark, sf_dir)
-    return D.null_scores(D.drawn(p, K, 10, queries=TEST), p)
+    return D.null_scores(D.drawn(p, K, NULL_DRAWS, queries=TEST), p)
 
 
 @query
 def recency_control(spark, sf_dir):
     p = _panel(spark, sf_dir)
-    return D.null_scores(D.recency_matched(M.window_knn(p, SIZE, K, queries=TEST), p, 5), p)
+    return D.null_scores(D.recency_matched(M.window_knn(p, SIZE, K, queries=TEST), p, NULL_DRAWS), p)
 
 
 @query
 def randomisation_test(spark, sf_dir):
     p = _panel(spark, sf_dir)
     real = M.scored(M.risk(M.window_knn(p, SIZE, K, queries=TEST)), p).groupBy("series").agg(F.avg("pinball").alias("mean_pinball"))
-    return D.randomisation_p(D.null_scores(D.drawn(p, K, 10, queries=TEST), p), real)
+    return D.randomisation_p(D.null_scores(D.drawn(p, K, NULL_DRAWS, queries=TEST), p), real)
 
 
 _state_knn("topology_blend_forecasts", lambda p: T.topology_knn(p, 60, K, queries=TEST, alpha=0.5))
@@ -286,12 +287,12 @@ def topology_components(spark, sf_dir):
 @query
 def permuted_topology_control(spark, sf_dir):
     p = _state(spark, sf_dir)
-    return D.null_scores(T.topology_knn(p, 60, K, queries=TEST, control_seed=1, draws=10), p)
+    return D.null_scores(T.topology_knn(p, 60, K, queries=TEST, control_seed=1, draws=NULL_DRAWS), p)
 
 
 @query
 def shuffle_test(spark, sf_dir):
-    return T.shuffle_test(_panel(spark, sf_dir), 60, 20, 10).drop("series")
+    return T.shuffle_test(_panel(spark, sf_dir), 60, 100, 25).drop("series")
 
 
 @query
