@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import struct
 import tempfile
 import uuid
@@ -20,9 +21,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 14
+BUCKET_BYTES, TASK_BYTES = 64 << 20, 128 << 20
+FEW_ROWS, SALTS = 200_000, 64  # a lookup of no more rows is broadcast; hot keys are dealt over so many tasks
 SEGMENT = 1 << 20
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: after all others
 BLOCK_SCHEMA = "kind int, block long, bucket int, payload binary"
@@ -112,15 +115,15 @@ def spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """Texts of a block: ``doc_id`` (``NO_ID`` for null), ``null`` and, in ``buf``, the texts, each with a line feed after it.
 
-    ``carried`` holds what goes along with each text unread, or nothing.
+    ``carried`` holds what goes along with the texts unread, an Arrow array as a stream, or nothing.
     """
 
-    def __init__(self, doc_id: np.ndarray, texts: list[bytes | None], carried: list[bytes] = ()):
+    def __init__(self, doc_id: np.ndarray, texts: list[bytes | None], carried: bytes = b""):
         self.doc_id, self.null = doc_id, np.array([t is None for t in texts], bool)
         self.length = np.array([len(t or b"") for t in texts], np.int64)
         self.buf = np.frombuffer(b"\n".join([t or b"" for t in texts] + [b""]), np.uint8)
         self.begin = np.concatenate(([0], np.cumsum(self.length + 1)))
-        self.carried = list(carried)
+        self.carried = carried
 
     def __len__(self) -> int:
         return len(self.doc_id)
@@ -135,38 +138,65 @@ class Block:
         return s, e, hashes(buf, s, e), np.searchsorted(s, self.begin)
 
     def pack(self) -> bytes:
-        along = np.frombuffer(b"".join(self.carried), np.uint8)
-        return pack(self.doc_id, self.null, self.length, self.buf, np.array([len(c) for c in self.carried], np.int64), along)
+        return pack(self.doc_id, self.null, self.length, self.buf, np.frombuffer(self.carried, np.uint8))
 
     @classmethod
     def unpack(cls, data: bytes) -> Block:
         self = cls.__new__(cls)
-        self.doc_id, self.null, self.length, self.buf, sizes, along = unpack(data)
+        self.doc_id, self.null, self.length, self.buf, along = unpack(data)
         self.begin = np.concatenate(([0], np.cumsum(self.length + 1)))
-        cut, along = np.concatenate(([0], np.cumsum(sizes))).tolist(), along.tobytes()
-        self.carried = [along[i:j] for i, j in zip(cut[:-1], cut[1:])]
+        self.carried = along.tobytes()
         return self
 
+    def along(self, kind: DataType) -> pa.Array:
+        """What was carried, a value a text, as Spark takes back that type (sessions name one time zone in several ways)."""
+        from pyspark.sql.pandas.types import to_arrow_type
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of about ``size`` bytes from batches of an id, a text and, if there is a third column, what is carried."""
+        return pa.ipc.open_stream(self.carried).read_all().column(0).combine_chunks().cast(to_arrow_type(kind))
+
+
+def stream(arrays: list[pa.Array]) -> bytes:
+    """Arrays as one Arrow stream; nothing for none."""
+    if not arrays:
+        return b""
+    batch = pa.RecordBatch.from_arrays([pa.concat_arrays(arrays)], ["carried"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES, docs: int = BLOCK_DOCS) -> Iterator[Block]:
+    """Blocks of about ``size`` bytes and ``docs`` texts at most, from batches of an id, a text and, if there is a third column, what is carried.
+
+    A text longer than ``size`` ends its block and is held whole.
+    """
     ids, texts, carried, held = [], [], [], 0
     for b in batches:
         key = b.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-        text = b.column(1).cast(pa.binary())
-        more = b.column(2).cast(pa.binary()) if b.num_columns > 2 else None
+        text, begun = b.column(1).cast(pa.binary()), 0
         for i in range(0, len(key), 256):
-            along = more.slice(i, 256).to_pylist() if more is not None else []
             for k, t in enumerate(text.slice(i, 256).to_pylist()):
                 ids.append(key[i + k])
                 texts.append(t)
-                carried += along[k : k + 1]
                 held += len(t or b"") + 1
-                if held >= size:
-                    yield Block(np.array(ids, np.int64), texts, carried)
-                    ids, texts, carried, held = [], [], [], 0
+                if held >= size or len(ids) >= docs:
+                    if b.num_columns > 2:
+                        carried.append(b.column(2).slice(begun, i + k + 1 - begun))
+                    yield Block(np.array(ids, np.int64), texts, stream(carried))
+                    ids, texts, carried, held, begun = [], [], [], 0, i + k + 1
+        if b.num_columns > 2 and begun < len(key):
+            carried.append(b.column(2).slice(begun))
     if ids:
-        yield Block(np.array(ids, np.int64), texts, carried)
+        yield Block(np.array(ids, np.int64), texts, stream(carried))
+
+
+def within(b: pa.RecordBatch) -> Iterator[tuple[Block, int]]:
+    """Blocks of one batch's ``doc_id`` and ``text``, each with its first row's place, so that its other columns can stay beside."""
+    at = 0
+    for block in blocks(iter([b.select(["doc_id", "text"])])):
+        yield block, at
+        at += len(block)
 
 
 def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +221,15 @@ def unplanes(a: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(a.reshape(4, -1).T).view("<u4").ravel()
 
 
+def planes8(a: np.ndarray) -> np.ndarray:
+    """``planes`` of 64-bit numbers."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def unplanes8(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.reshape(8, -1).T).view("<u8").ravel()
+
+
 def per_word(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values`` by text, of which text i has ``first[i]`` to ``first[i + 1]``."""
     kind = np.float64 if values.dtype.kind == "f" else np.int64
@@ -204,8 +243,18 @@ def ids_out(doc_id: np.ndarray) -> pa.Array:
     return pa.array(doc_id, pa.int64(), mask=doc_id == NO_ID)
 
 
-def n_buckets(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def volume(texts: DataFrame) -> int:
+    """Bytes of all of ``text``."""
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def n_buckets(spark: SparkSession, size: int = 0) -> int:
+    """Four a shuffle partition, and more where one would stand for over ``BUCKET_BYTES`` of text, as a bucket is held whole."""
+    return max(4 * partitions(spark), -(-size // BUCKET_BYTES))
 
 
 def slices(keys: np.ndarray, n: int) -> np.ndarray:
@@ -229,20 +278,28 @@ def rows_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "block", "bucket", "payload"])
 
 
-def answer(asked: DataFrame, reply: Callable[[list[list[np.ndarray]]], list[np.ndarray]]) -> DataFrame:
+def tasks(spark: SparkSession, size: int) -> int:
+    """As many tasks as the session shuffles to, and more where one would stand for over ``TASK_BYTES`` of text."""
+    return max(partitions(spark), -(-size // TASK_BYTES))
+
+
+def answer(asked: DataFrame, reply: Callable[..., list[np.ndarray]], size: int = 0, numbered: bool = False) -> DataFrame:
     """Answers by block and bucket.  ``reply`` gets, of one bucket, each block's arrays and gives an array for each.
 
+    With ``numbered`` it gets the bucket's number too.
+
     Arrays beyond those are about the bucket itself: they stand under block -1.
     """
 
     def bucket(table: pa.Table) -> pa.Table:
         got = [unpack(p) for p in table.column("payload").to_pylist()]
-        out = [pack(*a) if isinstance(a, tuple) else pack(a) for a in reply(got)]
+        out = [pack(*a) if isinstance(a, tuple) else pack(a) for a in (reply(got, table.column("bucket")[0].as_py()) if numbered else reply(got))]
         extra = [-1] * (len(out) - len(got))
         no = pa.array(table.column("block").to_pylist() + extra, pa.int64())
         return pa.table({"block": no, "bucket": pa.array([table.column("bucket")[0].as_py()] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(bucket, "block long, bucket int, payload binary")
+    n, spark = tasks(asked.sparkSession, size), asked.sparkSession
+    return (asked.repartition(n, "bucket") if n > partitions(spark) else asked).groupBy("bucket").applyInArrow(bucket, "block long, bucket int, payload binary")
 
 
 def combine(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,7 +309,7 @@ def combine(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return distinct, place, np.concatenate(([0], np.cumsum([len(g[0]) for g in got])))
 
 
-def told(states: DataFrame, answers: DataFrame, use: Callable[[int, bytes, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+def told(states: DataFrame, answers: DataFrame, use: Callable[[int, bytes, list[np.ndarray]], pa.Table], schema: str, size: int = 0) -> DataFrame:
     """``use`` gets each block's number, its state and all answers to it, in the order of its keys."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -260,7 +317,14 @@ def told(states: DataFrame, answers: DataFrame, use: Callable[[int, bytes, list[
         got = right.column("payload").to_pylist()
         return use(left.column("block")[0].as_py(), left.column("payload")[0].as_py(), [unpack(got[i])[0] for i in order])
 
-    return states.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)
+    return by_block(states, answers, one, schema, size)
+
+
+def by_block(states: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType, size: int) -> DataFrame:
+    """``use`` of each block's state and the answers to it."""
+    n, spark = tasks(states.sparkSession, size), states.sparkSession
+    deal = lambda df: df.repartition(n, "block") if n > partitions(spark) else df
+    return deal(states).groupBy("block").cogroup(deal(answers).groupBy("block")).applyInArrow(use, schema)
 
 
 def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
@@ -270,8 +334,8 @@ def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
 class Shared:
     """A folder below the one in ``spark.checkpoint.dir``, which all executors share.
 
-    Where that setting is missing, as in tests, a temporary folder of this machine takes its place.
-    The folder goes when the driver ends, or with ``drop``.
+    Where that setting is missing, a temporary folder of this machine takes its place for a local master, as in
+    tests; on a cluster that is an error.  The folder goes when the driver ends, or with ``drop``.
     """
 
     _made: dict[str, str] = {}
@@ -279,6 +343,8 @@ class Shared:
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             app = spark.sparkContext.applicationId
             base = Shared._made[app] = Shared._made.get(app) or f"file://{tempfile.mkdtemp(prefix='hindcast-')}"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -290,11 +356,18 @@ class Shared:
     def write(self, df: DataFrame, part: str, by: list[str] | None = None, few: bool = False) -> DataFrame:
         """Writes and rereads.  ``few``: small results of a shuffle, in a file for some 16 of its partitions but for two a core at least."""
         if few:
-            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+            df = df.coalesce(max(2 * self.spark.sparkContext.defaultParallelism, partitions(self.spark) // 16))
         w = df.write.option("compression", "none" if "payload" in df.columns else "zstd")
         (w.partitionBy(*by) if by else w).parquet(self.path(part))
         return self.spark.read.schema(df.schema).parquet(self.path(part))
 
+    def write_dealt(self, df: DataFrame, part: str, n: int) -> DataFrame:
+        """Writes and rereads rows dealt by ``block`` to ``n`` files, so that later meetings by block don't shuffle them."""
+        name = f"{self.root.rpartition('/')[2]}_{part}".replace("-", "_")
+        out = df.repartition(n, "block").write.bucketBy(n, "block").format("parquet").option("compression", "none")
+        out.option("path", self.path(part)).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, part: str = "") -> None:
         try:
             jvm = self.spark.sparkContext._jvm
@@ -308,19 +381,35 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def pair(df: DataFrame, key: str, text: str, carry: bool = False) -> DataFrame:
-    """An integer id and a text; with ``carry`` also all other columns, as JSON, for ``unpair``."""
+def pair(df: DataFrame, key: str, text: str, carry: list[str] | None = None) -> DataFrame:
+    """An integer id and a text; with ``carry`` also those columns, as they are, in a struct for ``unpair``."""
     two = [F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")]
-    more = [F.col(f"`{c}`") for c in df.columns if c not in (key, text)]
-    return df.select(*two, *([F.to_json(F.struct(*more) if more else F.struct(F.lit(0).alias("none"))).alias("carried")] if carry else []))
+    return df.select(*two, *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
+
 
+def paired(like: DataFrame, carry: list[str], *new: str) -> StructType:
+    """The schema of ``pair``'s columns and the longs ``new``."""
+    rest = [StructField("carried", StructType([like.schema[c] for c in carry]))] if carry else []
+    return StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *rest, *(StructField(c, LongType()) for c in new)])
 
-def unpair(found: DataFrame, like: DataFrame, key: str, text: str, *new: str) -> DataFrame:
-    """The columns of ``like``, with ``doc_id``, ``text`` and ``carried`` of ``found`` put back, then the columns ``new``."""
-    rest = StructType([f for f in like.schema if f.name not in (key, text)])
-    back = found.withColumn("carried", F.from_json("carried", rest)) if len(rest) else found
+
+def unpair(found: DataFrame, like: DataFrame, key: str, text: str, carry: list[str], *new: str) -> DataFrame:
+    """The columns of ``like`` but for those named as in ``new``, from ``doc_id``, ``text`` and ``carried`` of ``found``, then the columns ``new``."""
     own = {key: F.col("doc_id").cast(like.schema[key].dataType), text: F.col("text")}
-    return back.select(*((own.get(c) if c in own else F.col("carried").getField(c)).alias(c) for c in like.columns), *new)
+    return found.select(*((own[c] if c in own else F.col("carried").getField(c)).alias(c) for c in like.columns if c in own or c in carry), *new)
+
+
+def meet(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` with the row of ``one`` for its keys, of which ``one`` has no two alike.
+
+    ``one`` is counted: up to ``FEW_ROWS`` rows it is broadcast.  Beyond that a key's rows are dealt over ``SALTS``
+    tasks by the hash of ``by``, and ``one`` goes to those tasks that ask for it.
+    """
+    if one.count() <= FEW_ROWS:
+        return many.join(F.broadcast(one), keys, how)
+    salted = many.withColumn("salt__", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    wanted = salted.select(*keys, "salt__").distinct().join(one, keys)
+    return salted.join(wanted, [*keys, "salt__"], how).drop("salt__")
 
 
 def crc32(doc_id: np.ndarray) -> np.ndarray:

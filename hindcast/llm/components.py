@@ -22,8 +22,10 @@ def components(edges: DataFrame, shared: B.Shared, name: str = "labels") -> Data
         step += 1
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        moved = spread.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("label"), (F.least("to", F.coalesce("far", "to")) != F.col("label")).alias("moved"))
+        # many nodes share a label: it is looked up once for each of the tasks they are dealt over
+        spread = spread.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(B.SALTS)))
+        jump = spread.select("to", "salt").distinct().join(labels.select(F.col("node").alias("to"), F.col("label").alias("far")), "to")
+        moved = spread.join(jump, ["to", "salt"], "left").select("node", F.least("to", F.coalesce("far", "to")).alias("label"), (F.least("to", F.coalesce("far", "to")) != F.col("label")).alias("moved"))
         moved = shared.write(moved, f"{name}-{step}", few=True)
         again = not moved.where("moved").isEmpty()
         shared.drop(f"{name}-{step - 1}")

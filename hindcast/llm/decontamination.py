@@ -9,7 +9,8 @@ other word -1, word too many or too few -1) is divided by its greatest value, tw
 The benchmark goes to the workers in slices of ``SLICE`` bytes at most, one pass over the documents for
 each; nothing else is sent and no documents are shuffled.
 
-Null and empty texts and items match nothing, nor do items of fewer than three words.  A null
+Ids are integers, here as in all operators; a string that isn't one is an error.  A text longer than a block
+is a block of its own.  Null and empty texts and items match nothing, nor do items of fewer than three words.  A null
 ``doc_id`` or ``item_id`` stays null; repeated documents each give their rows, repeated items count once
 for each id.  Other columns are left out.  Empty tables give no rows.
 """
@@ -138,35 +139,41 @@ def _hits(items: Items, lookup: Lookup, ids: np.ndarray, first: np.ndarray) -> t
     return doc[begins], item[begins], lo[begins], np.maximum.reduceat(hi, begins)
 
 
+def matches(items: Items, lookup: Lookup, block: B.Block, score: float) -> dict[tuple[int, int], tuple[float, int, int]]:
+    """Score and, negated, first and last word of the best place, by text and item."""
+    ids, first = words(block)
+    doc, item, lo, hi = _hits(items, lookup, ids, first)
+    found: dict[tuple[int, int], tuple] = {}
+    order = np.lexsort((hi - lo, item))
+    i = 0
+    while i < len(order):  # regions of one item side by side, similar lengths together
+        it, j = item[order[i]], i + 1
+        while j < len(order) and item[order[j]] == it and j - i < 256 and (j - i) * (hi - lo)[order[j]] < 1 << 17:
+            j += 1
+        mine = order[i:j]
+        rows = np.zeros((len(mine), int((hi - lo)[mine].max())), np.uint64)
+        for r, m in enumerate(mine):
+            rows[r, : hi[m] - lo[m]] = ids[lo[m] : hi[m]]
+        enough = np.isin(rows, items.kinds[it]).sum(1) >= score * len(items.words[it])  # words that match give 2 each at most
+        i = j
+        if not enough.any():
+            continue
+        mine, rows = mine[enough], rows[enough]
+        value, begin, end = align(items.words[it], rows)
+        share = value / (2.0 * len(items.words[it]))
+        for r in np.flatnonzero(share >= score):
+            m = mine[r]
+            f = lo[m] - first[doc[m]]
+            got = (float(share[r]), -int(f + begin[r]), int(f + end[r]))
+            found[doc[m], it] = max(found.get((doc[m], it), got), got)
+    return found
+
+
 def _find(items: Items, score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(items.keys)
         for block in B.blocks(batches):
-            ids, first = words(block)
-            doc, item, lo, hi = _hits(items, lookup, ids, first)
-            found: dict[tuple[int, int], tuple] = {}
-            order = np.lexsort((hi - lo, item))
-            i = 0
-            while i < len(order):  # regions of one item side by side, similar lengths together
-                it, j = item[order[i]], i + 1
-                while j < len(order) and item[order[j]] == it and j - i < 256 and (j - i) * (hi - lo)[order[j]] < 1 << 17:
-                    j += 1
-                mine = order[i:j]
-                rows = np.zeros((len(mine), int((hi - lo)[mine].max())), np.uint64)
-                for r, m in enumerate(mine):
-                    rows[r, : hi[m] - lo[m]] = ids[lo[m] : hi[m]]
-                enough = np.isin(rows, items.kinds[it]).sum(1) >= score * len(items.words[it])  # words that match give 2 each at most
-                i = j
-                if not enough.any():
-                    continue
-                mine, rows = mine[enough], rows[enough]
-                value, begin, end = align(items.words[it], rows)
-                share = value / (2.0 * len(items.words[it]))
-                for r in np.flatnonzero(share >= score):
-                    m = mine[r]
-                    f = lo[m] - first[doc[m]]
-                    got = (float(share[r]), -int(f + begin[r]), int(f + end[r]))
-                    found[doc[m], it] = max(found.get((doc[m], it), got), got)
+            found = matches(items, lookup, block, score)
             keys = sorted(found)
             names = pa.array([items.ids[i] for _, i in keys], pa.int64())
             yield pa.RecordBatch.from_arrays([B.ids_out(block.doc_id[np.array([d for d, _ in keys], int)]), names, *(pa.array([sign * found[k][c] for k in keys], t) for c, sign, t in ((0, 1, pa.float64()), (1, -1, pa.int64()), (2, 1, pa.int64())))], ["doc_id", "item_id", "score", "first_word", "last_word"])
@@ -174,23 +181,44 @@ def _find(items: Items, score: float):
     return run
 
 
+def _clean(items: Items, score: float):
+    """Batches without the rows that hold an item; the first two columns are for the search only and stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(items.keys)
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for block, lo in B.within(b):
+                keep[[lo + d for d, _ in matches(items, lookup, block, score)]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def _slices(benchmark: DataFrame, item_id: str, item_text: str, slice_bytes: int) -> Iterator[Items]:
+    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    parts = max(1, -(-2 * size // slice_bytes)) if size > slice_bytes else 1
+    for part in range(parts):
+        yield Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().collect()])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE, slice_bytes: int = SLICE) -> DataFrame:
     """A row for each document and item whose alignment scores ``score`` or more: the score and the words it covers in the document."""
     spark, texts = docs.sparkSession, B.pair(docs, doc_id, text)
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    parts = max(1, -(-2 * size // slice_bytes)) if size > slice_bytes else 1
     out = spark.createDataFrame([], SCHEMA)
-    for part in range(parts):
-        mine = Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).distinct().collect()])
+    for mine in _slices(benchmark, item_id, item_text, slice_bytes):
         out = out.unionByName(texts.mapInArrow(_find(mine, score), SCHEMA))
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents that ``find_leaks`` names."""
-    leaks = find_leaks(docs, benchmark, doc_id, text, **how).select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias(doc_id)).distinct()
-    return docs.join(leaks, doc_id, "left_anti").select(*docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", score: float = SCORE, slice_bytes: int = SLICE) -> DataFrame:
+    """``docs`` without the rows that hold an item, whatever their ids, all slices in one pass; nothing is shuffled."""
+    names = docs.columns
+    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
+    for mine in _slices(benchmark, item_id, item_text, slice_bytes):
+        rows = rows.mapInArrow(_clean(mine, score), rows.schema)
+    return rows.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ block asks for the levels of its distinct n-grams; nothing is broadcast.
 
 with W = ``WEIGHT``, or 0 where v was never seen.  ``base_score`` uses exact counts instead.
 
-Null and empty texts are the end token alone.  A null ``doc_id`` stays null, with ``held_out`` null,
-and its text is not learned from; repeated rows are learned from and scored each; other columns are
+Null and empty texts are the end token alone; a text longer than a block is a block of its own.  A null
+``doc_id`` stays null, is not held out, and its text is not learned from; repeated rows are learned from and scored each; other columns are
 left out.  An empty table gives no rows.
 """
 
@@ -91,7 +91,7 @@ def _tokens(block: B.Block, fold: int, of: int):
     """Tokens with an end token before each text and after the last, where each text's begin, and whether to learn from it."""
     crc = B.crc32(block.doc_id)
     _, _, h, first = block.words(B.LOWER)
-    return np.append(np.insert(h, first[:-1], END), END), first + np.arange(len(first)), (crc >= 0) & (crc % of != fold), crc % of == fold
+    return np.append(np.insert(h, first[:-1], END), END), first + np.arange(len(first)), (crc >= 0) & (crc % of != fold), (crc >= 0) & (crc % of == fold)
 
 
 def _unigrams(buckets: int, fold: int, of: int):
@@ -126,8 +126,9 @@ def _sum(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 2, of: int = 7) -> DataFrame:
     """Scores of all texts by a model of those whose crc32(id as text) modulo ``of`` is not ``fold``."""
     spark, each = docs.sparkSession, BITS_EACH
-    shared, buckets = B.Shared(spark, "lm-scoring"), B.n_buckets(spark)
-    texts = B.pair(docs, doc_id, text)
+    shared, texts = B.Shared(spark, "lm-scoring"), B.pair(docs, doc_id, text)
+    size = B.volume(texts)
+    buckets = B.n_buckets(spark, size)
     table = shared.write(texts.mapInArrow(_unigrams(buckets, fold, of), B.BLOCK_SCHEMA), "words", ["kind"])
 
     def unigrams(got):
@@ -145,11 +146,11 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
             for p in b.column("payload").to_pylist():
                 yield pa.RecordBatch.from_pydict(dict(zip(("n", "v"), B.unpack(p)[0].reshape(2, 1))))
 
-    answers = shared.write(B.answer(table.where("kind = 1"), unigrams), "unigrams", few=True)
+    answers = shared.write(B.answer(table.where("kind = 1"), unigrams, size), "unigrams", few=True)
     shared.drop("words/kind=1")
     total = answers.where("block = -1").mapInArrow(totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n_all, v_all = total.n, total.v
-    twos = B.answer(table.where("kind = 0").mapInArrow(_bigrams(buckets), B.BLOCK_SCHEMA), bigrams)
+    twos = B.answer(table.where("kind = 0").mapInArrow(_bigrams(buckets), B.BLOCK_SCHEMA), bigrams, size)
 
     def score(_: int, state: bytes, parts: list[np.ndarray]) -> pa.Table:
         ids, held, first, keys, place = B.unpack(state)
@@ -160,17 +161,17 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold:
         log_all = np.log10(n_all + v_all + 1)
         n = np.diff(first)
         base = B.per_word(np.log10(count + 1)[place[1:]], first) - n * log_all
-        alone = (one + 1) / (n_all + v_all + 1)
+        alone = np.minimum((one + 1) / (n_all + v_all + 1), 1)
         before = one[place[:-1]]
         w = np.where(before > 0, WEIGHT, 0.0)
         logs = np.log10(w * np.minimum(1, two[pair] / np.maximum(before, 1)) + (1 - w) * alone[place[1:]])
         return pa.table({
-            "doc_id": B.ids_out(ids), "held_out": pa.array(held, pa.bool_(), mask=ids == B.NO_ID), "n_tokens": n, "n_known": B.per_word((count > 0)[place[1:]].astype(np.int64), first),
+            "doc_id": B.ids_out(ids), "held_out": pa.array(held), "n_tokens": n, "n_known": B.per_word((count > 0)[place[1:]].astype(np.int64), first),
             "train_tokens": np.full(len(ids), n_all, np.int64), "base_score": base, "score": B.per_word(logs, first),
         })
 
     both = answers.where("block >= 0").unionByName(twos.withColumn("bucket", F.col("bucket") + buckets))
-    return B.told(table.where("kind = 0"), both, score, SCHEMA)
+    return B.told(table.where("kind = 0"), both, score, SCHEMA, size)
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

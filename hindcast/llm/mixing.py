@@ -7,11 +7,14 @@ weight), so a shortage stays among siblings until their parent is full, and only
 
 A leaf takes its documents whole for as many epochs as its budget holds, then, of the next epoch's
 seeded order, the longest prefix whose tokens fit.  Prefixes are found by range of the order's hash:
-sums a range come first, and only the range that holds the end is sorted, so no leaf is one task.
-
-Null domains, languages and sources are nodes of their own, named ``none``.  A null text has no tokens.
-A null ``doc_id`` is ordered as the text ``none``; rows with equal ids stand side by side, fewer
-tokens first.  Other columns are kept, but for a column named ``copies``, which is replaced.
+sums a range come first, and only the range that holds the end is looked at closer, so no leaf is one
+task.  Texts are read where they lie: the ends of prefixes, a row a leaf, go to them.
+
+Null domains, languages and sources are nodes of their own, named ``none``.  A node of weight 0 takes
+nothing; weights below 0 are an error.  A null text has no tokens.  A null ``doc_id`` is ordered as the
+text ``none``; rows with equal ids stand side by side, fewer tokens first, then by the hash of the
+text.  Of rows alike in all that as many are taken as fit.  A text of any length is one row, taken
+whole or not at all.  Other columns are kept, but for a column named ``copies``, which is replaced.
 An empty table gives no rows.
 """
 
@@ -42,11 +45,12 @@ def _weight(name: str, weights: dict[str, float]) -> Column:
 
 def _fill(nodes: DataFrame, parents: list[str], name: str, budget: str) -> DataFrame:
     """Adds ``got``: each node's part of its parent's ``budget``, by ``w`` and no more than ``cap``."""
-    by = Window.partitionBy(*parents).orderBy((F.col("cap") / F.col("w")).asc(), F.col(name).asc())
+    part = F.when(F.col("w") > 0, F.col("cap") / F.nullif("w", F.lit(0.0))).otherwise(float("inf"))
+    by = Window.partitionBy(*parents).orderBy(part.asc(), F.col(name).asc())
     before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))
-    out = nodes.withColumn("level", (F.col(budget) - before) / rest).withColumn("full", F.col("cap") / F.col("w") <= F.col("level"))
-    level = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*parents))
+    rest = F.nullif(F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)), F.lit(0.0))
+    out = nodes.withColumn("level", (F.col(budget) - before) / rest).withColumn("full", F.coalesce(part <= F.col("level"), F.lit(False)))
+    level = F.coalesce(F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy(*parents)), F.lit(0.0))
     return out.withColumn("got", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * level)).drop("level", "full", budget, "w")
 
 
@@ -67,36 +71,49 @@ def mix(
     domains: dict[str, float] = DOMAINS, languages: dict[str, float] = LANGUAGES, sources: dict[str, float] = {}, domain: Column | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, with ``copies``: in how many epochs.  The target is ``share`` of all tokens."""
+    if any(w < 0 for table in (domains, languages, sources) for w in table.values()):
+        raise ValueError("weights must not be negative")
     q = lambda c: F.col(f"`{c}`")
     shared = B.Shared(docs.sparkSession, "mixing")
     name = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     slim = docs.select(
         name(domain if domain is not None else domain_of(q(source))).alias("domain"), name(q(lang)).alias("lang"), name(q(source)).alias("source"),
-        name(q(doc_id)).alias("id"), F.coalesce(F.regexp_count(q(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("n"), F.struct(*(q(c) for c in docs.columns)).alias("row"),
+        name(q(doc_id)).alias("id"), F.coalesce(F.regexp_count(q(text), F.lit(WORDS)), F.lit(0)).cast("long").alias("n"), F.xxhash64(q(text)).alias("h"), F.struct(*(q(c) for c in docs.columns)).alias("row"),
     )
-    leaf = ["domain", "lang", "source"]
+    leaf, key = ["domain", "lang", "source"], ["at", "n", "h"]
     slim_ids = shared.write(slim.drop("row"), "tokens")
     plan = budgets(slim_ids.groupBy(*leaf).agg(F.sum("n").alias("tokens")), share, max_epochs, domains, languages, sources)
-    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
+    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.nullif("tokens", F.lit(0)))).otherwise(0).cast("long")
     plan = shared.write(plan.withColumn("epochs", whole).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens")), "plan", few=True)
     order = F.md5(F.concat_ws("|", F.lit(seed), F.col("epochs").cast("string"), F.col("id")))
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        return rows.join(plan.drop("budget", "tokens"), leaf).withColumn("at", order).withColumn("range", F.substring("at", 1, 3))
-
-    sums = ordered(slim_ids).groupBy(*leaf, "range", "left").agg(F.sum("n").alias("n"))
+    place = lambda rows: rows.withColumn("at", order).withColumn("range", F.substring("at", 1, 3))
+    placed = place(B.meet(slim_ids, plan.drop("budget", "tokens"), leaf, ["id"]))
+    sums = placed.groupBy(*leaf, "range", "left").agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(*leaf).orderBy("range"))
-    ranges = shared.write(sums.withColumn("upto", upto).select(*leaf, "range", (F.col("upto") - F.col("n")).alias("before"), "upto"), "ranges", few=True)
-    cut = ranges.join(plan.select(*leaf, "left"), leaf).where("before <= left and upto > left").select(*leaf, "range", "before")
-    ends = ordered(slim_ids).join(cut, [*leaf, "range"])
-    upto = F.sum("n").over(Window.partitionBy(*leaf, "range").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, 0))
-    ends = ends.withColumn("upto", F.col("before") + upto).where("upto <= left").groupBy(*leaf).agg(F.max(F.struct("at", "n")).alias("last"))
-    edge = plan.select(*leaf).join(cut.groupBy(*leaf).agg(F.min("range").alias("cut")), leaf, "left").join(ends, leaf, "left")
-    last = F.col("cut").isNull() | (F.col("range") < F.col("cut")) | F.coalesce((F.struct("at", "n") <= F.col("last")), F.lit(False))
-    rows = ordered(slim).join(edge, leaf)
-    copies = (F.col("epochs") + F.when(last & (F.col("epochs") < max_epochs), 1).otherwise(0)).cast("long")
+    cut = sums.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n")).where("before <= left and upto > left")
+    cut = shared.write(cut.select(*leaf, "range", "before"), "ranges", few=True)
+    # within the range that holds the end, rows alike in ``key`` are one, ``m`` times
+    ends = B.meet(placed, cut, [*leaf, "range"], ["id"]).groupBy(*leaf, *key, "range", "before", "left").agg(F.count("*").alias("m"))
+    upto = F.sum(F.col("m") * F.col("n")).over(Window.partitionBy(*leaf).orderBy(*key))
+    ends = ends.withColumn("start", F.col("before") + upto - F.col("m") * F.col("n")).where("start <= left")
+    fit = F.when(F.col("n") == 0, F.col("m")).otherwise(F.least("m", F.floor((F.col("left") - F.col("start")) / F.nullif("n", F.lit(0)))))
+    ends = ends.withColumn("fit", fit).where("fit > 0").groupBy(*leaf).agg(F.max(F.struct(*key, "fit", "m")).alias("last"))
+    edge = plan.select(*leaf, "epochs").join(cut.select(*leaf, F.col("range").alias("cut")), leaf, "left").join(ends, leaf, "left")
+    edge = shared.write(edge, "edge", few=True)
+    rows, mine, last = place(B.meet(slim, edge, leaf, ["id"])), F.struct(*key), F.struct(*(F.col(f"last.{c}") for c in key))
+    inside = F.col("cut").isNull() | (F.col("range") < F.col("cut")) | F.coalesce(mine <= last, F.lit(False))
     keep = [F.col("row").getField(c).alias(c) for c in docs.columns if c != "copies"]
-    return rows.withColumn("copies", copies).where("copies > 0").select(*keep, "copies")
+    out = lambda rows, more: rows.withColumn("copies", (F.col("epochs") + F.when(more & (F.col("epochs") < max_epochs), 1).otherwise(0)).cast("long")).where("copies > 0").select(*keep, "copies")
+    if edge.where("last.fit < last.m").isEmpty():
+        return out(rows, inside)
+    # some end lies among rows that are alike: those are written with where they lay, counted there and numbered
+    level = F.coalesce(F.col("cut").isNotNull() & (mine == last) & (F.col("last.fit") < F.col("last.m")), F.lit(False))
+    alike = shared.write(rows.where(level).withColumns({"part": F.spark_partition_id(), "fit": F.col("last.fit")}).drop("last"), "alike")
+    parts = alike.groupBy(*leaf, "part").agg(F.count("*").alias("m"))
+    parts = parts.withColumn("earlier", F.sum("m").over(Window.partitionBy(*leaf).orderBy("part")) - F.col("m")).drop("m")
+    nth = F.row_number().over(Window.partitionBy(*leaf, "part").orderBy("id"))
+    alike = alike.join(parts, [*leaf, "part"]).withColumn("nth", F.col("earlier") + nth)
+    return out(rows.where(~level), inside).unionByName(out(alike, F.col("nth") <= F.col("fit")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,11 @@ with each other in tiles of bounded size, none of which emits more links than it
 Similarity is computed from the whole texts.
 
 Texts of fewer words than a shingle have one shingle of all their words.  Null texts and texts
-without words are never duplicates.  A null ``doc_id`` counts as the largest; rows with equal ids are
-one document, each giving a row.  Contents are told apart by a 64-bit hash.  An empty table gives no
-rows.
+without words are never duplicates.  A text of any length is read and compared whole, one at a time.  A
+null ``doc_id`` counts as the largest; rows with equal ids are one document, each giving a row.
+Contents are told apart by a 64-bit hash.  An empty table gives no rows.  ``drop_near_duplicates`` keeps
+other columns, whatever their names; of rows with equal ids the least by text and then by the other
+columns' hash stays, and rows with a null id all do.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
@@ -60,7 +62,7 @@ def multisets(block: B.Block, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
-    """Earliest times, a row for each of ``n`` documents; infinite throughout where a document has no shingle."""
+    """Earliest times, a row for each of ``n`` documents, each of which has a shingle."""
     sig = np.full(n * registers, np.inf)
     total = np.bincount(doc, count, n)
     horizon = registers * (np.log(registers) + 4) / np.maximum(total, 1)
@@ -93,7 +95,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
 
 
 def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), -1, rows)
+    bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), sig.shape[1] // rows, rows)
     h = np.zeros(bits.shape[:2], np.uint64) + np.arange(bits.shape[1], dtype=np.uint64)
     for r in range(rows):
         h = B.mix(h * np.uint64(0xD6E8FEB86659FD93) + bits[:, :, r])
@@ -104,9 +106,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in B.blocks(batches, B.BLOCK_BYTES // 2):
         doc, s, c, content = multisets(block)
         n = np.bincount(doc, c, len(block)).astype(np.int64)
-        h = bands(signatures(doc, s, c, len(block)))
         some = n > 0
-        flat = pa.array(h[some].ravel())
+        h = bands(signatures((np.cumsum(some) - 1)[doc], s, c, int(some.sum())))
+        flat = pa.array(h.ravel())
         ends = np.concatenate(([0], np.cumsum(some * h.shape[1]))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(block.doc_id), pa.array(content.view(np.int64), mask=~some), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "node", "bands"])
 
@@ -194,7 +196,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = members.where("node != lead").select("node", "lead").distinct()
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("least").alias("doc_id")), "node")
     own = shared.write(texts.mapInArrow(_nodes, "doc_id long, node long, text string").join(wanted, ["doc_id", "node"], "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts", few=True)
-    compared = pairs.join(own.withColumnRenamed("text", "a_text"), "node").join(own.select(F.col("node").alias("lead"), F.col("text").alias("b_text")), "lead")
+    # a lead's text goes once to each of the tasks its pairs are dealt over
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(B.SALTS)))
+    leads = pairs.select("lead", "salt").distinct().join(own.select(F.col("node").alias("lead"), F.col("text").alias("b_text")), "lead")
+    compared = pairs.join(own.withColumnRenamed("text", "a_text"), "node").join(leads, ["lead", "salt"])
     compared = compared.select(F.col("node").alias("a"), F.col("lead").alias("b"), "a_text", "b_text").mapInArrow(_verify(similar), "a long, b long, similar boolean")
     compared = shared.write(compared, "compared", few=True)
     labels = components(compared.where("similar").select("a", "b"), shared, "first")
@@ -202,7 +207,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = known.groupBy("band", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("band").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     mixed = mixed.select("band", F.col("top.label").alias("main"), F.ceil(F.col("top.c") / TILE).alias("mains"), F.ceil((F.col("n") - F.col("top.c")) / TILE).alias("others"))
-    dealt = known.join(mixed, "band").withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("others"))))
+    mixed = shared.write(mixed, "mixed", few=True)
+    dealt = B.meet(known, mixed, ["band"], ["node"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("others"))))
     upto = lambda c, f: F.transform(F.sequence(F.lit(0), F.col(c) - 1), lambda i: F.xxhash64("band", *f(i)))
     # the band's largest component needs no comparing with itself: its nodes go once to each tile of the others
     of_main = upto("others", lambda i: (F.lit("main"), i, "mine"))
@@ -212,19 +218,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = dealt.join(useful, "tile", "left_semi").join(own, "node").groupBy("tile").applyInArrow(_tile(similar), "a long, b long")
     over = components(inside, shared, "second").select(F.col("node").alias("label"), F.col("label").alias("to"))
     labels = labels.join(over, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("to", "label").alias("label"))
-    of = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    of = of.join(signed.groupBy("node").agg(F.count("*").alias("rows")), "node")
-    classes = of.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
-    of = of.join(classes, "label").select("node", "class_id", "class_size")
-    found = signed.select("doc_id", "node").join(of, "node", "left")
+    sizes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least"))
+    sizes = shared.write(sizes.join(shared.write(labels, "labels", few=True), "node", "left").where("rows > 1 or label is not null"), "sizes", few=True)
+    classes = sizes.where("label is not null").groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
+    of = B.meet(sizes, shared.write(classes, "classes", few=True), ["label"], ["node"], "left")
+    of = of.select("node", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("class_size", "rows").alias("class_size"))
+    found = B.meet(signed.select("doc_id", "node"), shared.write(of, "of", few=True), ["node"], ["doc_id"], "left")
     real = lambda c: F.when(c != B.NO_ID, c)
     return found.select(real(F.col("doc_id")).alias("doc_id"), real(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` whose id is that of their class, one each, and all whose id is null."""
-    kept = near_duplicates(docs, doc_id, text, similar).where("doc_id = class_id").select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias(doc_id))
-    return docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").select(*docs.columns).dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))
+    key, rest = F.col(f"`{doc_id}`"), [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
+    found = near_duplicates(docs, doc_id, text, similar).where("doc_id is not null")
+    kept = found.where("doc_id = class_id").select(F.col("doc_id").cast(docs.schema[doc_id].dataType).alias("id__")).distinct()
+    rows = docs.where(key.isNotNull()).join(kept, key == F.col("id__"), "left_semi")
+    first = Window.partitionBy(key).orderBy(F.col(f"`{text}`"), F.xxhash64(*rest) if rest else F.lit(0))
+    rows = rows.withColumn("nth__", F.row_number().over(first)).where("nth__ = 1").drop("nth__")
+    return rows.unionByName(docs.where(key.isNull()))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

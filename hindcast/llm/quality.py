@@ -11,9 +11,12 @@ where a level's strength is the moment estimate from the spread of its rates bey
 A document's probability has the log odds of its path's rate (or its host's, or the global one where
 nothing is labelled) plus its evidence.
 
-A null or empty text has no features.  A null host or path is a site named ``none``.  Labels that are
+A labelled document's own label is part of its site's rates and may be in the sample; labels for which
+``held`` is true are in neither, so results on them tell how good the rest is.
+
+A null or empty text has no features; a text of any length is read whole, within one task.  A null host or path is a site named ``none``.  Labels that are
 null are no labels; documents with several rows of labels count with each; a null ``doc_id`` has none.
-Repeated rows each give a row; other columns are left out.  Without labels of both classes the
+Of rows with equal ids the least text is in the sample.  Repeated rows each give a row; other columns are left out.  Without labels of both classes the
 evidence is 0 and the rate that of the labels there are, or 1/2.  An empty table gives no rows.
 """
 
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
@@ -94,7 +97,7 @@ class Classifier:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for block, lo in _parts(b):
+        for block, lo in B.within(b):
             doc, key = features(block)
             order = np.argsort(doc, kind="stable")
             cut = np.searchsorted(doc[order], np.arange(len(block) + 1))
@@ -102,17 +105,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(2).slice(lo, len(block)), b.column(3).slice(lo, len(block))], ["features", *TARGETS])
 
 
-def _parts(b: pa.RecordBatch) -> Iterator[tuple[B.Block, int]]:
-    at = 0
-    for block in B.blocks(iter([b.select(["doc_id", "text"])])):
-        yield block, at
-        at += len(block)
-
-
 def _score(models: list[Classifier]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, lo in _parts(b):
+            for block, lo in B.within(b):
                 doc, key = features(block)
                 sites = [b.column(c).slice(lo, len(block)) for c in (2, 3)]
                 yield pa.RecordBatch.from_arrays([B.ids_out(block.doc_id), *sites, *(pa.array(m.evidence(doc, key, len(block))) for m in models)], ["doc_id", "host", "path", *(f"{t}_evidence" for t in TARGETS)])
@@ -120,12 +116,12 @@ def _score(models: list[Classifier]):
     return run
 
 
-def site_rates(labelled: DataFrame) -> DataFrame:
+def site_rates(labelled: DataFrame, shared: B.Shared) -> DataFrame:
     """``host``, ``path`` and the shrunken rates of both, by target; null ``path``: the host as such, both null: global."""
     sums = [F.sum(t).cast("double").alias(t) for t in TARGETS] + [F.count(t).cast("double").alias(f"{t}_n") for t in TARGETS]
-    paths = labelled.groupBy("host", "path").agg(*sums)
+    paths = shared.write(labelled.groupBy("host", "path").agg(*sums), "paths", few=True)
     again = [F.sum(c).alias(c) for t in TARGETS for c in (t, f"{t}_n")]
-    hosts = paths.groupBy("host").agg(*again)
+    hosts = shared.write(paths.groupBy("host").agg(*again), "hosts", few=True)
     total = hosts.agg(*again).select(*(F.when(F.coalesce(f"{t}_n", F.lit(0.0)) > 0, F.col(t) / F.col(f"{t}_n")).otherwise(0.5).alias(f"{t}_all") for t in TARGETS))
 
     def strength(level: DataFrame) -> DataFrame:
@@ -148,19 +144,22 @@ def site_rates(labelled: DataFrame) -> DataFrame:
     return path_rates.unionByName(host_rates.withColumn("path", F.lit(None).cast("string"))).unionByName(top)
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", sample: int = SAMPLE, held: Column | None = None) -> DataFrame:
     """``quality`` and ``toxic`` probabilities of each document, its site's rates, and ``keep``: good enough and not toxic."""
     shared = B.Shared(docs.sparkSession, "quality")
     name = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("none"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), name(host).alias("host"), name(path).alias("path"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(t).cast("int").alias(t) for t in TARGETS)).where("doc_id is not null")
-    ids = marks.where(" and ".join(f"{t} is not null" for t in TARGETS)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded by ``sample``
-    picked = rows.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * sample).mapInArrow(_sampled, "features binary, quality int, toxic int").collect()
+    marks = marks if held is None else marks.where(~F.coalesce(held, F.lit(False)))
+    ids = marks.where(" and ".join(f"{t} is not null" for t in TARGETS)).orderBy(F.xxhash64("doc_id"), "doc_id", *TARGETS).limit(sample)  # bounded by ``sample``
+    texts = rows.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    one = texts.groupBy("doc_id").agg(F.min(F.struct("text")).alias("least")).select("doc_id", "least.text")
+    picked = one.join(F.broadcast(ids), "doc_id").select("doc_id", "text", *TARGETS).mapInArrow(_sampled, "features binary, quality int, toxic int").collect()
     keys = [B.unpack(r.features)[0] for r in picked]
     doc, key = np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate([*keys, np.zeros(0, np.uint64)])
     models = [Classifier(doc, key, np.array([r[t] for r in picked], np.float64)) for t in TARGETS]
     labelled = rows.select("doc_id", "host", "path").join(marks, "doc_id")
-    rates = shared.write(site_rates(labelled), "rates", few=True)
+    rates = shared.write(site_rates(labelled, shared), "rates", few=True)
     scored = rows.mapInArrow(_score(models), "doc_id long, host string, path string, quality_evidence double, toxic_evidence double")
     named = lambda df, to: df.select(*[c for c in ("host", "path") if c in df.columns], *(F.col(f"{t}_rate").alias(f"{t}_{to}") for t in TARGETS))
     out = scored.join(named(rates.where("path is not null"), "path"), ["host", "path"], "left")

@@ -1,18 +1,21 @@
 """Substring dedup by recompression: long passages that stand in an earlier document go.
 
-A text's words are its first symbols.  Round 1 names each run of one word, the rounds after it name
-pairs: a symbol is a left or a right one by its name and the round, and each left one joins a right
-one that follows.  Names are hashes of what they name, so equal strings have equal names in all
-texts without a dictionary.  Beside each symbol stands the stretch of words it follows from, its own
-and its neighbours': wherever that whole stretch stands, the symbol does too.
-
-A window of ``WINDOW`` words that stands in two documents therefore has all symbols whose stretch it
-holds in both.  So windows holding a symbol that one document alone has are out, and only the rest
-is compared, by two independent 64-bit hashes of all their words.
+Names are global, from a dictionary that Spark shuffles a round: each block asks the owners of its
+distinct words, then of its distinct pairs, and an owner names each one that stands in two texts or
+more, exactly (by the word's bytes, or the pair's two names), and calls the others alone.  Round 0 names
+words; runs of one word are symbols of the word's name and their length.  Each round after it marks
+every symbol as a left or a right one by its name and the round, and a left one joins the right one
+that follows; symbols that are alone join nothing.  Equal strings so have equal symbols inside in all texts.
+
+Beside each symbol stands the stretch of words it follows from, its own and its neighbours': wherever that
+whole stretch stands, the symbol does too.  So a window of ``WINDOW`` words that stands in two texts holds no
+stretch of a symbol that is alone.  What such stretches leave, passages of shared symbols only, is verified:
+the names of each window's words, told apart by two independent 64-bit hashes, meet those of all texts.
 
 ``doc_id`` null sorts after all others; rows with equal ids count as one document for each other and
-each give a row.  Null and empty texts have no words.  Other columns, whatever their names, are
-carried along.  An empty table gives no rows.
+each give a row.  Null and empty texts have no words; a text longer than a block is a block of its own.
+Other columns are kept as they are, but for columns named ``n_words`` or ``n_removed``, which are
+replaced.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,92 +27,168 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
 
-WINDOW, ROUNDS = 50, 5
+WINDOW, ROUNDS = 50, 3
 _RNG = np.random.default_rng(50)
 _KEYS = _RNG.integers(0, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+RUN = np.uint64(40)  # a run's length stands above its word's name
 
 
-def recompress(ids: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Name of each symbol after all rounds, and the first and last word of the stretch it follows from.
+class Symbols:
+    """A block's symbols: name, whether it may stand elsewhere, text, stretch (first and last word).
 
     A stretch that depends on a text's begin or end reaches one word beyond it.
     """
-    n = len(ids)
-    sym, doc = ids, np.repeat(np.arange(len(first) - 1), np.diff(first))
-    left, right = np.arange(n), np.arange(n)
-    lo, hi = first[:-1] - 1, first[1:]
-    for r in range(rounds + 1):
-        if not len(sym):
-            break
-        same = doc[1:] == doc[:-1]
-        if r == 0:
-            glue = same & (sym[1:] == sym[:-1])
-        else:
-            side = (B.mix(sym ^ np.uint64(r * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(63)).astype(bool)
-            glue = same & ~side[:-1] & side[1:]
+
+    def __init__(self, names: np.ndarray, first: np.ndarray):
+        n = len(names)
+        self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        self.lo, self.hi = first[:-1] - 1, first[1:]
+        self.name, self.live, self.round = names, names > 0, 0
+        self.left, self.right = np.arange(n), np.arange(n)
+        same = self.doc[1:] == self.doc[:-1]
+        self._join(same & self.live[1:] & (names[1:] == names[:-1]), lambda head, k: names[head] + ((k - 1).astype(np.uint64) << RUN))
+
+    def _join(self, glue: np.ndarray, name) -> None:
+        n = len(self.name)
+        if not n:
+            return
+        same = self.doc[1:] == self.doc[:-1]
         head = np.flatnonzero(np.concatenate(([True], ~glue)))
-        tail = np.concatenate((head[1:], [len(sym)])) - 1
+        tail = np.concatenate((head[1:], [n])) - 1
+        alone = ~self.live[head]  # these stay as they are, with the stretch they had
+        before = np.where(np.concatenate(([False], same))[head], self.left[np.maximum(head - 1, 0)], self.lo[self.doc[head]])
+        after = np.where(np.concatenate((same, [False]))[tail], self.right[np.minimum(tail + 1, n - 1)], self.hi[self.doc[tail]])
         k = tail - head + 1
-        before = np.where(np.concatenate(([False], same))[head], left[np.maximum(head - 1, 0)], lo[doc[head]])
-        after = np.where(np.concatenate((same, [False]))[tail], right[np.minimum(tail + 1, len(sym) - 1)], hi[doc[tail]])
-        name = sym[head]
-        at = np.flatnonzero(k > 1)
-        with_ = k[at].astype(np.uint64) if r == 0 else sym[tail[at]]
-        name[at] = B.mix(name[at] * np.uint64(0xD6E8FEB86659FD93) + B.mix(with_ + np.uint64(r)))
-        sym, doc, left, right = name, doc[head], before, after
-    return sym, left, right
-
-
-def _symbols(block: B.Block):
-    s, e, ids, first = block.words()
-    sym, left, right = recompress(ids, first)
-    return s, e, ids, first, sym, left, right
-
-
-def ask_symbols(buckets: int):
-    def run(batches):
-        for b in batches:
-            for no, data in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
-                block = B.Block.unpack(data)
-                *_, first, sym, left, _ = _symbols(block)
-                doc = np.searchsorted(first, np.maximum(left, 0), "right") - 1 if len(sym) else np.zeros(0, int)
-                keys, at, place = np.unique(sym, return_index=True, return_inverse=True)
-                several = np.zeros(len(keys), bool)
-                np.logical_or.at(several, place[doc != doc[at][place]], True)
-                yield B.rows_batch(B.asks(1, no, buckets, keys, several))
-
-    return run
-
-
-def shared_by_two(got):
-    keys, place, begin = B.combine(got)
-    hit = (np.bincount(place, minlength=len(keys)) > 1) | (np.bincount(place, np.concatenate([g[1] for g in got]), len(keys)) > 0)
-    return [np.packbits(hit[place[i:j]]) for i, j in zip(begin[:-1], begin[1:])]
-
-
-def candidates(block: B.Block, flags: list[tuple[int, np.ndarray]], buckets: int, window: int):
-    """Windows that may stand in two documents: where they begin, two hashes and the text's number; with the block's words."""
-    s, e, ids, first, sym, left, right = _symbols(block)
-    keys, place = np.unique(sym, return_inverse=True)
-    cut, known = B.slices(keys, buckets), np.zeros(len(keys), bool)
-    for b, bits in flags:
-        known[cut[b] : cut[b + 1]] = np.unpackbits(bits, count=cut[b + 1] - cut[b]).astype(bool)
-    out = np.zeros(len(ids) + 1, np.int64)
-    alone = ~known[place] & (right - left < window)
-    frm, to = np.maximum(right[alone] - window + 1, 0), left[alone]
-    ok = frm <= to  # a stretch that leaves its text only rules out windows that do so too
-    np.add.at(out, frm[ok], 1)
-    np.add.at(out, to[ok] + 1, -1)
-    free = np.cumsum(out[:-1]) == 0
-    doc = np.repeat(np.arange(len(block)), np.diff(first))
-    fits = np.arange(len(ids)) + window <= first[1:][doc]
-    at = np.flatnonzero(free & fits)
-    h = [np.zeros(len(at), np.uint64) for _ in range(2)]
-    for j in range(window):
-        word = ids[at + j]
-        for k in range(2):
-            h[k] += word * _KEYS[k, j]
-    return s, e, first, at, B.mix(h[0]), B.mix(h[1]), doc[at]
+        names = np.where(k > 1, name(head, k), self.name[head])
+        self.left, self.right = np.where(alone, self.left[head], before), np.where(alone, self.right[tail], after)
+        self.doc, self.live, self.name = self.doc[head], self.live[head], names
+
+    def pairs(self) -> np.ndarray:
+        """Where a left symbol begins a pair in the next round."""
+        side = (B.mix(self.name ^ np.uint64((self.round + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(63)).astype(bool)
+        return (self.doc[1:] == self.doc[:-1]) & self.live[1:] & self.live[:-1] & ~side[:-1] & side[1:]
+
+    def join(self, told: np.ndarray) -> None:
+        """Joins pairs under the names that their owners gave, 0 for those that are alone."""
+        glue = self.pairs()
+        self.round += 1
+        at = np.flatnonzero(glue)
+        new = np.zeros(len(self.name), np.uint64)
+        new[at] = np.where(told > 0, told << np.uint64(3) | np.uint64(self.round), 0)
+        live = self.live.copy()
+        live[at[told == 0]] = False
+        was = self.live
+        # the stretches of pairs that are alone must grow once more, so liveness changes after the joining
+        self._join(glue, lambda head, k: new[head])
+        heads = np.flatnonzero(np.concatenate(([True], ~glue))) if len(was) else at
+        self.live = live[heads]
+
+
+def _ask(kind: int, no: int, buckets: int, key: np.ndarray, parts) -> list[tuple]:
+    """Rows that ask the owners of the keys, which are in the order of their buckets; ``parts`` makes the arrays of a slice."""
+    cut = np.searchsorted(B.bucket_of(key, buckets), np.arange(buckets + 1))
+    return [(kind, no, b, B.pack(*parts(slice(i, j)))) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+
+
+def _several(doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the distinct things, the first of each being ``at``, stand in two texts of the block."""
+    out = np.zeros(len(at), bool)
+    out[place[doc != doc[at][place]]] = True
+    return out
+
+
+class Reader:
+    """What a block knows after some rounds; asks and answers are in the order of buckets, then of bytes or names."""
+
+    def __init__(self, block: B.Block, buckets: int):
+        self.block, self.buckets = block, buckets
+        self.s, self.e, h, self.first = block.words()
+        keys, at, place = np.unique(h, return_index=True, return_inverse=True)
+        data, bucket = block.buf.tobytes(), B.bucket_of(keys, buckets).tolist()
+        texts = [data[i:j] for i, j in zip(self.s[at].tolist(), self.e[at].tolist())]
+        order = sorted(range(len(keys)), key=lambda i: (bucket[i], texts[i]))
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        self.texts, self.keys, self.at, self.place = [texts[i] for i in order], keys[order], at[order], rank[place]
+
+    def ask_words(self, no: int) -> list[tuple]:
+        doc = np.repeat(np.arange(len(self.block)), np.diff(self.first))
+        several, size = _several(doc, self.place, self.at), np.array([len(t) for t in self.texts], np.int64)
+        return _ask(1, no, self.buckets, self.keys, lambda x: (B.narrow(size[x]), np.frombuffer(b"".join(self.texts[x]), np.uint8), np.packbits(several[x])))
+
+    def told(self, answers: list[np.ndarray]) -> None:
+        """Words' names and as many rounds of pairs as there are answers."""
+        self.names = (answers[0] << np.uint64(3))[self.place] if len(self.place) else np.zeros(0, np.uint64)
+        self.symbols = Symbols(self.names, self.first)
+        for got in answers[1:]:
+            self.symbols.join(got[self._pairs()[-1]])
+
+    def _pairs(self):
+        y = self.symbols
+        at = np.flatnonzero(y.pairs())
+        a, b = y.name[at], y.name[np.minimum(at + 1, len(y.name) - 1)]
+        keys, first, place = np.unique(B.mix(a * np.uint64(0xD6E8FEB86659FD93) + B.mix(b)), return_index=True, return_inverse=True)
+        order = np.lexsort((b[first], a[first], B.bucket_of(keys, self.buckets)))
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        return keys[order], a[first][order], b[first][order], first[order], y.doc[at], rank[place]
+
+    def ask_pairs(self, no: int) -> list[tuple]:
+        keys, a, b, first, doc, place = self._pairs()
+        several = _several(doc, place, first)
+        return _ask(1, no, self.buckets, keys, lambda x: (B.planes8(np.diff(a[x], prepend=np.uint64(0))), B.planes8(b[x]), np.packbits(several[x])))
+
+    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of shared symbols only: where they begin, two hashes and the text's number."""
+        y, first, n = self.symbols, self.first, len(self.names)
+        out = np.zeros(n + 1, np.int64)
+        alone = ~y.live & (y.right - y.left < window)
+        frm, to = np.maximum(y.right[alone] - window + 1, 0), y.left[alone]
+        ok = frm <= to  # a stretch that leaves its text only rules out windows that do so too
+        np.add.at(out, frm[ok], 1)
+        np.add.at(out, to[ok] + 1, -1)
+        free = np.cumsum(out[:-1]) == 0
+        doc = np.repeat(np.arange(len(self.block)), np.diff(first))
+        at = np.flatnonzero(free & (np.arange(n) + window <= first[1:][doc]))
+        h = [np.zeros(len(at), np.uint64) for _ in range(2)]
+        for j in range(window):
+            word = self.names[at + j]
+            for k in range(2):
+                h[k] += B.mix(word + _KEYS[k, j]) if k else word * _KEYS[k, j]
+        return at, B.mix(h[0]), h[1], doc[at]
+
+
+def _named(hit: np.ndarray, place: np.ndarray, sizes: list[int], buckets: int, bucket: int) -> list[np.ndarray]:
+    """Names of what is hit, 1 and up, no two alike in all buckets; 0 for the rest."""
+    name = np.where(hit, np.cumsum(hit) * buckets + bucket - buckets + 1, 0)[place]
+    cut = np.cumsum([0, *sizes])
+    return [B.narrow(name[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+
+
+def name_words(buckets: int):
+    def reply(got, bucket: int) -> list[np.ndarray]:
+        known: dict[bytes, int] = {}
+        places, several = [], []
+        for size, text, more in got:
+            cut, text = np.concatenate(([0], np.cumsum(size, dtype=np.int64))).tolist(), text.tobytes()
+            places.append(np.array([known.setdefault(text[i:j], len(known)) for i, j in zip(cut[:-1], cut[1:])], np.int64))
+            several.append(np.unpackbits(more, count=len(size)).astype(bool))
+        place = np.concatenate(places)
+        hit = (np.bincount(place, minlength=len(known)) > 1) | (np.bincount(place, np.concatenate(several), len(known)) > 0)
+        return _named(hit, place, [len(p) for p in places], buckets, bucket)
+
+    return reply
+
+
+def name_pairs(buckets: int):
+    def reply(got, bucket: int) -> list[np.ndarray]:
+        a, b = [np.cumsum(B.unplanes8(g[0]), dtype=np.uint64) for g in got], [B.unplanes8(g[1]) for g in got]
+        several = np.concatenate([np.unpackbits(g[2], count=len(x)).astype(bool) for g, x in zip(got, a)])
+        kinds, place = distinct_windows(np.concatenate(a), np.concatenate(b))
+        hit = (np.bincount(place, minlength=len(kinds)) > 1) | (np.bincount(place, several, len(kinds)) > 0)
+        return _named(hit, place, [len(x) for x in a], buckets, bucket)
+
+    return reply
 
 
 def distinct_windows(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,34 +210,56 @@ def earliest(got):
     return [least[place[i:j]] for i, j in zip(begin[:-1], begin[1:])]
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with the words of repeated windows taken out of ``text``, kept words joined by one space.
 
     Texts with nothing to take out are joined so as well.  Adds ``n_words`` and ``n_removed``.
     """
     spark = docs.sparkSession
-    shared, buckets = B.Shared(spark, "substring-dedup"), B.n_buckets(spark)
-    texts = shared.write(B.pair(docs, doc_id, text, carry=True).mapInArrow(B.states, B.BLOCK_SCHEMA), "texts").select("block", "payload")
-    symbols = shared.write(B.answer(texts.mapInArrow(ask_symbols(buckets), B.BLOCK_SCHEMA), shared_by_two), "symbols", few=True)
+    shared, new = B.Shared(spark, "substring-dedup"), ("n_words", "n_removed")
+    carry = [c for c in docs.columns if c not in (doc_id, text, *new)]
+    rows = B.pair(docs, doc_id, text, carry)
+    size = B.volume(rows)
+    buckets = B.n_buckets(spark, size)
+    texts = shared.write_dealt(rows.mapInArrow(B.states, B.BLOCK_SCHEMA).select("block", "payload"), "texts", B.tasks(spark, size))
+    schema, names = B.paired(docs, carry, *new), None
+
+    def ask_words(batches):
+        for b in batches:
+            for no, data in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
+                yield B.rows_batch(Reader(B.Block.unpack(data), buckets).ask_words(no))
 
-    def flags(right: pa.Table, which: int) -> list[tuple[int, np.ndarray]]:
-        rows = right.filter(pa.array(right.column("which").to_numpy() == which)) if "which" in right.column_names else right
-        return sorted(((b, B.unpack(p)[0]) for b, p in zip(rows.column("bucket").to_pylist(), rows.column("payload").to_pylist())), key=lambda x: x[0])
+    def reader(left: pa.Table, right: pa.Table, levels: int) -> tuple[int, Reader, dict[int, np.ndarray]]:
+        got: dict[int, list] = {}
+        for which, b, p in zip(*(right.column(c).to_pylist() for c in ("which", "bucket", "payload"))):
+            got.setdefault(which, []).append((b, B.unpack(p)[0]))
+        whole = {w: B.joined([x for _, x in sorted(v, key=lambda x: x[0])], np.uint64) for w, v in got.items()}
+        r = Reader(B.Block.unpack(left.column("payload")[0].as_py()), buckets)
+        r.told([whole.get(w, np.zeros(0, np.uint64)) for w in range(levels)])
+        return left.column("block")[0].as_py(), r, whole
+
+    def ask_pairs(levels: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            no, r, _ = reader(left, right, levels)
+            return pa.Table.from_batches([B.rows_batch(r.ask_pairs(no))])
+
+        return run
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        no, block = left.column("block")[0].as_py(), B.Block.unpack(left.column("payload")[0].as_py())
-        _, _, _, _, h1, h2, doc = candidates(block, flags(right, 1), buckets, window)
+        no, r, _ = reader(left, right, rounds + 1)
+        _, h1, h2, doc = r.windows(window)
         kinds, place = distinct_windows(h1, h2)
         least = np.full(len(kinds), B.NO_ID, np.int64)
-        np.minimum.at(least, place, block.doc_id[doc])
+        np.minimum.at(least, place, r.block.doc_id[doc])
         return pa.Table.from_batches([B.rows_batch(B.asks(2, no, buckets, h1[kinds], h2[kinds], least))])
 
     def kept(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = B.Block.unpack(left.column("payload")[0].as_py())
-        s, e, first, at, h1, h2, doc = candidates(block, flags(right, 1), buckets, window)
+        _, r, whole = reader(left, right, rounds + 1)
+        block, first = r.block, r.first
+        at, h1, h2, doc = r.windows(window)
         _, place = distinct_windows(h1, h2)
-        again = at[B.joined([x for _, x in flags(right, 2)], np.int64)[place] < block.doc_id[doc]] if len(at) else at
-        cover = np.zeros(len(s) + 1, np.int64)
+        again = at[whole[rounds + 1].view(np.int64)[place] < block.doc_id[doc]] if len(at) else at
+        cover = np.zeros(len(r.names) + 1, np.int64)
         np.add.at(cover, again, 1)
         np.add.at(cover, again + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
@@ -169,17 +270,22 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             if removed[i]:
                 words = [w for w, x in zip(words, gone[first[i] : first[i + 1]].tolist()) if not x]
             out.append(b" ".join(words))
-        return pa.table({
-            "doc_id": B.ids_out(block.doc_id), "text": pa.array(out, pa.binary()).cast(pa.string()), "carried": pa.array(block.carried, pa.binary()).cast(pa.string()),
-            "n_words": np.diff(first), "n_removed": removed,
-        })
-
-    side = "block long, bucket int, payload binary"
-    asked = texts.groupBy("block").cogroup(symbols.groupBy("block")).applyInArrow(ask_windows, B.BLOCK_SCHEMA)
-    windows = B.answer(asked, earliest)
-    both = symbols.select("block", "bucket", "payload", F.lit(1).alias("which")).unionByName(windows.select("block", "bucket", "payload", F.lit(2).alias("which")))
-    found = texts.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(kept, "doc_id long, text string, carried string, n_words long, n_removed long")
-    return B.unpair(found, docs, doc_id, text, "n_words", "n_removed")
+        along = {"carried": block.along(schema["carried"].dataType)} if carry else {}
+        return pa.table({"doc_id": B.ids_out(block.doc_id), "text": pa.array(out, pa.binary()).cast(pa.string()), **along, "n_words": np.diff(first), "n_removed": removed})
+
+    for level in range(rounds + 2):
+        if level == 0:
+            found = B.answer(texts.mapInArrow(ask_words, B.BLOCK_SCHEMA), name_words(buckets), size, numbered=True)
+        elif level <= rounds:
+            found = B.answer(B.by_block(texts, names, ask_pairs(level), B.BLOCK_SCHEMA, size), name_pairs(buckets), size, numbered=True)
+        else:
+            found = B.answer(B.by_block(texts, names, ask_windows, B.BLOCK_SCHEMA, size), earliest, size)
+        if level <= rounds:
+            found = shared.write(found, f"names-{level}", few=True)
+        found = found.withColumn("which", F.lit(level))
+        names = found if names is None else names.unionByName(found)
+    found = B.by_block(texts, names, kept, schema, size)
+    return B.unpair(found, docs, doc_id, text, carry, *new)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ word to what follows it, so such a unit is split and merged alike wherever it st
 exception, non-ASCII white space right before ASCII white space, keeps both units in one.  No list
 of ids is ever made.
 
-Null texts count as empty, with no tokens.  A null ``doc_id`` stays null; repeated rows each give a
+Null texts count as empty, with no tokens; a text longer than a block is a block of its own.  A null ``doc_id`` stays null; repeated rows each give a
 row; other columns are left out.  An empty table gives no rows.
 """
 
@@ -103,8 +103,9 @@ def _frequencies(buckets: int):
 def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Bytes and tokens of each whole text of ``docs``."""
     spark, path = docs.sparkSession, path or vocabulary()
-    shared = B.Shared(spark, "token-counts")
-    table = shared.write(B.pair(docs, doc_id, text).mapInArrow(_frequencies(B.n_buckets(spark)), B.BLOCK_SCHEMA), "pairs", ["kind"])
+    shared, texts = B.Shared(spark, "token-counts"), B.pair(docs, doc_id, text)
+    size = B.volume(texts)
+    table = shared.write(texts.mapInArrow(_frequencies(B.n_buckets(spark, size)), B.BLOCK_SCHEMA), "pairs", ["kind"])
 
     def count(got: list[list[np.ndarray]]) -> list[np.ndarray]:
         known: dict[bytes, int] = {}
@@ -123,7 +124,7 @@ def token_counts(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
         n = B.per_word(B.joined(parts, np.int64)[rank] * freq, pairs) if len(rank) else np.zeros(len(ids), np.int64)
         return pa.table({"doc_id": B.ids_out(ids), "n_bytes": size, "n_tokens": n, "over_limit": n > limit})
 
-    return B.told(table.where("kind = 0"), B.answer(table.where("kind = 1"), count), total, SCHEMA)
+    return B.told(table.where("kind = 0"), B.answer(table.where("kind = 1"), count, size), total, SCHEMA, size)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ members by offset.
 Payloads that are equal and ``REVISIT_BYTES`` long or longer are stored once, under the least page
 id; the others are revisits, which carry the digest and length but no payload.  A null page counts
 as empty, a null ``page_id`` as larger than all others; rows with equal ids and payloads are of one
-type.  A null url is written as ``about:blank``.  Other columns are left out.  An empty table
-gives no archives and no rows.
+type.  A null url is written as ``about:blank``.  A page is held whole while its record is written or
+read, whatever its length.  Other columns are left out.  An empty table gives no archives and no rows.
+Zeros after a stream's last member are padding; a stream that ends within a member is an error.
 
 A task that runs again writes files of new names; only files named in the table that a finished job
 has written are read.
@@ -137,16 +138,23 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byt
 
 
 def inflate(stream, piece: int = PIECE) -> Iterator[bytes]:
-    """The contents of a gzip stream of any number of members."""
-    z = zlib.decompressobj(31)
+    """The contents of a gzip stream of any number of members; zeros after a member are padding."""
+    z, begun = zlib.decompressobj(31), False
     while data := stream.read(piece):
         while data:
+            if not begun:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                begun = True
             yield z.decompress(data, piece)
             while z.unconsumed_tail:
                 yield z.decompress(z.unconsumed_tail, piece)
             data = z.unused_data
             if z.eof:
-                z = zlib.decompressobj(31)
+                z, begun = zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def normalise_archives(root: str):
@@ -198,11 +206,13 @@ def read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def archive_pages(pages: DataFrame, shared: B.Shared, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Writes monolithic archives of ``pages`` below ``shared``; rows of ``FILES``."""
-    html_ = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), html_.alias("html"), F.sha2(html_, 256).alias("digest"))
-    least = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    html_ = F.coalesce(F.col(f"`{html}`"), F.lit(""))
+    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), html_.alias("html"), F.sha2(html_, 256).alias("digest"))
+    long = rows.where(F.octet_length("html") >= revisit_bytes)
+    least = shared.write(long.groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least", few=True)
     first = F.when(F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
-    rows = rows.join(least, "digest", "left").select("page_id", "url", "html", "digest", first.alias("first"))
+    small = rows.where(F.octet_length("html") < revisit_bytes).withColumn("least", F.lit(None).cast("long"))  # alike or not, these meet nothing
+    rows = B.meet(long, least, ["digest"], ["page_id"], "left").unionByName(small).select("page_id", "url", "html", "digest", first.alias("first"))
     return shared.write(rows.mapInArrow(write_archives(shared.path("raw")), FILES), "raw-files")
 
 
@@ -213,6 +223,12 @@ def normalise(files: DataFrame, shared: B.Shared) -> DataFrame:
     return shared.write(out, "index", few=True)
 
 
+def read_sidecars(spark: SparkSession, shared: B.Shared) -> DataFrame:
+    """Rows of ``INDEX`` from the sidecars of all archives that ``normalise`` wrote below ``shared``, those of tasks that ran again included."""
+    rows = spark.read.schema(INDEX).json(f"{shared.path('normal')}/*.index.jsonl")
+    return rows.withColumn("path", F.concat(F.lit(f"{shared.path('normal')}/"), "path"))
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """Rows of ``RECORDS``, each from its own member."""
     return index.select("path", "offset", "length").mapInArrow(read_members, RECORDS)
