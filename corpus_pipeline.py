@@ -3,7 +3,13 @@
 Language ID drops documents without letters or without a clear language; near-dedup keeps one document
 of each group; substring dedup takes repeated passages out of texts; decontamination drops documents
 that hold benchmark items; mixing picks documents by target weights.  All but the last stage return the
-columns of ``documents``.
+columns of ``documents`` and no others; the last adds ``copies``.
+
+A row with a null ``doc_id`` is judged by its text like any other, but never stands in for a group of
+near duplicates and never is one of it.  A null or empty text, having no language, goes in the first
+stage.  Of rows with equal ids near-dedup keeps one.  A null lang or source is a leaf of its own in the
+mixture.  A text of any length is judged whole.  Of a tie in the mixture's order as much stays as fits.
+An empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,9 +26,8 @@ CLEAR = 0.3  # least share of a document's words in its main language
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a clear language."""
-    found = language_id.identify(docs, language_id.learn(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= CLEAR)).select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    found = language_id.identified(docs.select(*COLUMNS), language_id.learn(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= CLEAR)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
