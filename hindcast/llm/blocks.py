@@ -361,10 +361,10 @@ class Shared:
         (w.partitionBy(*by) if by else w).parquet(self.path(part))
         return self.spark.read.schema(df.schema).parquet(self.path(part))
 
-    def write_dealt(self, df: DataFrame, part: str, n: int) -> DataFrame:
-        """Writes and rereads rows dealt by ``block`` to ``n`` files, so that later meetings by block don't shuffle them."""
+    def write_dealt(self, df: DataFrame, part: str, n: int, *by: str) -> DataFrame:
+        """Writes and rereads rows dealt by ``block`` to ``n`` buckets, in folders ``by`` a column, so that later meetings by block don't shuffle them."""
         name = f"{self.root.rpartition('/')[2]}_{part}".replace("-", "_")
-        out = df.repartition(n, "block").write.bucketBy(n, "block").format("parquet").option("compression", "none")
+        out = df.repartition(n, "block").write.partitionBy(*by).bucketBy(n, "block").format("parquet").option("compression", "none")
         out.option("path", self.path(part)).saveAsTable(name)
         return self.spark.table(name)
 

@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from hindcast.llm import blocks as B
 
-WINDOW, ROUNDS = 50, 3
-_RNG = np.random.default_rng(50)
-_KEYS = _RNG.integers(0, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WINDOW, ROUNDS = 50, 2
+_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # of the two hashes of windows
 RUN = np.uint64(40)  # a run's length stands above its word's name
 
 
@@ -41,47 +40,46 @@ class Symbols:
 
     def __init__(self, names: np.ndarray, first: np.ndarray):
         n = len(names)
-        self.doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        self.lo, self.hi = first[:-1] - 1, first[1:]
+        self.doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+        self.lo, self.hi = (first[:-1] - 1).astype(np.int32), first[1:].astype(np.int32)
         self.name, self.live, self.round = names, names > 0, 0
-        self.left, self.right = np.arange(n), np.arange(n)
-        same = self.doc[1:] == self.doc[:-1]
-        self._join(same & self.live[1:] & (names[1:] == names[:-1]), lambda head, k: names[head] + ((k - 1).astype(np.uint64) << RUN))
+        self.left = self.right = np.arange(n, dtype=np.int32)
+        self.same = self.doc[1:] == self.doc[:-1]
+        self._join(self.same & self.live[1:] & (names[1:] == names[:-1]), lambda head, k: names[head] + ((k - 1).astype(np.uint64) << RUN))
 
     def _join(self, glue: np.ndarray, name) -> None:
+        """Symbols that are glued become one; those that live grow by their neighbours' stretches, the others stay as they were."""
         n = len(self.name)
         if not n:
             return
-        same = self.doc[1:] == self.doc[:-1]
         head = np.flatnonzero(np.concatenate(([True], ~glue)))
         tail = np.concatenate((head[1:], [n])) - 1
-        alone = ~self.live[head]  # these stay as they are, with the stretch they had
-        before = np.where(np.concatenate(([False], same))[head], self.left[np.maximum(head - 1, 0)], self.lo[self.doc[head]])
-        after = np.where(np.concatenate((same, [False]))[tail], self.right[np.minimum(tail + 1, n - 1)], self.hi[self.doc[tail]])
-        k = tail - head + 1
-        names = np.where(k > 1, name(head, k), self.name[head])
-        self.left, self.right = np.where(alone, self.left[head], before), np.where(alone, self.right[tail], after)
-        self.doc, self.live, self.name = self.doc[head], self.live[head], names
+        before, after = np.empty(n, np.int32), np.empty(n, np.int32)
+        before[0], before[1:] = self.lo[self.doc[0]], np.where(self.same, self.left[:-1], self.lo[self.doc[1:]])
+        after[-1], after[:-1] = self.hi[self.doc[-1]], np.where(self.same, self.right[1:], self.hi[self.doc[:-1]])
+        live = self.live[head]
+        left, right = np.where(live, before[head], self.left[head]), np.where(live, after[tail], self.right[tail])
+        names = self.name[head]
+        many = np.flatnonzero(tail > head)
+        names[many] = name(head[many], (tail - head + 1)[many])
+        self.left, self.right, self.name, self.live, self.doc = left, right, names, live, self.doc[head]
+        self.same = self.doc[1:] == self.doc[:-1]
 
     def pairs(self) -> np.ndarray:
         """Where a left symbol begins a pair in the next round."""
         side = (B.mix(self.name ^ np.uint64((self.round + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(63)).astype(bool)
-        return (self.doc[1:] == self.doc[:-1]) & self.live[1:] & self.live[:-1] & ~side[:-1] & side[1:]
+        return self.same & self.live[1:] & self.live[:-1] & ~side[:-1] & side[1:]
 
-    def join(self, told: np.ndarray) -> None:
-        """Joins pairs under the names that their owners gave, 0 for those that are alone."""
-        glue = self.pairs()
+    def join(self, glue: np.ndarray, told: np.ndarray) -> None:
+        """Joins the pairs of ``glue`` under the names that their owners gave, 0 for those that are alone."""
         self.round += 1
         at = np.flatnonzero(glue)
-        new = np.zeros(len(self.name), np.uint64)
+        new, heads = np.zeros(len(self.name), np.uint64), np.ones(len(self.name), bool)
         new[at] = np.where(told > 0, told << np.uint64(3) | np.uint64(self.round), 0)
-        live = self.live.copy()
-        live[at[told == 0]] = False
-        was = self.live
-        # the stretches of pairs that are alone must grow once more, so liveness changes after the joining
+        heads[at + 1] = False
+        place = (np.cumsum(heads) - 1)[at]
         self._join(glue, lambda head, k: new[head])
-        heads = np.flatnonzero(np.concatenate(([True], ~glue))) if len(was) else at
-        self.live = live[heads]
+        self.live[place[told == 0]] = False  # after the joining, for which they lived
 
 
 def _ask(kind: int, no: int, buckets: int, key: np.ndarray, parts) -> list[tuple]:
@@ -97,46 +95,42 @@ def _several(doc: np.ndarray, place: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def ask_words(block: B.Block, no: int, buckets: int) -> tuple[bytes, list[tuple]]:
+    """Each word's place among the block's distinct words, with the ids and where texts begin; and rows that ask for names."""
+    s, e, h, first = block.words()
+    keys, at, place = np.unique(h, return_index=True, return_inverse=True)
+    data, size = block.buf.tobytes(), (e - s)[at]
+    several = _several(np.repeat(np.arange(len(block)), np.diff(first)), place, at)
+    texts = [data[i:j] for i, j in zip(s[at].tolist(), e[at].tolist())]
+    rows = _ask(1, no, buckets, keys, lambda x: (B.narrow(size[x]), np.frombuffer(b"".join(texts[x]), np.uint8), np.packbits(several[x])))
+    return B.pack(block.doc_id, first, B.planes(place)), rows
+
+
 class Reader:
-    """What a block knows after some rounds; asks and answers are in the order of buckets, then of bytes or names."""
-
-    def __init__(self, block: B.Block, buckets: int):
-        self.block, self.buckets = block, buckets
-        self.s, self.e, h, self.first = block.words()
-        keys, at, place = np.unique(h, return_index=True, return_inverse=True)
-        data, bucket = block.buf.tobytes(), B.bucket_of(keys, buckets).tolist()
-        texts = [data[i:j] for i, j in zip(self.s[at].tolist(), self.e[at].tolist())]
-        order = sorted(range(len(keys)), key=lambda i: (bucket[i], texts[i]))
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        self.texts, self.keys, self.at, self.place = [texts[i] for i in order], keys[order], at[order], rank[place]
-
-    def ask_words(self, no: int) -> list[tuple]:
-        doc = np.repeat(np.arange(len(self.block)), np.diff(self.first))
-        several, size = _several(doc, self.place, self.at), np.array([len(t) for t in self.texts], np.int64)
-        return _ask(1, no, self.buckets, self.keys, lambda x: (B.narrow(size[x]), np.frombuffer(b"".join(self.texts[x]), np.uint8), np.packbits(several[x])))
-
-    def told(self, answers: list[np.ndarray]) -> None:
-        """Words' names and as many rounds of pairs as there are answers."""
-        self.names = (answers[0] << np.uint64(3))[self.place] if len(self.place) else np.zeros(0, np.uint64)
+    """What a block knows after some rounds; asks and answers are in the order of the distinct keys."""
+
+    def __init__(self, places: bytes, buckets: int, answers: list[np.ndarray]):
+        self.doc_id, self.first, place = B.unpack(places)
+        place = B.unplanes(place)
+        self.buckets = buckets
+        self.names = (answers[0] << np.uint64(3))[place] if len(place) else np.zeros(0, np.uint64)
         self.symbols = Symbols(self.names, self.first)
         for got in answers[1:]:
-            self.symbols.join(got[self._pairs()[-1]])
+            glue, *_, place = self._pairs()
+            self.symbols.join(glue, got[place])
 
     def _pairs(self):
         y = self.symbols
-        at = np.flatnonzero(y.pairs())
+        glue = y.pairs()
+        at = np.flatnonzero(glue)
         a, b = y.name[at], y.name[np.minimum(at + 1, len(y.name) - 1)]
         keys, first, place = np.unique(B.mix(a * np.uint64(0xD6E8FEB86659FD93) + B.mix(b)), return_index=True, return_inverse=True)
-        order = np.lexsort((b[first], a[first], B.bucket_of(keys, self.buckets)))
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        return keys[order], a[first][order], b[first][order], first[order], y.doc[at], rank[place]
+        return glue, keys, a, b, first, y.doc[at], place
 
     def ask_pairs(self, no: int) -> list[tuple]:
-        keys, a, b, first, doc, place = self._pairs()
-        several = _several(doc, place, first)
-        return _ask(1, no, self.buckets, keys, lambda x: (B.planes8(np.diff(a[x], prepend=np.uint64(0))), B.planes8(b[x]), np.packbits(several[x])))
+        _, keys, a, b, first, doc, place = self._pairs()
+        several, a, b = _several(doc, place, first), a[first], b[first]
+        return _ask(1, no, self.buckets, keys, lambda x: (B.planes8(a[x]), B.planes8(b[x]), np.packbits(several[x])))
 
     def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows of shared symbols only: where they begin, two hashes and the text's number."""
@@ -145,17 +139,15 @@ class Reader:
         alone = ~y.live & (y.right - y.left < window)
         frm, to = np.maximum(y.right[alone] - window + 1, 0), y.left[alone]
         ok = frm <= to  # a stretch that leaves its text only rules out windows that do so too
-        np.add.at(out, frm[ok], 1)
-        np.add.at(out, to[ok] + 1, -1)
+        out += np.bincount(frm[ok], minlength=n + 1) - np.bincount(to[ok] + 1, minlength=n + 1)
         free = np.cumsum(out[:-1]) == 0
-        doc = np.repeat(np.arange(len(self.block)), np.diff(first))
-        at = np.flatnonzero(free & (np.arange(n) + window <= first[1:][doc]))
-        h = [np.zeros(len(at), np.uint64) for _ in range(2)]
-        for j in range(window):
-            word = self.names[at + j]
-            for k in range(2):
-                h[k] += B.mix(word + _KEYS[k, j]) if k else word * _KEYS[k, j]
-        return at, B.mix(h[0]), h[1], doc[at]
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        at, h = np.flatnonzero(free & (np.arange(n) + window <= first[1:][doc])), []
+        for k, p in enumerate(_BASES):
+            c = np.zeros(n + 1, np.uint64)
+            np.cumsum(B.mix(self.names + np.uint64(k * 0x9E3779B97F4A7C15)) * B.powers(p, n), out=c[1:])
+            h.append(B.mix((c[at + window] - c[at]) * B.powers(B.inverse(p), n)[at]))
+        return at, h[0], h[1], doc[at]
 
 
 def _named(hit: np.ndarray, place: np.ndarray, sizes: list[int], buckets: int, bucket: int) -> list[np.ndarray]:
@@ -182,7 +174,7 @@ def name_words(buckets: int):
 
 def name_pairs(buckets: int):
     def reply(got, bucket: int) -> list[np.ndarray]:
-        a, b = [np.cumsum(B.unplanes8(g[0]), dtype=np.uint64) for g in got], [B.unplanes8(g[1]) for g in got]
+        a, b = [B.unplanes8(g[0]) for g in got], [B.unplanes8(g[1]) for g in got]
         several = np.concatenate([np.unpackbits(g[2], count=len(x)).astype(bool) for g, x in zip(got, a)])
         kinds, place = distinct_windows(np.concatenate(a), np.concatenate(b))
         hit = (np.bincount(place, minlength=len(kinds)) > 1) | (np.bincount(place, several, len(kinds)) > 0)
@@ -221,22 +213,25 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = B.pair(docs, doc_id, text, carry)
     size = B.volume(rows)
     buckets = B.n_buckets(spark, size)
-    texts = shared.write_dealt(rows.mapInArrow(B.states, B.BLOCK_SCHEMA).select("block", "payload"), "texts", B.tasks(spark, size))
     schema, names = B.paired(docs, carry, *new), None
 
-    def ask_words(batches):
-        for b in batches:
-            for no, data in zip(b.column("block").to_pylist(), b.column("payload").to_pylist()):
-                yield B.rows_batch(Reader(B.Block.unpack(data), buckets).ask_words(no))
+    def states(batches):
+        for seq, block in enumerate(B.blocks(batches)):
+            places, asked = ask_words(block, B.task_block(seq), buckets)
+            batch = B.rows_batch([(0, B.task_block(seq), -1, places), *asked])
+            yield batch.append_column("texts", pa.array([block.pack()] + [None] * len(asked), pa.binary()))
+
+    table = shared.write_dealt(rows.mapInArrow(states, B.BLOCK_SCHEMA + ", texts binary"), "texts", B.tasks(spark, size), "kind")
+    texts, asked = table.where("kind = 0"), table.where("kind = 1").select("kind", "block", "bucket", "payload")
+    places = texts.select("block", "payload")
 
     def reader(left: pa.Table, right: pa.Table, levels: int) -> tuple[int, Reader, dict[int, np.ndarray]]:
         got: dict[int, list] = {}
         for which, b, p in zip(*(right.column(c).to_pylist() for c in ("which", "bucket", "payload"))):
             got.setdefault(which, []).append((b, B.unpack(p)[0]))
         whole = {w: B.joined([x for _, x in sorted(v, key=lambda x: x[0])], np.uint64) for w, v in got.items()}
-        r = Reader(B.Block.unpack(left.column("payload")[0].as_py()), buckets)
-        r.told([whole.get(w, np.zeros(0, np.uint64)) for w in range(levels)])
-        return left.column("block")[0].as_py(), r, whole
+        known = [whole.get(w, np.zeros(0, np.uint64)) for w in range(levels)]
+        return left.column("block")[0].as_py(), Reader(left.column("payload")[0].as_py(), buckets, known), whole
 
     def ask_pairs(levels: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -250,18 +245,17 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         _, h1, h2, doc = r.windows(window)
         kinds, place = distinct_windows(h1, h2)
         least = np.full(len(kinds), B.NO_ID, np.int64)
-        np.minimum.at(least, place, r.block.doc_id[doc])
+        np.minimum.at(least, place, r.doc_id[doc])
         return pa.Table.from_batches([B.rows_batch(B.asks(2, no, buckets, h1[kinds], h2[kinds], least))])
 
     def kept(left: pa.Table, right: pa.Table) -> pa.Table:
         _, r, whole = reader(left, right, rounds + 1)
-        block, first = r.block, r.first
+        block, first = B.Block.unpack(left.column("texts")[0].as_py()), r.first
         at, h1, h2, doc = r.windows(window)
         _, place = distinct_windows(h1, h2)
         again = at[whole[rounds + 1].view(np.int64)[place] < block.doc_id[doc]] if len(at) else at
         cover = np.zeros(len(r.names) + 1, np.int64)
-        np.add.at(cover, again, 1)
-        np.add.at(cover, again + window, -1)
+        cover += np.bincount(again, minlength=len(cover)) - np.bincount(again + window, minlength=len(cover))
         gone = np.cumsum(cover[:-1]) > 0
         removed = B.per_word(gone.astype(np.int64), first)
         out = []
@@ -275,16 +269,16 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     for level in range(rounds + 2):
         if level == 0:
-            found = B.answer(texts.mapInArrow(ask_words, B.BLOCK_SCHEMA), name_words(buckets), size, numbered=True)
+            found = B.answer(asked, name_words(buckets), size, numbered=True)
         elif level <= rounds:
-            found = B.answer(B.by_block(texts, names, ask_pairs(level), B.BLOCK_SCHEMA, size), name_pairs(buckets), size, numbered=True)
+            found = B.answer(B.by_block(places, names, ask_pairs(level), B.BLOCK_SCHEMA, size), name_pairs(buckets), size, numbered=True)
         else:
-            found = B.answer(B.by_block(texts, names, ask_windows, B.BLOCK_SCHEMA, size), earliest, size)
+            found = B.answer(B.by_block(places, names, ask_windows, B.BLOCK_SCHEMA, size), earliest, size)
         if level <= rounds:
             found = shared.write(found, f"names-{level}", few=True)
         found = found.withColumn("which", F.lit(level))
         names = found if names is None else names.unionByName(found)
-    found = B.by_block(texts, names, kept, schema, size)
+    found = B.by_block(texts.select("block", "payload", "texts"), names, kept, schema, size)
     return B.unpair(found, docs, doc_id, text, carry, *new)
 
 
