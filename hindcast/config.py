@@ -23,7 +23,7 @@ class Splits:
 class Topology:
     tau: int = 3
     dimension: int = 5
-    points: int = 30
+    points: int = 0  # of each cloud, evenly spaced; 0: all of them
     steps: int = 200
     upper: float = 3.0
     weights: tuple[float, ...] = (1.0, 0.5, 0.25)

@@ -15,16 +15,29 @@ def permuted(base: Metric, seed: int, draw: int) -> Metric:
     position the oldest days would win whenever features are equal.
     """
 
-    def run(f: np.ndarray, t: int, c: np.ndarray) -> np.ndarray:
+    return lambda f, t, c: dealt(seed)(draw, t, base(f, t, c))
+
+
+def dealt(seed: int):
+    """Distances of a query dealt to its candidates at random, as their ranks, ties at random; by draw, query and distances."""
+
+    def run(draw: int, t: int, d: np.ndarray) -> np.ndarray:
         rng = np.random.default_rng((seed, draw, t))
-        d = base(f, t, c)[rng.permutation(len(c))]
-        rank = np.empty(len(c))
-        rank[np.lexsort((rng.random(len(c)), d))] = np.arange(len(c))
+        d = d[rng.permutation(len(d))]
+        rank = np.empty(len(d))
+        rank[np.lexsort((rng.random(len(d)), d))] = np.arange(len(d))
         return rank
 
     return run
 
 
+def binomial_tail(k: int, n: int, p: float = 0.5) -> float:
+    """Probability of ``k`` or more of ``n``, by the exact sum."""
+    from math import comb
+
+    return float(min(1.0, sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(max(k, 0), n + 1))))
+
+
 def sign_flip(x: np.ndarray, draws: int = 10_000, seed: int = 1, batch: int = 1 << 22) -> tuple[float, float, float]:
     """p-values of a mean below zero, above it and either, against random signs; NaN without values."""
     if not len(x):

@@ -69,14 +69,16 @@ def z2(scores: DataFrame, keys: list[str], level: float = 0.975) -> DataFrame:
 def dm(pairs: DataFrame, keys: list[str], order: str, difference: str = "d", bandwidth: int | None = None, horizon: int = 1, small_sample: bool = True) -> DataFrame:
     """Diebold-Mariano statistic with Bartlett weights, and a factor for small samples.
 
-    Lagged products are summed by lag: a row meets its next ``bandwidth`` ones only.
+    Lagged products are summed by row: a row meets the ``bandwidth`` ones before it only.  Without one the
+    usual rule is taken, which stays below 200 up to 4e9 rows.
     """
     whole = Window.partitionBy(*keys)
     c = pairs.where(F.col(difference).isNotNull()).withColumn("n", F.count("*").over(whole)).withColumn("m", F.avg(difference).over(whole))
     width = F.lit(bandwidth) if bandwidth else F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n") / 100, 2 / 9)))
     c = c.withColumn("e", F.col(difference) - F.col("m")).withColumn("bw", width.cast("int"))
     by = Window.partitionBy(*keys).orderBy(order)
-    last = F.collect_list("e").over(by.rowsBetween(-60, -1))
+    before = F.collect_list("e").over(by.rowsBetween(-(bandwidth or 200), -1))
+    last = F.when(F.size(before) > F.col("bw"), F.slice(before, F.size(before) - F.col("bw") + 1, F.col("bw"))).otherwise(before)
     lagged = F.aggregate(F.sequence(F.lit(1), F.col("bw")), F.lit(0.0), lambda s, j: s + F.coalesce((1 - j / (F.col("bw") + 1)) * F.try_element_at(F.col("near"), -j), F.lit(0.0)))
     c = c.withColumn("near", last).withColumn("v", F.col("e") * F.col("e") + 2 * F.col("e") * lagged)
     a = c.groupBy(*keys).agg(F.max("n").alias("n"), F.max("m").alias("mean"), F.greatest(F.sum("v") / F.max("n"), F.lit(0.0)).alias("variance"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.config import RISK, STATE, Risk
-from hindcast.functions.scores import array_quantile, bound, finite, fz0, pinball, tail_mean
+from hindcast.functions.scores import array_quantile, finite, fz0, pinball, tail_mean
 from hindcast.operators import retrieval as R
 
 
@@ -26,54 +26,65 @@ def scored(forecasts: DataFrame, panel: DataFrame) -> DataFrame:
     return out.withColumns({"pinball": pinball("next_loss", "var"), "fz0": fz0("next_loss", "var", "es"), "hit": (F.col("next_loss") > F.col("var")).cast("double")})
 
 
-def rolling_hs(panel: DataFrame, window: int, radius: int | None = None) -> DataFrame:
+def rolling_hs(panel: DataFrame, window: int, radius: int | None = None, queries="true") -> DataFrame:
     """The last ``window`` losses up to the day itself; with a ``radius``, up to ``radius + 1`` days before it."""
-    known = panel.where("loss is not null").select("series", "pos", "loss")
-    by = Window.partitionBy("series").orderBy("pos").rowsBetween(-(window - 1), 0)
-    held = known.withColumn("losses", F.collect_list("loss").over(by)).select("series", "pos", "losses")
     gap = 0 if radius is None else radius + 1
-    upto = Window.partitionBy("series").orderBy("pos").rangeBetween(Window.unboundedPreceding, -gap)
-    at = panel.join(held, ["series", "pos"], "left").withColumn("losses", F.last("losses", ignorenulls=True).over(upto))
-    return at.where("losses is not null").select("series", F.col("pos").alias("t"), "losses")
 
+    def make(s: dict[str, np.ndarray]):
+        known = np.flatnonzero(np.isfinite(s["loss"]))
+        return lambda t: s["loss"][known[max(0, (n := int(np.searchsorted(known, t - gap, "right"))) - window) : n]]
 
-def regime_hs(panel: DataFrame, bins: int) -> DataFrame:
+    return R.scenarios(panel, ("loss",), queries, make)
+
+
+def regime_hs(panel: DataFrame, bins: int, queries="true") -> DataFrame:
     """Next-day losses after earlier days in the same volatility bin; bins are quantiles of the history before the day."""
-    p = panel.select("series", "pos", "rv20", "loss", "next_loss")
-    by = Window.partitionBy("series").orderBy("pos")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    edges = F.array(*(F.percentile("rv20", i / bins).over(before) for i in range(1, bins))) if bins > 1 else F.array().cast("array<double>")
-    days = F.collect_list(F.when(F.col("rv20").isNotNull(), F.struct("rv20", "next_loss"))).over(before)
-    bin_of = lambda x: F.size(F.filter(F.col("edges"), lambda e: e < x))
-    like = bound(bin_of(F.col("rv20")), lambda own: F.filter("days", lambda d: (bin_of(d.rv20) == own) & d.next_loss.isNotNull()))
-    out = p.withColumn("edges", edges).withColumn("days", days).withColumn("every", F.collect_list("loss").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    like = F.when(F.col("rv20").isNotNull() & (F.size("days") > 0), F.transform(like, lambda d: d.next_loss))
-    return out.select("series", F.col("pos").alias("t"), F.when(F.size(like) > 0, like).otherwise(F.col("every")).alias("losses")).where("size(losses) > 0")
-
-
-def volatilities(series: str, rows: pa.Table, decay: float) -> pa.Table:
+
+    def make(s: dict[str, np.ndarray]):
+        rv, loss, after = s["rv20"], s["loss"], s["next_loss"]
+
+        def of(t: int) -> np.ndarray:
+            past = np.flatnonzero(np.isfinite(rv[:t]))
+            if len(past) and np.isfinite(rv[t]):
+                edges = np.quantile(rv[past], [i / bins for i in range(1, bins)])
+                like = after[past][np.searchsorted(edges, rv[past], "left") == np.searchsorted(edges, rv[t], "left")]
+                like = like[np.isfinite(like)]
+                if len(like):
+                    return like
+            every = loss[: t + 1]
+            return every[np.isfinite(every)]
+
+        return of
+
+    return R.scenarios(panel, ("rv20", "loss", "next_loss"), queries, make)
+
+
+def volatilities(r: np.ndarray, decay: float) -> np.ndarray:
     """Volatility before each return by exponential weighting, started at the deviation of the first 20 returns."""
-    order = np.argsort(rows.column("pos").to_numpy())
-    pos, r = rows.column("pos").to_numpy()[order], rows.column("ret").to_numpy()[order]
     s = np.empty(len(r))
-    now = float(r[:20].std()) or 1e-8
-    for i, x in enumerate(r):
+    now = float(r[:20].std()) or 1e-8 if len(r) else 0.0
+    for i, x in enumerate(r.tolist()):
         s[i] = now
         now = float(np.sqrt(decay * now * now + (1 - decay) * x * x)) or 1e-8
-    return pa.table({"series": [series] * len(r), "pos": pos, "ret": r, "sigma": s})
+    return s
 
 
-def fhs_ewma(panel: DataFrame, decay: float) -> DataFrame:
+def fhs_ewma(panel: DataFrame, decay: float, queries="true") -> DataFrame:
     """Past returns over their volatility, times tomorrow's: scenarios for each day from all days up to it."""
 
-    def fold(key, rows):
-        return volatilities(key[0].as_py(), rows, decay)
+    def make(s: dict[str, np.ndarray]):
+        known = np.flatnonzero(np.isfinite(s["ret"]))
+        r = s["ret"][known]
+        sigma = volatilities(r, decay)
+        z, ahead = -r / sigma, np.sqrt(decay * sigma**2 + (1 - decay) * r**2)
 
-    s = panel.where("ret is not null").select("series", "pos", "ret").groupBy("series").applyInArrow(fold, "series string, pos long, ret double, sigma double")
-    upto = Window.partitionBy("series").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = F.sqrt(decay * F.col("sigma") * F.col("sigma") + (1 - decay) * F.col("ret") * F.col("ret"))
-    out = s.withColumn("z", F.collect_list(-F.col("ret") / F.col("sigma")).over(upto)).withColumn("ahead", ahead)
-    return out.select("series", F.col("pos").alias("t"), F.transform("z", lambda z: z * F.col("ahead")).alias("losses"))
+        def of(t: int) -> np.ndarray | None:
+            n = int(np.searchsorted(known, t, "right"))
+            return z[:n] * ahead[n - 1] if n and known[n - 1] == t else None
+
+        return of
+
+    return R.scenarios(panel, ("ret",), queries, make)
 
 
 def state_knn(panel: DataFrame, k: int, radius: int = 0, queries="true", metric: R.Metric = R.scaled_euclidean, columns: tuple[str, ...] = STATE) -> DataFrame:
@@ -93,46 +104,73 @@ def random_knn(panel: DataFrame, k: int, radius: int = 0, queries="true", seed:
     return R.retrieve(panel, draw, R.state_features(columns), columns, k, radius, queries)
 
 
-def garch_likelihood(theta: np.ndarray, r: np.ndarray) -> tuple[float, float]:
-    """Negative log likelihood of a GARCH(1,1) with Student errors, and the variance after the last return."""
+def garch_variances(theta: np.ndarray, e2: np.ndarray, start: float) -> np.ndarray:
+    """Variance of each day and of the day after the last, from squared errors."""
+    _, omega, alpha, beta, _ = theta
+    v = np.empty(len(e2) + 1)
+    v[0] = last = start
+    for i, a in enumerate((omega + alpha * e2).tolist()):
+        last = a + beta * last
+        v[i + 1] = last
+    return v
+
+
+def garch_likelihood(theta: np.ndarray, r: np.ndarray) -> float:
+    """Negative log likelihood of a GARCH(1,1) with Student errors, started at the mean square; huge outside the bounds."""
     from math import lgamma, log, pi
 
     mu, omega, alpha, beta, nu = theta
-    if omega <= 0 or alpha < 0 or beta < 0 or alpha + beta >= 0.999 or not 2.05 < nu < 200:
-        return 1e12, float("nan")
+    if omega <= 0 or alpha < 0 or beta < 0 or alpha + beta >= 0.9999 or not 2.05 < nu < 500:
+        return 1e12
     e2 = (r - mu) ** 2
-    v = np.empty(len(r) + 1)
-    v[0] = e2.mean()
-    x, last = omega + alpha * e2, v[0]
-    for i, a in enumerate(x.tolist()):
-        last = a + beta * last
-        v[i + 1] = last
+    v = garch_variances(theta, e2, max(float(e2.mean()), 1e-12))[:-1]
     c = lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * log(pi * (nu - 2))
-    return float(-(len(r) * c - 0.5 * np.log(v[:-1]).sum() - (nu + 1) / 2 * np.log1p(e2 / (v[:-1] * (nu - 2))).sum())), last
+    return float(-(len(r) * c - 0.5 * np.log(v).sum() - (nu + 1) / 2 * np.log1p(e2 / (v * (nu - 2))).sum()))
 
 
-def garch_fit(r: np.ndarray, steps: int = 160) -> np.ndarray:
-    """Maximum likelihood by a downhill simplex."""
-    v = r.var()
+def garch_fit(r: np.ndarray, steps: int = 400, near: float = 1e-4) -> np.ndarray:
+    """Maximum likelihood by a downhill simplex, until its values lie within ``near``, and once more from where it ended."""
+    v = max(r.var(), 1e-12)
     at = np.array([r.mean(), 0.05 * v, 0.08, 0.85, 8.0])
-    simplex = [at] + [at + d for d in np.diag([0.1 * np.sqrt(v) + 1e-6, 0.03 * v + 1e-9, 0.05, -0.08, 3.0])]
-    value = [garch_likelihood(p, r)[0] for p in simplex]
-    for _ in range(steps):
-        order = np.argsort(value)
-        simplex, value = [simplex[i] for i in order], [value[i] for i in order]
-        centre, worst = np.mean(simplex[:-1], axis=0), simplex[-1]
-        tries = {f: centre + f * (centre - worst) for f in (1.0, 2.0, -0.5)}
-        reflected = garch_likelihood(tries[1.0], r)[0]
-        f = 2.0 if reflected < value[0] else 1.0 if reflected < value[-2] else -0.5
-        new = reflected if f == 1.0 else garch_likelihood(tries[f], r)[0]
-        if f == 2.0 and new >= reflected:
-            f, new = 1.0, reflected
-        if new < value[-1]:
-            simplex[-1], value[-1] = tries[f], new
-        else:
-            simplex = [simplex[0]] + [(p + simplex[0]) / 2 for p in simplex[1:]]
-            value = [value[0]] + [garch_likelihood(p, r)[0] for p in simplex[1:]]
-    return simplex[int(np.argmin(value))]
+    size = np.array([0.1 * np.sqrt(v), 0.03 * v, 0.05, -0.08, 3.0])
+    for scale in (1.0, 0.3):
+        simplex = [at, *(at + d * scale for d in np.diag(size))]
+        value = [garch_likelihood(p, r) for p in simplex]
+        for _ in range(steps):
+            order = np.argsort(value)
+            simplex, value = [simplex[i] for i in order], [value[i] for i in order]
+            if value[-1] - value[0] < near:
+                break
+            centre, worst = np.mean(simplex[:-1], axis=0), simplex[-1]
+            tries = {f: centre + f * (centre - worst) for f in (1.0, 2.0, -0.5)}
+            reflected = garch_likelihood(tries[1.0], r)
+            f = 2.0 if reflected < value[0] else 1.0 if reflected < value[-2] else -0.5
+            new = reflected if f == 1.0 else garch_likelihood(tries[f], r)
+            if f == 2.0 and new >= reflected:
+                f, new = 1.0, reflected
+            if new < value[-1]:
+                simplex[-1], value[-1] = tries[f], new
+            else:
+                simplex = [simplex[0]] + [(p + simplex[0]) / 2 for p in simplex[1:]]
+                value = [value[0]] + [garch_likelihood(p, r) for p in simplex[1:]]
+        at = simplex[int(np.argmin(value))]
+    return at
+
+
+def garch_ahead(theta: np.ndarray, r: np.ndarray) -> tuple[float, float, float]:
+    """Mean, deviation and degrees of freedom of the next return.
+
+    Persistence of .999 or more is scaled below it; the filter starts at the greatest of the errors' variance, 1e-6 and the
+    variance the parameters tend to.
+    """
+    mu, omega, alpha, beta, nu = (float(x) for x in theta)
+    alpha, beta = min(max(alpha, 0.0), 0.999), min(max(beta, 0.0), 0.999)
+    if alpha + beta >= 0.999:
+        alpha, beta = alpha * 0.999 / (alpha + beta + 1e-12), beta * 0.999 / (alpha + beta + 1e-12)
+    e = r - mu
+    start = max(float(e.var()), 1e-6, omega / max(1 - alpha - beta, 1e-6))
+    last = garch_variances(np.array([mu, omega, alpha, beta, nu]), e**2, start)[-1]
+    return mu, float(np.sqrt(max(last, 1e-12))), max(nu, 2.1)
 
 
 def garch_t(panel: DataFrame, risk: Risk = RISK, draws: int = 20_000, least: int = 500, fit: int = 1500, refit: int = 20, seed: int = 20260426, queries="true") -> DataFrame:
@@ -152,9 +190,8 @@ def garch_t(panel: DataFrame, risk: Risk = RISK, draws: int = 20_000, least: int
                         continue
                     r = r[-fit:] * 100
                     theta = garch_fit(r) if theta is None else theta
-                    sigma = np.sqrt(max(garch_likelihood(theta, r)[1], 1e-12))
-                    nu = max(theta[4], 2.1)
-                    loss = np.sort(-(theta[0] + sigma * np.random.default_rng(seed + t).standard_t(nu, draws) * np.sqrt((nu - 2) / nu)) / 100)
+                    mu, sigma, nu = garch_ahead(theta, r)
+                    loss = np.sort(-(mu + sigma * np.random.default_rng(seed + t).standard_t(nu, draws) * np.sqrt((nu - 2) / nu)) / 100)
                     q = np.quantile(loss, risk.es)
                     out.append({"series": b.column("series")[i].as_py(), "t": t, "n": draws, "var": float(np.quantile(loss, risk.var)), "es": float(loss[loss >= q].mean())})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("series", pa.string()), ("t", pa.int64()), ("n", pa.int64()), ("var", pa.float64()), ("es", pa.float64())]))

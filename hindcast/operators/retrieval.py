@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 64
+CHUNK, DRAWS_EACH = 64, 50
 SCHEMA = "series string, t long, neighbours array<long>, distances array<double>, losses array<double>"
 Metric = Callable[[np.ndarray, int, np.ndarray], np.ndarray]
 
@@ -114,49 +114,81 @@ def deal(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def retrieve(panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.ndarray]], np.ndarray], columns: tuple[str, ...], k: int, radius: int = 0, queries: F.Column | str = "true", draws: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+def packed(panel: DataFrame, columns: tuple[str, ...], queries: F.Column | str, asked: DataFrame | None = None, draws: int = 1, each: int = 1) -> DataFrame:
+    """A row for each chunk of a series' queries, and for each ``each`` of the ``draws``: ``asked``, ``draw`` and the series' ``pos`` and ``columns`` as arrays."""
+    held = panel.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("rows"))
+    chunks = (panel if asked is None else asked).where(queries).groupBy("series", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list("pos")).alias("asked"))
+    chunks = chunks.crossJoin(F.broadcast(panel.sparkSession.range(0, draws, each).withColumnRenamed("id", "draw")))  # a row each few draws
+    return deal(chunks.join(held, "series"), "series", "chunk", "draw").select("series", "asked", "draw", *(F.col("rows")[c].alias(c) for c in ("pos", *columns)))
+
+
+def unpacked(b: pa.RecordBatch, i: int, c: str) -> np.ndarray:
+    x = b.column(c)[i].values
+    return np.array((x.flatten() if pa.types.is_list(x.type) else x).to_numpy(zero_copy_only=False), float)
+
+
+def retrieve(
+    panel: DataFrame, metric: Metric, features: Callable[[dict[str, np.ndarray]], np.ndarray], columns: tuple[str, ...], k: int, radius: int = 0, queries: F.Column | str = "true",
+    draws: int | None = None, redraw: Callable[[int, int, np.ndarray], np.ndarray] | None = None, asked: DataFrame | None = None,
+) -> DataFrame:
     """``SCHEMA`` rows for positions for which ``queries`` holds.
 
     ``features`` makes a matrix, a row a position, from a series' ``columns``; rows with a value that isn't
     finite are no candidates, and as queries they give no row, nor does a query without candidates or
-    one that ``metric`` refuses (see ``skipped``).  With ``draws``, ``metric`` makes a metric from a draw's number,
-    each query gives a row a draw, and ``draw`` comes last.  ``asked`` holds the queries' positions where ``panel``
-    is dear to compute.
+    one that ``metric`` refuses (see ``skipped``).  With ``draws``, ``redraw`` makes other distances of a draw's number,
+    the query and its distances, which are computed once for ``DRAWS_EACH`` draws; candidates then need a next loss, each
+    query gives a row a draw, and ``draw`` comes last.  ``asked`` holds the queries' positions where ``panel`` is dear to compute.
     """
-    held = panel.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", *columns, "next_loss"))).alias("rows"))
-    chunks = (panel if asked is None else asked).where(queries).groupBy("series", F.floor(F.col("pos") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list("pos")).alias("asked"))
-    chunks = chunks.crossJoin(F.broadcast(panel.sparkSession.range(draws or 1).withColumnRenamed("id", "draw")))  # a row a draw
-    work = deal(chunks.join(held, "series"), "series", "chunk", "draw").select("series", "asked", "draw", *(F.col("rows")[c].alias(c) for c in (*columns, "next_loss")))
+    work = packed(panel, (*columns, "next_loss"), queries, asked, draws or 1, DRAWS_EACH)
+    kinds = [("series", pa.string()), ("t", pa.int64()), ("neighbours", pa.list_(pa.int64())), ("distances", pa.list_(pa.float64())), ("losses", pa.list_(pa.float64())), ("draw", pa.int64())]
+    schema = pa.schema(kinds if draws else kinds[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-
-                def get(c: str) -> np.ndarray:
-                    x = b.column(c)[i].values  # noqa: B023
-                    return np.array((x.flatten() if pa.types.is_list(x.type) else x).to_numpy(zero_copy_only=False), float)
-
-                f, loss = features({c: get(c) for c in columns}), get("next_loss")
-                draw = b.column("draw")[i].as_py()
-                measure = metric if draws is None else metric(draw)
+                f, loss = features({c: unpacked(b, i, c) for c in columns}), unpacked(b, i, "next_loss")
+                first = b.column("draw")[i].as_py()
                 good = np.isfinite(f).all(axis=1)
+                fit = good & np.isfinite(loss) if draws else good
                 out = []
                 for t in b.column("asked")[i].as_py():
-                    c = np.flatnonzero(good[: eligible(t, len(f), radius)])
+                    c = np.flatnonzero(fit[: eligible(t, len(f), radius)])
                     if not good[t] or not len(c):
                         continue
                     try:
-                        d = measure(f, t, c)
+                        d = metric(f, t, c)
                     except ValueError:
                         continue
-                    best = top(d, k)
-                    out.append({"series": b.column("series")[i].as_py(), "t": t, "neighbours": c[best].tolist(), "distances": d[best].tolist(), "losses": loss[c[best]].tolist(), "draw": draw})
-                kinds = [("series", pa.string()), ("t", pa.int64()), ("neighbours", pa.list_(pa.int64())), ("distances", pa.list_(pa.float64())), ("losses", pa.list_(pa.float64())), ("draw", pa.int64())]
-                yield pa.RecordBatch.from_pylist(out, pa.schema(kinds if draws else kinds[:-1]))
+                    for draw in range(first, min(first + DRAWS_EACH, draws)) if draws else (0,):
+                        mine = redraw(draw, t, d) if draws else d
+                        best = top(mine, k)
+                        out.append({"series": b.column("series")[i].as_py(), "t": t, "neighbours": c[best], "distances": mine[best], "losses": loss[c[best]], "draw": draw})
+                    if len(out) >= 4096:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     return work.mapInArrow(run, SCHEMA + (", draw long" if draws else ""))
 
 
+def scenarios(panel: DataFrame, columns: tuple[str, ...], queries: F.Column | str, make: Callable[[dict[str, np.ndarray]], Callable[[int], np.ndarray | None]]) -> DataFrame:
+    """``series``, ``t`` and ``losses`` for positions for which ``queries`` holds, from one pass over each series.
+
+    ``make`` gets a series' ``columns`` and gives a function from a position to its losses; positions without losses give no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                of = make({c: unpacked(b, i, c) for c in columns})
+                got = [(t, x) for t in b.column("asked")[i].as_py() if (x := of(t)) is not None and len(x)]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for _, x in got]))), pa.int32())
+                losses = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0), *(x for _, x in got)])))
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("series")[i].as_py()] * len(got), pa.string()), pa.array([t for t, _ in got], pa.int64()), losses], ["series", "t", "losses"])
+
+    return packed(panel, columns, queries).mapInArrow(run, "series string, t long, losses array<double>")
+
+
 def window_features(size: int, z: bool = False):
     return lambda s: standardise(windows(s["ret"], size)) if z else windows(s["ret"], size)
 

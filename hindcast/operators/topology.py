@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.config import STATE, TOPOLOGY, Topology
+from hindcast.functions.scores import finite
 from hindcast.operators import controls
 from hindcast.operators import retrieval as R
 
@@ -29,10 +31,12 @@ def thin(cloud: np.ndarray, most: int) -> np.ndarray:
 def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
     """Finite intervals of dimension 0 and 1.
 
-    Edges in order of length join components (deaths in dimension 0) or close a cycle (births in
-    dimension 1).  Columns of triangles, in order of diameter, are reduced modulo 2 to kill the youngest
-    cycle they bound.  Within the distance at which some point sees all others every cycle is dead, and
-    later ones die at birth, so nothing longer is looked at.
+    Edges in order of length join components (deaths in dimension 0); each other one is born as a cycle.
+    Its death is found by cohomology: from the youngest edge on, an edge's column holds the triangles on it,
+    a triangle being known by its longest edge and the corner opposite, and the least one is its pivot.  Where an
+    edge is the longest of its pivot, which one look at all columns tells, the cycle dies at birth and nothing is
+    reduced; of the rest, columns with a pivot that an earlier one has are added to it.  Within the distance at
+    which some point sees all others every cycle is dead, so nothing longer is looked at.
     """
     n = len(cloud)
     if n < 2:
@@ -41,10 +45,10 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
     i, j = np.triu_indices(n, 1)
     order = np.lexsort((j, i, d[i, j]))
     i, j = i[order], j[order]
-    far = d.max(axis=1).min()
-    rank = np.zeros((n, n), int)
+    length, far = d[i, j], d.max(axis=1).min()
+    rank = np.full((n, n), -1)
     rank[i, j] = rank[j, i] = np.arange(len(i))
-    root, joins, open_cycles = list(range(n)), [], set()
+    root, joins = list(range(n)), []
 
     def find(a: int) -> int:
         while root[a] != a:
@@ -53,38 +57,52 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
 
     for e, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
         ra, rb = find(a), find(b)
-        if ra == rb:
-            if d[a, b] <= far:
-                open_cycles.add(e)
-        else:
+        if ra != rb:
             root[rb] = ra
-            joins.append(d[a, b])
-    h0 = np.array([(0.0, x) for x in joins if x > tiny]).reshape(-1, 2)
-    if n < 3:
+            joins.append(e)
+            if len(joins) == n - 1:
+                break
+    h0 = np.array([(0.0, length[e]) for e in joins if length[e] > tiny]).reshape(-1, 2)
+    edges = int(np.searchsorted(length, far, "right"))
+    if n < 3 or edges < 3:
         return h0, np.zeros((0, 2))
-    a, b, c = (x.ravel() for x in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
-    keep = (a < b) & (b < c) & (d[a, b] <= far) & (d[a, c] <= far) & (d[b, c] <= far)
-    a, b, c = a[keep], b[keep], c[keep]
-    sides = np.sort(np.stack([rank[a, b], rank[a, c], rank[b, c]], axis=1), axis=1)
-    length = d[i, j]
-    order = np.lexsort((sides[:, 0], sides[:, 1], sides[:, 2]))
-    columns: dict[int, frozenset] = {}
+    none = len(i) * n
+
+    def columns(e: np.ndarray) -> np.ndarray:
+        """Triangles on each edge, by the third corner; ``none`` for no triangle."""
+        a, b = i[e][:, None], j[e][:, None]
+        ra, rb, v = rank[i[e]], rank[j[e]], np.arange(n)[None]
+        most = np.maximum(np.maximum(ra, rb), e[:, None])
+        corner = np.where(most == e[:, None], v, np.where(most == ra, b, a))
+        return np.where((v == a) | (v == b) | (most >= edges), none, most * n + corner)
+
+    pivot = np.concatenate([columns(np.arange(lo, min(lo + 2048, edges))).min(axis=1) for lo in range(0, edges, 2048)])
+    ready = pivot // n == np.arange(edges)
+    todo = ~ready
+    todo[[e for e in joins if e < edges]] = False
+    owner: dict[int, list[int]] = {}
     bars = []
-    for t in sides[order].tolist():
-        column, youngest = set(t), t[2]
-        while column:
-            low = max(column)
-            other = columns.get(low)
+    for e in np.flatnonzero(todo)[::-1].tolist():
+        got = columns(np.array([e]))[0]
+        heap, made = got[got < none].tolist(), [e]
+        heapq.heapify(heap)
+        while heap:
+            low = heapq.heappop(heap)
+            if heap and heap[0] == low:  # twice is not at all
+                heapq.heappop(heap)
+                continue
+            by = low // n
+            other = [by] if ready[by] and pivot[by] == low else owner.get(low)
             if other is None:
-                columns[low] = frozenset(column)
-                if low in open_cycles:
-                    open_cycles.discard(low)
-                    if length[youngest] > length[low] + tiny:
-                        bars.append((length[low], length[youngest]))
+                owner[low] = made
+                if length[by] > length[e] + tiny:
+                    bars.append((length[e], length[by]))
                 break
-            column ^= other
-        if not open_cycles:
-            break
+            heapq.heappush(heap, low)
+            made += other
+            more = columns(np.array(other))
+            for x in more[more < none].tolist():
+                heapq.heappush(heap, x)
     return h0, np.array(bars).reshape(-1, 2)
 
 
@@ -109,7 +127,8 @@ MODES = ("h1_weighted", "h0_weighted", "h0_h1_weighted", "h1_first", "h1_first_a
 def window_feature(window: np.ndarray, t: Topology = TOPOLOGY, mode: str = "h1_weighted") -> np.ndarray:
     """Landscape of one window, a row a day; of several columns each is standardised, and a point holds all their delays."""
     z = R.standardise(window.reshape(len(window), -1).T)
-    h0, h1 = persistence(thin(np.concatenate([embed(c, t.tau, t.dimension) for c in z], axis=1), t.points))
+    cloud = np.concatenate([embed(c, t.tau, t.dimension) for c in z], axis=1)
+    h0, h1 = persistence(thin(cloud, t.points) if t.points else cloud)
     grid = np.linspace(0, t.upper, t.steps)
     if mode == "h1_weighted":
         return landscape(h1, grid, t.weights)
@@ -188,8 +207,7 @@ def topology_knn(panel: DataFrame, size: int, k: int, radius: int = 0, queries="
     shape = lambda s: s["feature"].reshape(-1, n)
     shape = shape if placebo_seed is None else placebo(shape, placebo_seed)
     metric = blended(len(state), alpha, radius)
-    made = metric if draws is None else lambda draw: controls.permuted(metric, control_seed or 0, draw)
-    return R.retrieve(wide, made, lambda s: np.column_stack([*(s[c] for c in state), shape(s)]), (*state, "feature"), k, radius, queries, draws, asked=panel)
+    return R.retrieve(wide, metric, lambda s: np.column_stack([*(s[c] for c in state), shape(s)]), (*state, "feature"), k, radius, queries, draws, controls.dealt(control_seed or 0), asked=panel)
 
 
 def mutual_information(panel: DataFrame, taus: range = range(1, 6), bins: int = 16) -> DataFrame:
@@ -211,11 +229,11 @@ def mutual_information(panel: DataFrame, taus: range = range(1, 6), bins: int =
 
 
 def first_minimum(mi: DataFrame) -> DataFrame:
-    """The first lag that is less than both its neighbours, or else the least of all."""
+    """The first lag that is no more than either of its neighbours, or else the least of all."""
     from pyspark.sql import Window
 
     by = Window.partitionBy("series").orderBy("tau")
-    dips = mi.withColumn("dip", (F.col("mi") < F.lag("mi").over(by)) & (F.col("mi") < F.lead("mi").over(by)))
+    dips = mi.withColumn("dip", (F.col("mi") <= F.lag("mi").over(by)) & (F.col("mi") <= F.lead("mi").over(by)))
     return dips.groupBy("series").agg(F.coalesce(F.min(F.when(F.col("dip"), F.col("tau"))), F.min_by("tau", F.struct("mi", "tau"))).alias("tau"))
 
 
@@ -225,11 +243,14 @@ def false_neighbours(x: np.ndarray, tau: int, dimension: int, ratio: float = 10.
     if n < 10:
         return float("inf")
     cloud, ahead = embed(x, tau, dimension)[:n], x[dimension * tau : dimension * tau + n]
-    d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(axis=2))
-    np.fill_diagonal(d, np.inf)
-    near = d.argmin(axis=1)
-    least, jump = np.maximum(d[np.arange(n), near], 1e-12), np.abs(ahead - ahead[near])
-    return float(((jump / least > ratio) | (np.sqrt(least**2 + jump**2) / max(x.std(), 1e-12) > absolute)).mean())
+    near, least = np.empty(n, int), np.empty(n)
+    for lo in range(0, n, 256):  # in blocks, as all pairs at once would not fit
+        d = ((cloud[lo : lo + 256, None] - cloud[None]) ** 2).sum(axis=2)
+        d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf
+        near[lo : lo + 256] = d.argmin(axis=1)
+        least[lo : lo + 256] = np.sqrt(d.min(axis=1))
+    jump = np.abs(ahead - ahead[near])
+    return float(((jump / np.maximum(least, 1e-8) > ratio) | (np.sqrt(least**2 + jump**2) / (x.std() + 1e-8) > absolute)).mean())
 
 
 def choose_dimension(x: np.ndarray, tau: int, dimensions: range = range(2, 6), accept: float = 0.05) -> int:
@@ -237,11 +258,16 @@ def choose_dimension(x: np.ndarray, tau: int, dimensions: range = range(2, 6), a
     return next((m for m in dimensions if rates[m] <= accept), min(rates, key=lambda m: (rates[m], m)))
 
 
-def embedding_choice(panel: DataFrame, train: str = "true", taus: range = range(1, 6), bins: int = 16, dimensions: range = range(2, 6), least: int = 200) -> DataFrame:
-    """Delay and dimension of each series, from the returns for which ``train`` holds; series with fewer than ``least`` give no row."""
+def embedding_choice(panel: DataFrame, train: str = "true", taus: range = range(1, 6), bins: int = 16, dimensions: range = range(2, 6), least: int = 200, columns: tuple[str, ...] = ("ret",)) -> DataFrame:
+    """Delay and dimension of each series, from the returns for which ``train`` holds; series with fewer than ``least`` give no row.
+
+    Of several ``columns`` the mean of those a day has is looked at.
+    """
     from pyspark.sql import Window
 
-    p = panel.where(train).where("ret is not null").select("series", "pos", "ret").withColumn("n", F.count("*").over(Window.partitionBy("series"))).where(F.col("n") >= least)
+    known = F.filter(F.array(*columns), finite)
+    mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known))
+    p = panel.where(train).select("series", "pos", mean.alias("ret")).where("ret is not null").withColumn("n", F.count("*").over(Window.partitionBy("series"))).where(F.col("n") >= least)
     tau = first_minimum(mutual_information(p, taus, bins))
     packed = p.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("pos", "ret"))).alias("rows")).select("series", F.col("rows.ret").alias("x")).join(tau, "series")
 

@@ -17,7 +17,7 @@ from hindcast.sources.panel import split
 # How a configuration's name states its model and parameters.
 FORMS = {
     "rolling_hs": r"rolling_hs_w(?P<window>\d+)",
-    "gap_hs": r"gap_hs_w(?P<window>\d+)_r(?P<radius>\d+)",
+    "gap_hs": r"gap_hs_w(?P<window>\d+)(?:_r(?P<radius>\d+))?",
     "regime_hs": r"regime_hs_bins(?P<bins>\d+)",
     "fhs_ewma": r"fhs_ewma_l0(?P<decay>\d+)",
     "garch_t": r"garch_t_w(?P<fit>\d+)_r(?P<refit>\d+)",
@@ -58,7 +58,6 @@ def grid(form: str, **values: list) -> list[str]:
 def _forecasts(configurations: list[Configuration], panel: DataFrame, radius: int, queries: Column | str) -> DataFrame:
     """Risk of one family's configurations."""
     c = configurations[0]
-    asked = panel.where(queries).select("series", F.col("pos").alias("t"))
     if c.model == "garch_t":
         return M.garch_t(panel, fit=int(c["fit"]), refit=int(c["refit"]), queries=queries).withColumn("configuration", F.lit(c.name))
     if "k" in dict(c.params):
@@ -73,10 +72,10 @@ def _forecasts(configurations: list[Configuration], panel: DataFrame, radius: in
         found = found.withColumn("each", each).select("series", "t", F.col("each.name").alias("configuration"), F.slice("losses", F.lit(1), F.col("each.k")).alias("losses"))
     else:
         made = {
-            "rolling_hs": lambda: M.rolling_hs(panel, int(c["window"])), "gap_hs": lambda: M.rolling_hs(panel, int(c["window"]), int(c["radius"])),
-            "regime_hs": lambda: M.regime_hs(panel, int(c["bins"])), "fhs_ewma": lambda: M.fhs_ewma(panel, int(c["decay"]) / 10 ** len(c["decay"])),
+            "rolling_hs": lambda: M.rolling_hs(panel, int(c["window"]), queries=queries), "gap_hs": lambda: M.rolling_hs(panel, int(c["window"]), int(c["radius"] or radius), queries),
+            "regime_hs": lambda: M.regime_hs(panel, int(c["bins"]), queries), "fhs_ewma": lambda: M.fhs_ewma(panel, int(c["decay"]) / 10 ** len(c["decay"]), queries),
         }
-        found = made[c.model]().join(asked, ["series", "t"], "left_semi").withColumn("configuration", F.lit(c.name))
+        found = made[c.model]().withColumn("configuration", F.lit(c.name))
     return M.risk(found, "configuration")
 
 

@@ -103,7 +103,7 @@ Z = ", ".join(f"CASE WHEN count({c}) OVER w >= 60 THEN round(({c} - avg({c}) OVE
 SQL = {
     "daily_panel": f"WITH {PANEL} SELECT pos, date, {_r('px_a px_b n_orders ret loss next_loss')} FROM panel",
     "hourly_panel": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, count(*) AS n, count(DISTINCT event_type) AS n_types, "
-    + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("click", "view", "purchase"))
+    + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("click", "view", "purchase", "signup", "error"))
     + ", round(avg(value), 6) + 0.0 AS mean_value FROM events GROUP BY 1",
     "state_panel": f"WITH {STATES} SELECT pos, {_r(' '.join(STATE))} FROM state",
     "expanding_zscores": f"WITH {STATES} SELECT pos, {Z} FROM state WINDOW w AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
@@ -176,7 +176,7 @@ SQL |= {
     "coverage_tests": _coverage(),
     "paired_comparison": _comparison(),
     "neighbour_overlap": _overlap(),
-    "chosen_delay": f"WITH mi AS ({SQL['mutual_information']}), dips AS (SELECT *, mi < lag(mi) OVER w AND mi < lead(mi) OVER w AS dip FROM mi WINDOW w AS (ORDER BY tau)) SELECT 'all' AS series, coalesce(min(tau) FILTER (dip), arg_min(tau, mi)) AS tau FROM dips",
+    "chosen_delay": f"WITH mi AS ({SQL['mutual_information']}), dips AS (SELECT *, mi <= lag(mi) OVER w AND mi <= lead(mi) OVER w AS dip FROM mi WINDOW w AS (ORDER BY tau)) SELECT 'all' AS series, coalesce(min(tau) FILTER (dip), arg_min(tau, mi)) AS tau FROM dips",
 }
 
 

@@ -41,10 +41,6 @@ def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.state_panel(_panel(spark, sf_dir))
 
 
-def _test(df: DataFrame, panel: DataFrame) -> DataFrame:
-    return df.join(panel.where(TEST).select("series", F.col("pos").alias("t")), ["series", "t"], "left_semi")
-
-
 def _out(forecasts: DataFrame, panel: DataFrame) -> DataFrame:
     return rounded(M.scored(forecasts, panel).drop("series"))
 
@@ -115,18 +111,10 @@ _state_knn("random_knn_forecasts", lambda p: M.random_knn(p, K, queries=TEST))
 _state_knn("topology_forecasts", lambda p: T.topology_knn(p, 60, K, queries=TEST))
 
 
-def _series(name: str, make) -> None:
-    def f(spark, sf_dir):
-        p = _state(spark, sf_dir)
-        return _out(M.risk(_test(make(p), p)), p)
-
-    QUERIES[name] = f
-
-
-_series("rolling_hs_forecasts", lambda p: M.rolling_hs(p, 250))
-_series("gap_hs_forecasts", lambda p: M.rolling_hs(p, 250, radius=125))
-_series("regime_hs_forecasts", lambda p: M.regime_hs(p, 4))
-_series("fhs_ewma_forecasts", lambda p: M.fhs_ewma(p, 0.94))
+_state_knn("rolling_hs_forecasts", lambda p: M.rolling_hs(p, 250, queries=TEST))
+_state_knn("gap_hs_forecasts", lambda p: M.rolling_hs(p, 250, radius=125, queries=TEST))
+_state_knn("regime_hs_forecasts", lambda p: M.regime_hs(p, 4, queries=TEST))
+_state_knn("fhs_ewma_forecasts", lambda p: M.fhs_ewma(p, 0.94, queries=TEST))
 
 
 @query
@@ -138,7 +126,7 @@ def garch_forecasts(spark, sf_dir):
 def _models(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Scores of four models on the test days, and the panel."""
     p = _state(spark, sf_dir)
-    made = {"rolling_hs": _test(M.rolling_hs(p, 250), p), "gap_hs": _test(M.rolling_hs(p, 250, radius=125), p), "fhs_ewma": _test(M.fhs_ewma(p, 0.94), p), "window_knn": M.window_knn(p, SIZE, K, queries=TEST)}
+    made = {"rolling_hs": M.rolling_hs(p, 250, queries=TEST), "gap_hs": M.rolling_hs(p, 250, radius=125, queries=TEST), "fhs_ewma": M.fhs_ewma(p, 0.94, queries=TEST), "window_knn": M.window_knn(p, SIZE, K, queries=TEST)}
     out = None
     for name, f in made.items():
         s = M.scored(M.risk(f), p).withColumn("model", F.lit(name))

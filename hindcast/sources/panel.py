@@ -41,7 +41,7 @@ def hourly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kinds = ["click", "view", "purchase", "signup", "error"]
     return e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(
-        F.count("*").alias("n"), F.countDistinct("event_type").alias("n_types"), *(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds[:3]), F.avg("value").alias("mean_value")
+        F.count("*").alias("n"), F.countDistinct("event_type").alias("n_types"), *(F.count_if(F.col("event_type") == k).alias(f"n_{k}") for k in kinds), F.avg("value").alias("mean_value")
     )
 
 
