@@ -3,8 +3,8 @@
 Words are runs of letters (Unicode categories L and M), ASCII lower-cased; digits, signs and dashes of
 any alphabet stand between words.  A word's script is that of its first letter, by the ranges of code
 points that Unicode names after a script.  For each language a table of smoothed log probabilities of
-byte trigrams (a word with a space on each side) is learned from ``SAMPLE`` of its documents at most, by
-hash of their ids.  A word's scores are the sums over its trigrams, less the best, and ``FLOOR`` at
+byte trigrams (a word with a space on each side) is learned from all of its documents, or, where it has more
+than ``SAMPLE``, from the share of ids, by hash, that makes as many; of rows with equal ids the least text.  A word's scores are the sums over its trigrams, less the best, and ``FLOOR`` at
 least; a language in which less than ``RARE`` of the words have the word's script is out, unless all
 are.  The labels of a text's words are the best path under a penalty of ``SWITCH`` for each change of
 language.
@@ -26,13 +26,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from hindcast.llm import blocks as B
 
-SAMPLE, SWITCH, FLOOR, RARE, BITS = 6_000, 6.0, -8.0, 0.01, 16
+SAMPLE, SWITCH, FLOOR, RARE, BITS = 4_000, 6.0, -8.0, 0.01, 16
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<first_word:long,last_word:long,lang:string>>"
 
 _CLEAN = np.full(256, 32, np.uint8)  # ASCII letters, lower-cased, and all bytes of longer characters; the rest is space
@@ -217,9 +217,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A model of documents that have a language and whose crc32(id as text) modulo ``of`` is not ``fold``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_is_held(F.col("doc_id"), fold, of))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= sample).select("lang", "doc_id").distinct()  # bounded by ``sample`` a language
-    rows = B.meet(rows, ids, ["lang", "doc_id"], ["doc_id"]).select("doc_id", "text", "lang")
+    n = rows.groupBy("lang").agg(F.count("*").alias("n__"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < F.lit(float(sample)) / F.col("n__") * float(1 << 31)
+    rows = B.meet(rows, n, ["lang"], ["doc_id"]).where(share).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
