@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,26 +67,36 @@ def ties(found: DataFrame, k: int, near: float = 1e-12) -> DataFrame:
 
 
 def drawn(panel: DataFrame, k: int, draws: int, radius: int = 0, queries: Column | str = "true", seed: int = 1) -> DataFrame:
-    """Null control: for each query and draw, ``k`` eligible days picked by hash; nothing but the past is used.
+    """Null control: for each query and draw, ``k`` eligible days with a next loss at random; nothing but the past is used.
 
-    Candidates are the positions themselves, so each query makes its own from a sequence.
+    Dealing the features of the eligible days to those days at random gives the same distribution of neighbours
+    (up to ties), so this is also the fast way to ``controls.permuted``.
     """
-    q = panel.where(queries).select("series", F.col("pos").alias("t"))
-    q = q.crossJoin(F.broadcast(q.sparkSession.range(draws).withColumnRenamed("id", "draw"))).where(F.col("t") - radius - 1 >= 0)
-    keyed = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - radius - 1), lambda s: F.struct(F.xxhash64(F.lit(seed), "draw", "t", s).alias("h"), s.alias("s")))
-    q = R.deal(q, "series", "draw", "t").withColumn("neighbours", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x.s))
-    return with_losses(q, panel)
+
+    def redraw(draw: int, t: int, d: np.ndarray) -> np.ndarray:
+        return np.random.default_rng((seed, radius, draw, t)).random(len(d))
+
+    nothing = lambda f, t, c: np.zeros(len(c))
+    return R.retrieve(panel, nothing, lambda s: np.zeros((len(s["loss"]), 1)), ("loss",), k, radius, queries, draws, redraw)
 
 
 def recency_matched(found: DataFrame, panel: DataFrame, draws: int, radius: int = 0, edges: tuple[int, ...] = AGES, seed: int = 1) -> DataFrame:
-    """Null control: of each age bin as many eligible days as the retrieval took from it, picked by hash."""
-    bin_of = lambda age: sum((F.when(age > e, 1).otherwise(0) for e in edges), F.lit(0))
-    q = found.select("series", "t", "neighbours").crossJoin(F.broadcast(found.sparkSession.range(draws).withColumnRenamed("id", "draw")))
-    need = F.transform("neighbours", lambda s: bin_of(F.col("t") - s))
-    day = F.transform(F.sequence(F.lit(0).cast("long"), F.col("t") - radius - 1), lambda s: F.struct(F.xxhash64(F.lit(seed), "draw", "t", s).alias("h"), s.alias("s")))
-    q = R.deal(q, "series", "draw", "t").withColumn("need", need).withColumn("days", F.array_sort(day))
-    pick = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(edges))), lambda b: F.slice(F.filter("days", lambda d: bin_of(F.col("t") - d.s) == b), F.lit(1), F.size(F.filter("need", lambda n: n == b)))))
-    return with_losses(q.withColumn("neighbours", F.transform(pick, lambda x: x.s)).drop("need", "days"), panel)
+    """Null control: of each age bin as many eligible days as the retrieval took from it, at random."""
+    q = found.select("series", "t", "neighbours").crossJoin(F.broadcast(found.sparkSession.range(0, draws, R.DRAWS_EACH).withColumnRenamed("id", "draw")))
+
+    def run(batches):
+        for b in batches:
+            for series, t, near, first in zip(*(b.column(c).to_pylist() for c in ("series", "t", "neighbours", "draw"))):
+                bin_of = np.searchsorted(edges, t - np.arange(max(t - radius, 0)), "left")
+                need = np.bincount(np.searchsorted(edges, t - np.array(near, int), "left"), minlength=len(edges) + 1)
+                pools = [(np.flatnonzero(bin_of == i), n) for i, n in enumerate(need) if n]
+                out = []
+                for draw in range(first, min(first + R.DRAWS_EACH, draws)):
+                    rng = np.random.default_rng((seed, radius, draw, t))
+                    out.append(np.concatenate([np.zeros(0, int), *(rng.choice(p, min(n, len(p)), replace=False) for p, n in pools)]).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([series] * len(out)), pa.array([t] * len(out), pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(range(first, first + len(out)), pa.int64())], ["series", "t", "neighbours", "draw"])
+
+    return with_losses(R.deal(q, "series", "draw", "t").mapInArrow(run, "series string, t long, neighbours array<long>, draw long"), panel)
 
 
 def with_losses(found: DataFrame, panel: DataFrame) -> DataFrame:
@@ -101,6 +113,36 @@ def null_scores(found: DataFrame, panel: DataFrame) -> DataFrame:
     return M.scored(f, panel).groupBy("series", "draw").agg(F.avg("pinball").alias("mean_pinball"), F.avg("hit").alias("hit_rate"))
 
 
+def checksums(found: DataFrame, *keys: str) -> DataFrame:
+    """A SHA-256 of all neighbours in order of query and rank, and the least and greatest query, by ``keys``."""
+    line = F.concat_ws(":", F.col("t").cast("string"), F.array_join(F.transform("neighbours", lambda s: s.cast("string")), ";"))
+    each = found.select(*keys, "t", F.sha2(line, 256).alias("h"))
+    return each.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "h"))), lambda x: x.h), ""), 256).alias("checksum"), F.count("*").alias("n_forecasts"))
+
+
+def profile(found: DataFrame, oldest: int = 0, radius: int = 0, recent: tuple[int, ...] = (100, 250), cutoffs: tuple[int, ...] = (20, 60, 125, 250)) -> DataFrame:
+    """Ages of neighbours and their likeness to the most recent candidates, as ``measure`` and ``value``; candidates begin at ``oldest``."""
+    age = found.select(F.explode("neighbours").alias("s"), "t").select((F.col("t") - F.col("s")).cast("double").alias("age"))
+    shares = [F.avg((F.col("age") <= c).cast("double")).alias(f"share_age_le_{c}") for c in cutoffs]
+    ages = age.agg(F.avg("age").alias("mean_age"), *(F.percentile("age", p).alias(f"age_q{round(100 * p):02d}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)), *shares)
+    last = F.col("t") - radius - 1
+    likeness = found.where(last >= oldest).select(*(jaccard(F.col("neighbours"), F.sequence(F.greatest(last - n + 1, F.lit(oldest).cast("long")), last)).alias(f"j{n}") for n in recent))
+    likeness = likeness.agg(*(f(f"j{n}").alias(f"{name}_jaccard_recent_{n}") for n in recent for name, f in (("mean", F.avg), ("median", F.median))))
+    wide = ages.crossJoin(likeness)
+    return wide.unpivot([], wide.columns, "measure", "value")
+
+
+def selection_stability(scores: DataFrame, fold: Column, by: str = "model", value: str = "pinball") -> DataFrame:
+    """Winners by fold, over all folds and with a fold left out, and each model's ranks: ``kind``, ``fold``, model, mean and the rank's mean, greatest and deviation."""
+    f = scores.groupBy(by, fold.cast("string").alias("fold")).agg(F.avg(value).alias("mean"))
+    f = f.withColumn("rank", F.rank().over(Window.partitionBy("fold").orderBy("mean")).cast("double"))
+    least = lambda d, kind: d.groupBy("fold").agg(F.min(F.struct("mean", by)).alias("top")).select(F.lit(kind).alias("kind"), "fold", F.col(f"top.{by}").alias(by), F.col("top.mean").alias("mean"))
+    whole = f.groupBy(by).agg(F.avg("mean").alias("mean"), F.avg("rank").alias("mean_rank"), F.max("rank").alias("worst_rank"), F.stddev_samp("rank").alias("sd_rank"))
+    left = f.select(F.col("fold").alias("out")).distinct().join(f, F.col("out") != F.col("fold")).groupBy("out", by).agg(F.avg("mean").alias("mean")).withColumnRenamed("out", "fold")
+    out = least(f, "fold").unionByName(least(whole.withColumn("fold", F.lit("all")), "all")).unionByName(least(left, "without"))
+    return out.unionByName(whole.select(F.lit("ranks").alias("kind"), F.lit("all").alias("fold"), by, "mean", "mean_rank", "worst_rank", "sd_rank"), allowMissingColumns=True)
+
+
 def randomisation_p(nulls: DataFrame, real: DataFrame) -> DataFrame:
     """(1 + draws as good as the real one) / (1 + draws)."""
     return nulls.join(F.broadcast(real.select("series", F.col("mean_pinball").alias("real"))), "series").groupBy("series").agg(F.count("*").alias("draws"), ((1 + F.count_if(F.col("mean_pinball") <= F.col("real"))) / (1 + F.count("*"))).alias("p"))

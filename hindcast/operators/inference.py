@@ -163,3 +163,89 @@ def model_confidence_sets(losses: DataFrame, keys: list[str], order: str, model:
         return pa.table(cols | {"model": [names[i] for i, _, _ in found], "elimination_order": pa.array(range(1, len(found) + 1), pa.int64()), "p": [p for _, p, _ in found], "included": [s for _, _, s in found], "mean_loss": [float(wide.iloc[:, i].mean()) for i, _, _ in found], "n_dates": pa.array([len(wide)] * len(found), pa.int64())})
 
     return whole.select(*keys, order, model, value).groupBy(*keys).applyInArrow(run, ", ".join(f"`{k}` {t}" for k, t in kinds.items()) + ", model string, elimination_order long, p double, included boolean, mean_loss double, n_dates long")
+
+
+def range_statistic(x: np.ndarray) -> float:
+    mean = x.mean(axis=0)
+    return float(np.abs((mean - mean.mean()) / np.sqrt(np.maximum(x.var(axis=0, ddof=1), 1e-18) / len(x))).max())
+
+
+def range_set(losses: np.ndarray, alpha: float = 0.1, draws: int = 500, block: int = 10, seed: int = 20260927) -> list[tuple[int, float, float, bool]]:
+    """Model, statistic, p-value and whether it stays, by model; those that stay have neither statistic nor p-value.
+
+    The statistic is the largest distance of a model's mean from that of all, by its own deviation; while it is
+    rejected against resamples of centred losses, the model of the largest mean goes.
+    """
+    left, gone, rng = list(range(losses.shape[1])), {}, np.random.default_rng(seed)
+    while len(left) > 1:
+        x = losses[:, left]
+        seen, centred = range_statistic(x), x - x.mean(axis=0)
+        null = np.array([range_statistic(centred[rows]) for rows in block_starts(len(x), block, draws, rng)])
+        p = float((1 + (null >= seen).sum()) / (draws + 1))
+        if p >= alpha:
+            break
+        gone[left.pop(int(x.mean(axis=0).argmax()))] = (seen, p)
+    return [(i, *gone.get(i, (math.nan, math.nan)), i in left) for i in range(losses.shape[1])]
+
+
+def range_confidence_set(losses: DataFrame, order: str, model: str, value: str, **how) -> DataFrame:
+    """``range_set`` of all models over the dates that each of them has; the loss matrix is packed into one row."""
+    by = Window.partitionBy(order)
+    models = losses.where(F.col(value).isNotNull()).withColumn("here", F.count("*").over(by))
+    packed = models.groupBy("here").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(model).alias("m"), F.col(value).alias("v")))).alias("x"), F.countDistinct(model).alias("models")).where("here = models")
+    packed = packed.select(F.col("x.m").alias("m"), F.col("x.v").alias("v"), "models").orderBy(F.desc("models")).limit(1)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                k = b.column("models")[i].as_py()
+                names, x = b.column("m")[i].as_py()[:k], b.column("v")[i].values.to_numpy().reshape(-1, k)
+                rows = [{"model": names[m], "included": stays, "mean_loss": float(x[:, m].mean()), "statistic": None if stays else stat, "p": None if stays else p, "n_dates": len(x), "n_models": k} for m, stat, p, stays in range_set(x, **how)]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("model", pa.string()), ("included", pa.bool_()), ("mean_loss", pa.float64()), ("statistic", pa.float64()), ("p", pa.float64()), ("n_dates", pa.int64()), ("n_models", pa.int64())]))
+
+    return packed.mapInArrow(run, "model string, included boolean, mean_loss double, statistic double, p double, n_dates long, n_models long")
+
+
+def shortfall_bootstrap(y: np.ndarray, q: np.ndarray, e: np.ndarray, level: float = 0.975, block: int = 10, draws: int = 2_000, seed: int = 20260927) -> tuple[int, float, float, float]:
+    """Forecasts used, studentised mean of the shortfall's moment, its p-value against resampled blocks, and the mean."""
+    ok = np.isfinite(y) & np.isfinite(q) & np.isfinite(e) & (e > 0)
+    y, q, e = y[ok], q[ok], e[ok]
+    if len(y) < 2:
+        return len(y), math.nan, math.nan, math.nan
+    x = y * (y > q) / ((1 - level) * e) - 1
+
+    def studentised(rows: np.ndarray) -> np.ndarray:
+        sd = rows.std(axis=-1, ddof=1)
+        return np.where(sd > 0, np.sqrt(rows.shape[-1]) * rows.mean(axis=-1) / np.where(sd > 0, sd, 1), 0.0)
+
+    seen = float(studentised(x))
+    null = studentised((x - x.mean())[block_starts(len(x), block, draws, np.random.default_rng(seed))])
+    return len(x), seen, float((1 + (np.abs(null) >= abs(seen)).sum()) / (draws + 1)), float(x.mean())
+
+
+def shortfall_bootstraps(scores: DataFrame, keys: list[str], order: str, **how) -> DataFrame:
+    """``shortfall_bootstrap`` of ``next_loss``, ``var`` and ``es`` by ``keys``."""
+    packed = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "next_loss", "var", "es"))).alias("x")).select(*keys, *(F.col("x")[c].alias(c) for c in ("next_loss", "var", "es")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema if f.name in keys)
+
+    def run(batches):
+        for b in batches:
+            found = [shortfall_bootstrap(*(np.array(b.column(c)[i].values.to_numpy(zero_copy_only=False), float) for c in ("next_loss", "var", "es")), **how) for i in range(b.num_rows)]
+            n, stat, p, mean = zip(*found) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in (stat, p, mean))], [*keys, "n_valid", "statistic", "p", "mean_moment"])
+
+    return packed.mapInArrow(run, f"{kinds}, n_valid long, statistic double, p double, mean_moment double")
+
+
+def paired_tables(pairs: DataFrame, keys: list[str], family: list[str], order: str, **how) -> DataFrame:
+    """One row a pair: mean difference, its statistic and p-value, a block bootstrap interval, and Holm's p-value within ``family``."""
+    tested = dm(pairs, keys, order).join(bootstrap_intervals(pairs, keys, order, **how), keys)
+    return holm(tested, family)
+
+
+def backtest_tables(scores: DataFrame, keys: list[str], order: str, level: float = 0.99, **how) -> DataFrame:
+    """One row a group: coverage tests, mean scores with block bootstrap intervals, and the bootstrapped shortfall test."""
+    mean = lambda c: bootstrap_intervals(scores.where(F.col(c).isNotNull()), keys, order, c, **how).withColumnsRenamed({"low": f"{c}_low", "high": f"{c}_high"})
+    means = scores.groupBy(*keys).agg(F.avg("pinball").alias("mean_pinball"), F.avg("fz0").alias("mean_fz0"), F.count("fz0").alias("n_fz0"), F.avg("var").alias("mean_var"), F.avg("es").alias("mean_es"), F.avg("hit").alias("hit_rate"))
+    es = shortfall_bootstraps(scores, keys, order, **how).withColumnsRenamed({"statistic": "es_statistic", "p": "es_p"})
+    return coverage(scores, keys, order, level).join(means, keys).join(mean("pinball"), keys).join(mean("fz0"), keys, "left").join(es, keys)

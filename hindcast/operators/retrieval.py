@@ -30,6 +30,8 @@ def eligible(t: int, n: int, radius: int) -> int:
 
 def windows(x: np.ndarray, size: int) -> np.ndarray:
     """The last ``size`` values at each position; NaN where there are fewer."""
+    if len(x) < size:
+        return np.full((len(x), 1), np.nan)
     out = np.full((len(x), size), np.nan)
     if len(x) >= size:
         out[size - 1 :] = np.lib.stride_tricks.sliding_window_view(x, size)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from hindcast.config import RISK, SPLITS, STATE, WEIGHTS
 from hindcast.plans.queries import K, SIZE
+from hindcast.plans.suites import registry
+from hindcast.sources.synthetic import regions_sql
 
 PANEL = f"""
 a AS (SELECT l_shipdate::DATE AS date, round(sum(l_extendedprice * (1 - l_discount)), 4) AS px_a FROM lineitem GROUP BY 1),
@@ -201,3 +203,72 @@ SQL |= {
     "backtest_summary": _backtest(),
     "backtest_skips": _skips(),
 }
+
+
+def _folds() -> str:
+    before, _, _ = _backtest().partition(" SELECT 'test' AS split")
+    rows = ", ".join(f"('{r['configuration_id']}', '{r['method']}', {r['k'] or 'NULL'}, {r['window_length'] or 'NULL'})" for r in registry())
+    return before + f""", fo AS (SELECT configuration, year(date)::VARCHAR AS fold, count(*) AS n_forecasts, avg(pinball) AS mean_pinball, avg(hit) AS exceedance_rate, avg(var) AS mean_var, avg(n) AS mean_scenarios, max(pinball) AS worst_pinball FROM bt GROUP BY 1, 2),
+reg AS (SELECT * FROM (VALUES {rows}) v(configuration, method, k, window_length)), folds AS (SELECT * FROM reg LEFT JOIN fo USING (configuration))"""
+
+
+def _finalists() -> str:
+    return _folds() + f""", whole AS (SELECT method, configuration, avg(mean_pinball) AS mean_pinball, max(mean_pinball) AS worst_fold, avg(exceedance_rate) AS exceedance_rate, avg(mean_scenarios) AS mean_scenarios, count(DISTINCT fold) AS n_folds FROM folds WHERE fold IS NOT NULL GROUP BY 1, 2)
+SELECT method, configuration, {_r('mean_pinball worst_fold exceedance_rate mean_scenarios')}, n_folds FROM whole QUALIFY row_number() OVER (PARTITION BY method ORDER BY whole.mean_pinball, whole.worst_fold, configuration) = 1"""
+
+
+def _stability() -> str:
+    return f"""WITH {_models()}, f AS (SELECT model, quarter(date)::VARCHAR AS fold, avg(pinball) AS mean FROM s GROUP BY 1, 2),
+fr AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY mean)::DOUBLE AS rank FROM f),
+whole AS (SELECT model, avg(mean) AS mean, avg(rank) AS mean_rank, max(rank) AS worst_rank, stddev_samp(rank) AS sd_rank FROM fr GROUP BY model),
+lo AS (SELECT a.fold, b.model, avg(b.mean) AS mean FROM (SELECT DISTINCT fold FROM f) a JOIN f b ON a.fold <> b.fold GROUP BY 1, 2),
+tops AS (SELECT 'fold' AS kind, fold, model, mean FROM f UNION ALL SELECT 'all', 'all', model, mean FROM whole UNION ALL SELECT 'without', fold, model, mean FROM lo),
+won AS (SELECT * FROM tops QUALIFY row_number() OVER (PARTITION BY kind, fold ORDER BY mean, model) = 1)
+SELECT kind, fold, model, round(mean, 8) + 0.0 AS mean, NULL::DOUBLE AS mean_rank, NULL::DOUBLE AS worst_rank, NULL::DOUBLE AS sd_rank FROM won
+UNION ALL SELECT 'ranks', 'all', model, {_r('mean mean_rank worst_rank sd_rank')} FROM whole"""
+
+
+def _evaluated() -> str:
+    parts = [STATES, HS.replace("known", "hs_known")]
+    for name, radius in (("rolling", None), ("gap", 125)):
+        parts.append(_hs(radius, f"nn_{name}").replace("known", "hs_known") + _risk(f"nn_{name}", f"r_{name}"))
+    parts.append(_nn(name="nn_0") + _risk("nn_0", "r_0") + _nn(radius=125, name="nn_5", first=False) + _risk("nn_5", "r_5"))
+    made = [(0, "rolling_hs_w250", "r_rolling"), (125, "rolling_hs_w250", "r_rolling"), (125, "gap_hs_w250_r125", "r_gap"), (0, "w_euclidean_l20_k50", "r_0"), (125, "w_euclidean_l20_k50", "r_5")]
+    union = " UNION ALL ".join(f"SELECT *, {r}::BIGINT AS radius, '{c}' AS configuration FROM {t}" for r, c, t in made)
+    return f"WITH {''.join(parts)}, every AS ({union})" + _scored("every", "s")
+
+
+def _means(**columns: str) -> str:
+    return ", ".join(f"round({how}, 8) + 0.0 AS {c}" for c, how in columns.items())
+
+
+def _profile() -> str:
+    shares = {f"share_age_le_{c}": f"avg((age <= {c})::INT)" for c in (20, 60, 125, 250)}
+    ages = {"mean_age": "avg(age)"} | {f"age_q{round(100 * p):02d}": f"quantile_cont(age, {p})" for p in (0.05, 0.25, 0.5, 0.75, 0.95)} | shares
+    near = lambda n: f"(SELECT t, count(*) FILTER (s >= t - {n})::DOUBLE AS c, count(*) AS k, least({n}, t - {SIZE}) AS m FROM nn WHERE t > {SIZE} GROUP BY t)"
+    rows = [f"SELECT '{m}' AS measure, round({how}, 8) + 0.0 AS value FROM ages" for m, how in ages.items()]
+    rows += [f"SELECT '{name}_jaccard_recent_{n}', round({f}(c / (k + m - c)), 8) + 0.0 FROM {near(n)}" for n in (100, 250) for name, f in (("mean", "avg"), ("median", "median"))]
+    return f"WITH {PANEL}{_nn()}, ages AS (SELECT (t - s)::DOUBLE AS age FROM nn) " + " UNION ALL ".join(rows)
+
+
+def _verification() -> str:
+    checks = {
+        "positions are unique": "(SELECT count(*) FROM (SELECT pos FROM panel GROUP BY pos HAVING count(*) > 1))", "dates are unique": "(SELECT count(*) FROM (SELECT date FROM panel GROUP BY date HAVING count(*) > 1))",
+        "only the last day lacks a next loss": "(SELECT count(*) FROM panel WHERE next_loss IS NULL AND pos <> (SELECT max(pos) FROM panel))", "neighbours keep their distance": "(SELECT count(*) FROM nn WHERE s > t - 126)",
+        "neighbours have whole windows": f"(SELECT count(*) FROM nn WHERE s < {SIZE})", "queries have equally many neighbours": f"(SELECT count(*) FROM (SELECT t FROM nn GROUP BY t HAVING count(*) <> {K}))",
+    }
+    return f"WITH {PANEL}{_nn(radius=125)}, c AS (" + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", {how} AS bad" for n, how in checks.items()) + ') SELECT "check", bad = 0 AS holds, bad FROM c'
+
+
+SUMMARY = _means(mean_pinball="avg(pinball)", mean_fz0="avg(fz0)", hit_rate="avg(hit)", mean_var="avg(var)", mean_es="avg(es)", worst_pinball="max(pinball)", mean_scenarios="avg(n)")
+SQL |= {
+    "validation_folds": _folds() + f" SELECT configuration, method, k, window_length, fold, n_forecasts, {_r('mean_pinball exceedance_rate mean_var mean_scenarios worst_pinball')}, CASE WHEN fold IS NULL THEN 'infeasible' ELSE 'completed' END AS status FROM folds",
+    "validation_finalists": _finalists(),
+    "selection_stability": _stability(),
+    "evaluation_summary": f"{_evaluated()} SELECT radius, configuration, count(*) AS n, {SUMMARY} FROM s GROUP BY 1, 2",
+    "gap_comparison": f"{_evaluated()} SELECT radius, configuration, count(*) AS n_dates, {_means(mean_pinball='avg(pinball)', exceedance_rate='avg(hit)', mean_var='avg(var)', mean_es='avg(es)')} FROM s WHERE radius > 0 GROUP BY 1, 2",
+    "evaluation_matrix": f"{_evaluated()} SELECT radius, date, " + ", ".join(f"round(max(pinball) FILTER (configuration = '{c}'), 8) + 0.0 AS {c}" for c in ("rolling_hs_w250", "gap_hs_w250_r125", "w_euclidean_l20_k50")) + " FROM s GROUP BY 1, 2",
+    "neighbour_profile": _profile(),
+    "verification": _verification(),
+    "synthetic_series": regions_sql(),
+}

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from hindcast.config import SPLITS, STATE
 from hindcast.functions import scores as S
+from hindcast.operators import checks as C
+from hindcast.operators import demo
 from hindcast.operators import diagnostics as D
 from hindcast.operators import inference as I
 from hindcast.operators import models as M
 from hindcast.operators import retrieval as R
 from hindcast.operators import topology as T
 from hindcast.plans import backtest as B
+from hindcast.plans import suites
 from hindcast.sources import panel as P
+from hindcast.sources import synthetic
+from hindcast.sources.files import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 SIZE, K = 20, 50
@@ -96,6 +101,11 @@ _knn("fpca_forecasts", metric=R.fpca(5))
 _knn("zfpca_forecasts", metric=R.fpca(5), z=True)
 
 
+def _topology(p: DataFrame, size: int, k: int, **how) -> DataFrame:
+    """Retrieval by landscapes that are computed once for each panel, whatever asks for them."""
+    return T.topology_knn(p, size, k, features=stored(p.sparkSession, f"landscapes-{size}", P.version(p), lambda: T.landscapes(p, size)), **how)
+
+
 def _state_knn(name: str, make) -> None:
     def f(spark, sf_dir):
         p = _state(spark, sf_dir)
@@ -108,7 +118,7 @@ _state_knn("state_knn_forecasts", lambda p: M.state_knn(p, K, queries=TEST))
 _state_knn("state_knn_radius125", lambda p: M.state_knn(p, K, radius=125, queries=TEST))
 _state_knn("mahalanobis_forecasts", lambda p: M.state_knn(p, K, queries=TEST, metric=R.mahalanobis))
 _state_knn("random_knn_forecasts", lambda p: M.random_knn(p, K, queries=TEST))
-_state_knn("topology_forecasts", lambda p: T.topology_knn(p, 60, K, queries=TEST))
+_state_knn("topology_forecasts", lambda p: _topology(p, 60, K, queries=TEST))
 
 
 _state_knn("rolling_hs_forecasts", lambda p: M.rolling_hs(p, 250, queries=TEST))
@@ -262,8 +272,8 @@ def randomisation_test(spark, sf_dir):
     return D.randomisation_p(D.null_scores(D.drawn(p, K, NULL_DRAWS, queries=TEST), p), real)
 
 
-_state_knn("topology_blend_forecasts", lambda p: T.topology_knn(p, 60, K, queries=TEST, alpha=0.5))
-_state_knn("topology_placebo_forecasts", lambda p: T.topology_knn(p, 60, K, queries=TEST, placebo_seed=20260426))
+_state_knn("topology_blend_forecasts", lambda p: _topology(p, 60, K, queries=TEST, alpha=0.5))
+_state_knn("topology_placebo_forecasts", lambda p: _topology(p, 60, K, queries=TEST, placebo_seed=20260426))
 
 
 @query
@@ -275,7 +285,7 @@ def topology_components(spark, sf_dir):
 @query
 def permuted_topology_control(spark, sf_dir):
     p = _state(spark, sf_dir)
-    return D.null_scores(T.topology_knn(p, 60, K, queries=TEST, control_seed=1, draws=NULL_DRAWS), p)
+    return D.null_scores(_topology(p, 60, K, queries=TEST, control_seed=1, draws=NULL_DRAWS), p)
 
 
 @query
@@ -326,3 +336,98 @@ def lineitem_rollup(spark, sf_dir):
     j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     j = j.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy(F.col("r_name").alias("region"), F.year("l_shipdate").cast("long").alias("year")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+EVALUATED = ["rolling_hs_w250", "gap_hs_w250_r125", "w_euclidean_l20_k50"]
+
+
+@query
+def validation_folds(spark, sf_dir):
+    """Registered candidates by year, those without a forecast being infeasible."""
+    out = suites.fold_summary(_state(spark, sf_dir), suites.registry(), TEST, F.year("date"))
+    return rounded(out.select("configuration", "method", "k", "window_length", "fold", "n_forecasts", "mean_pinball", "exceedance_rate", "mean_var", "mean_scenarios", "worst_pinball", "status"))
+
+
+@query
+def validation_finalists(spark, sf_dir):
+    return rounded(suites.finalists(suites.fold_summary(_state(spark, sf_dir), suites.registry(), TEST, F.year("date"))))
+
+
+@query
+def selection_stability(spark, sf_dir):
+    return rounded(D.selection_stability(_models(spark, sf_dir)[0], F.quarter("date")))
+
+
+def _evaluation(spark, sf_dir) -> DataFrame:
+    return suites.evaluation(_state(spark, sf_dir), EVALUATED, (0, 125), TEST)
+
+
+@query
+def evaluation_summary(spark, sf_dir):
+    return rounded(D.summary(_evaluation(spark, sf_dir), "radius", "configuration"))
+
+
+@query
+def gap_comparison(spark, sf_dir):
+    return rounded(suites.gap_comparison(_evaluation(spark, sf_dir), EVALUATED))
+
+
+@query
+def evaluation_matrix(spark, sf_dir):
+    return rounded(suites.matrix(_evaluation(spark, sf_dir), ["radius"], EVALUATED))
+
+
+@query
+def inference_tables(spark, sf_dir):
+    return I.backtest_tables(_models(spark, sf_dir)[0], ["model"], "date", draws=RESAMPLES)
+
+
+@query
+def paired_by_radius(spark, sf_dir):
+    """Each radius' configurations against one of them, with intervals and Holm's p-values within the radius."""
+    pairs = suites.against(_evaluation(spark, sf_dir), "w_euclidean_l20_k50", "radius")
+    return I.paired_tables(pairs, ["radius", "configuration"], ["radius"], "date", draws=RESAMPLES)
+
+
+@query
+def range_confidence_set(spark, sf_dir):
+    return I.range_confidence_set(_models(spark, sf_dir)[0], "date", "model", "pinball", draws=RESAMPLES)
+
+
+@query
+def null_draws(spark, sf_dir):
+    return suites.null_draws(_panel(spark, sf_dir), K, NULL_DRAWS, (0, 125), TEST, (20,))
+
+
+@query
+def null_summary(spark, sf_dir):
+    return suites.null_summary(null_draws(spark, sf_dir))
+
+
+@query
+def neighbour_profile(spark, sf_dir):
+    p = _panel(spark, sf_dir)
+    return rounded(D.profile(M.window_knn(p, SIZE, K, queries=TEST), oldest=SIZE))
+
+
+@query
+def verification(spark, sf_dir):
+    p = _panel(spark, sf_dir)
+    found = M.window_knn(p, SIZE, K, radius=125, queries=TEST)
+    last = p.groupBy("series").agg(F.max("pos").alias("last"))
+    return C.report(
+        C.unique(p, "positions are unique", "series", "pos"), C.unique(p, "dates are unique", "series", "date"),
+        C.holds(p.join(last, "series"), "only the last day lacks a next loss", "next_loss is not null or pos = last"), C.isolated(found, "neighbours keep their distance", 125),
+        C.among(found, p.where(f"pos >= {SIZE}"), "neighbours have whole windows"), C.group_counts(found.select("series", "t", F.explode("neighbours")), "queries have equally many neighbours", ["series", "t"]),
+    )
+
+
+@query
+def synthetic_series(spark, sf_dir):
+    return rounded(synthetic.regions(spark), 10)
+
+
+@query
+def demo_retrieval(spark, sf_dir):
+    """Nearest windows of a made-up series by warping and by landscapes."""
+    return demo.retrieval(synthetic.regions(spark))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import logging
+import os
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +64,53 @@ def write_by(df: DataFrame, path: str, *keys: str) -> None:
 def span_metadata(df: DataFrame, date: str = "date") -> dict[str, object]:
     r = df.agg(F.min(date).alias("first"), F.max(date).alias("last"), F.count("*").alias("rows")).first()
     return {"first": str(r["first"]), "last": str(r["last"]), "rows": r["rows"]}
+
+
+def write_metadata(df: DataFrame, path: str, date: str = "date", **more: object) -> None:
+    """``span_metadata`` and what else is given, as one JSON file on the driver."""
+    import json
+
+    with open(path, "w") as f:
+        json.dump(span_metadata(df, date) | more, f, indent=2, sort_keys=True)
+
+
+def log_to(path: str) -> logging.Logger:
+    """A log that is appended to a file."""
+    log = logging.getLogger(f"hindcast.{path}")
+    if not log.handlers:
+        handler = logging.FileHandler(path, mode="a")
+        handler.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
+    return log
+
+
+def read_panel_csv(spark: SparkSession, path: str, columns: list[str], state: list[str] = ()) -> DataFrame:
+    """A panel of ``date`` and doubles from a CSV file, plain or gzip, by position; ``valid_state`` tells whether all of ``state`` are there and finite."""
+    from pyspark.sql import Window
+
+    from hindcast.functions.scores import finite
+
+    p = require(read_csv(spark, path, "date date, " + ", ".join(f"`{c}` double" for c in columns)), ["date", *state])
+    ok = F.lit(True)
+    for c in state:
+        ok = ok & finite(f"`{c}`")
+    by = Window.partitionBy("series").orderBy("date")
+    p = p.withColumn("series", F.lit("all")).withColumn("pos", (F.row_number().over(by) - 1).cast("long"))
+    return p.withColumn("valid_state", ok)
+
+
+def stored(spark: SparkSession, name: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is computed once for a version of its inputs and read from the shared folder after that.
+
+    Without ``spark.checkpoint.dir`` nothing is kept.  A table that is not whole has no ``_SUCCESS`` and is built anew.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return build()
+    path = f"{base.rstrip('/')}/hindcast-store/{name}-{hashlib.sha256(version.encode()).hexdigest()[:16]}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

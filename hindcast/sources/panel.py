@@ -16,6 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def version(df: DataFrame) -> str:
+    """Tells one state of the input files of ``df`` from another: their paths, sizes and times."""
+    spark = df.sparkSession
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(out)
+
+
 def aligned(base: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
     """``other`` on the calendar of ``base``, gaps filled with the last value before."""
     by = Window.partitionBy("series").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
