@@ -128,11 +128,11 @@ def site_rates(labelled: DataFrame, shared: B.Shared) -> DataFrame:
         """Moments: with rates p of n labels around m, sum n (p - m)^2 is (k - 1) m (1 - m) by noise alone."""
         out = []
         for t in TARGETS:
-            n, m, p = F.col(f"{t}_n"), F.col(f"{t}_all"), F.col(t) / F.col(f"{t}_n")
+            n, m, p = F.col(f"{t}_n"), F.col(f"{t}_all"), F.try_divide(F.col(t), F.col(f"{t}_n"))
             noise = F.max(m * (1 - m))
-            k, spread, mass = F.sum(F.when(n > 0, 1.0).otherwise(0.0)), F.sum(F.when(n > 0, n * (p - m) ** 2)), F.sum(n) - F.sum(n * n) / F.sum(n)
-            between = F.greatest((spread - (k - 1) * noise) / mass, noise * 1e-3)
-            out.append(F.coalesce(F.when((mass > 0) & (noise > 0), F.least(F.greatest(noise / between - 1, F.lit(1.0)), F.lit(1000.0))), F.lit(1000.0)).alias(f"{t}_k"))
+            k, spread, mass = F.sum(F.when(n > 0, 1.0).otherwise(0.0)), F.sum(F.when(n > 0, n * (p - m) ** 2)), F.sum(n) - F.try_divide(F.sum(n * n), F.sum(n))
+            between = F.greatest(F.try_divide(spread - (k - 1) * noise, mass), noise * 1e-3)
+            out.append(F.coalesce(F.when((mass > 0) & (noise > 0), F.least(F.greatest(F.try_divide(noise, between) - 1, F.lit(1.0)), F.lit(1000.0))), F.lit(1000.0)).alias(f"{t}_k"))
         return level.crossJoin(F.broadcast(total)).agg(*out)
 
     rate = lambda t, parent: ((F.coalesce(F.col(t), F.lit(0.0)) + F.col(f"{t}_k") * F.col(parent)) / (F.col(f"{t}_n") + F.col(f"{t}_k"))).alias(f"{t}_rate")
