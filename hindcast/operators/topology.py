@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -196,13 +196,13 @@ def placebo(features, seed: int):
     return run
 
 
-def topology_knn(panel: DataFrame, size: int, k: int, radius: int = 0, queries="true", t: Topology = TOPOLOGY, mode: str = "h1_weighted", alpha: float = 0.0, state: tuple[str, ...] = STATE, columns: tuple[str, ...] = ("ret",), placebo_seed: int | None = None, control_seed: int | None = None, draws: int | None = None, features: DataFrame | None = None) -> DataFrame:
-    """Retrieval by landscapes, each coordinate scaled by the query's eligible history; ``features`` are those of ``landscapes`` if they are at hand.
+def topology_knn(panel: DataFrame, size: int, k: int, radius: int = 0, queries="true", t: Topology = TOPOLOGY, mode: str = "h1_weighted", alpha: float = 0.0, state: tuple[str, ...] = STATE, columns: tuple[str, ...] = ("ret",), placebo_seed: int | None = None, control_seed: int | None = None, draws: int | None = None, features: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Retrieval by landscapes, each coordinate scaled by the query's eligible history; ``features`` gives those of ``landscapes`` where they are at hand.
 
     Days need all of ``state``, whatever ``alpha``.  With ``placebo_seed`` features are dealt anew over all days;
     with ``control_seed`` and ``draws`` over each query's eligible ones, once a draw.
     """
-    f, n = landscapes(panel, size, t, mode, columns) if features is None else features, width(t, mode)
+    f, n = landscapes(panel, size, t, mode, columns) if features is None else features(), width(t, mode)
     wide = panel.join(f, ["series", "pos"], "left").withColumn("feature", F.coalesce("feature", F.array_repeat(F.lit(float("nan")), n)))
     shape = lambda s: s["feature"].reshape(-1, n)
     shape = shape if placebo_seed is None else placebo(shape, placebo_seed)

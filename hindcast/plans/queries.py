@@ -103,7 +103,7 @@ _knn("zfpca_forecasts", metric=R.fpca(5), z=True)
 
 def _topology(p: DataFrame, size: int, k: int, **how) -> DataFrame:
     """Retrieval by landscapes that are computed once for each panel, whatever asks for them."""
-    return T.topology_knn(p, size, k, features=stored(p.sparkSession, f"landscapes-{size}", P.version(p), lambda: T.landscapes(p, size)), **how)
+    return T.topology_knn(p, size, k, features=lambda: stored(p.sparkSession, f"landscapes-{size}", P.version(p), lambda: T.landscapes(p, size)), **how)
 
 
 def _state_knn(name: str, make) -> None:

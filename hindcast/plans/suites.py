@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from hindcast.operators import diagnostics as D
 from hindcast.operators import models as M
 from hindcast.plans import backtest as B
-from hindcast.sources.files import SchemaError
+from hindcast.sources.files import SchemaError, stored
+from hindcast.sources.panel import version
 
 REGISTRY = os.path.join(os.path.dirname(os.path.abspath(__file__)), "candidates.csv")
 # A registry's columns.
@@ -97,7 +98,9 @@ def null_draws(panel: DataFrame, k: int, draws: int, radii: tuple[int, ...], que
     """A row a radius, draw and k: scores of random neighbours and a checksum of them; a smaller k is a prefix of the same draw."""
     out = []
     for radius in radii:
-        found = D.drawn(panel, k, draws, radius, queries, seed)
+        build = lambda r=radius: D.drawn(panel, k, draws, r, queries, seed).select("series", "t", "draw", "neighbours", "losses")
+        state = version(panel)
+        found = stored(panel.sparkSession, f"nulls-{k}-{draws}-{radius}-{seed}", state and f"{state}\n{queries}", build)
         for each in sorted({k, *ks}):
             mine = found.withColumns({"neighbours": F.slice("neighbours", 1, each), "losses": F.slice("losses", 1, each)})
             scores = D.null_scores(mine, panel).join(D.checksums(mine, "series", "draw"), ["series", "draw"])

@@ -103,10 +103,10 @@ def read_panel_csv(spark: SparkSession, path: str, columns: list[str], state: li
 def stored(spark: SparkSession, name: str, version: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A table that is computed once for a version of its inputs and read from the shared folder after that.
 
-    Without ``spark.checkpoint.dir`` nothing is kept.  A table that is not whole has no ``_SUCCESS`` and is built anew.
+    Without ``spark.checkpoint.dir``, or a version, nothing is kept.  A table that is not whole has no ``_SUCCESS`` and is built anew.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base or not version:
         return build()
     path = f"{base.rstrip('/')}/hindcast-store/{name}-{hashlib.sha256(version.encode()).hexdigest()[:16]}"
     jvm = spark.sparkContext._jvm
