@@ -43,56 +43,51 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
         return np.zeros((0, 2)), np.zeros((0, 2))
     d = np.sqrt(((cloud[:, None] - cloud[None]) ** 2).sum(axis=2))
     i, j = np.triu_indices(n, 1)
-    order = np.lexsort((j, i, d[i, j]))
+    order = np.argsort(d[i, j], kind="stable")
     i, j = i[order], j[order]
     length, far = d[i, j], d.max(axis=1).min()
-    rank = np.full((n, n), -1)
+    rank = np.full((n, n), -1, np.int32 if len(i) < 1 << 30 else np.int64)
     rank[i, j] = rank[j, i] = np.arange(len(i))
-    root, joins = list(range(n)), []
-
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        return a
-
-    for e, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[rb] = ra
-            joins.append(e)
-            if len(joins) == n - 1:
-                break
+    joins = spanning(rank)
     h0 = np.array([(0.0, length[e]) for e in joins if length[e] > tiny]).reshape(-1, 2)
     edges = int(np.searchsorted(length, far, "right"))
     if n < 3 or edges < 3:
         return h0, np.zeros((0, 2))
-    none = len(i) * n
-
-    def columns(e: np.ndarray) -> np.ndarray:
-        """Triangles on each edge, by the third corner; ``none`` for no triangle."""
-        a, b = i[e][:, None], j[e][:, None]
-        ra, rb, v = rank[i[e]], rank[j[e]], np.arange(n)[None]
-        most = np.maximum(np.maximum(ra, rb), e[:, None])
-        corner = np.where(most == e[:, None], v, np.where(most == ra, b, a))
-        return np.where((v == a) | (v == b) | (most >= edges), none, most * n + corner)
-
-    pivot = np.concatenate([columns(np.arange(lo, min(lo + 2048, edges))).min(axis=1) for lo in range(0, edges, 2048)])
-    ready = pivot // n == np.arange(edges)
-    todo = ~ready
+
+    apex = np.full(len(i), -1)
+    for a in range(n - 1):  # of each edge the first corner whose other two edges are shorter
+        mine = rank[a, a + 1 :]
+        shorter = np.maximum(rank[a], rank[a + 1 :]) < mine[:, None]
+        v = shorter.argmax(axis=1)
+        apex[mine] = np.where(shorter[np.arange(len(v)), v], v, -1)
+    apex = apex[:edges]
+    todo = apex < 0
     todo[[e for e in joins if e < edges]] = False
+    apex, ends = apex.tolist(), list(zip(i[:edges].tolist(), j[:edges].tolist()))
+    corners = np.arange(n)
+
+    def column(e: int) -> list[int]:
+        """Triangles on an edge, by their longest edge and the corner opposite."""
+        a, b = ends[e]
+        ra, rb = rank[a], rank[b]
+        most = np.maximum(np.maximum(ra, rb), e)
+        corner = np.where(most == e, corners, np.where(most == ra, b, a))
+        in_reach = most < edges
+        in_reach[a] = in_reach[b] = False
+        return (most * np.int64(n) + corner)[in_reach].tolist()
+
     owner: dict[int, list[int]] = {}
     bars = []
     for e in np.flatnonzero(todo)[::-1].tolist():
-        got = columns(np.array([e]))[0]
-        heap, made = got[got < none].tolist(), [e]
+        heap, made = column(e), [e]
         heapq.heapify(heap)
         while heap:
             low = heapq.heappop(heap)
             if heap and heap[0] == low:  # twice is not at all
                 heapq.heappop(heap)
                 continue
-            by = low // n
-            other = [by] if ready[by] and pivot[by] == low else owner.get(low)
+            by, v = divmod(low, n)
+            other = [by] if apex[by] == v else owner.get(low)
             if other is None:
                 owner[low] = made
                 if length[by] > length[e] + tiny:
@@ -100,12 +95,26 @@ def persistence(cloud: np.ndarray, tiny: float = 1e-12) -> tuple[np.ndarray, np.
                 break
             heapq.heappush(heap, low)
             made += other
-            more = columns(np.array(other))
-            for x in more[more < none].tolist():
-                heapq.heappush(heap, x)
+            for o in other:
+                for x in column(o):
+                    heapq.heappush(heap, x)
     return h0, np.array(bars).reshape(-1, 2)
 
 
+def spanning(rank: np.ndarray) -> list[int]:
+    """The ranks of the edges that join components when edges come in order of rank, by growing a tree."""
+    near, out = rank[0].copy(), []
+    most = np.iinfo(rank.dtype).max
+    left = np.ones(len(rank), bool)
+    left[0] = False
+    for _ in range(len(rank) - 1):
+        v = int(np.where(left, near, most).argmin())
+        out.append(int(near[v]))
+        left[v] = False
+        np.minimum(near, rank[v], out=near)
+    return sorted(out)
+
+
 def layers(bars: np.ndarray, grid: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` greatest tents at each point of the grid, greatest first."""
     tents = np.zeros((n, len(grid)))
