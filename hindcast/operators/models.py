@@ -11,6 +11,8 @@ from hindcast.config import RISK, STATE, Risk
 from hindcast.functions.scores import array_quantile, finite, fz0, pinball, tail_mean
 from hindcast.operators import retrieval as R
 
+RANDOM_SEED = 20260426
+
 
 def risk(scenarios: DataFrame, *keys: str, risk: Risk = RISK, losses: str = "losses") -> DataFrame:
     """Value at risk, expected shortfall and how many scenarios they are from; ``keys`` stay."""
@@ -95,11 +97,19 @@ def window_knn(panel: DataFrame, size: int, k: int, radius: int = 0, queries="tr
     return R.retrieve(panel, metric, R.window_features(size, z), ("ret",), k, radius, queries)
 
 
-def random_knn(panel: DataFrame, k: int, radius: int = 0, queries="true", seed: int = 20260426, columns: tuple[str, ...] = STATE) -> DataFrame:
-    """``k`` eligible days at random, by a generator of its own for each query."""
+def scattered(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit values, held in 64 bits, that scatters them; two rounds of shift and product."""
+    mask = np.uint64(0xFFFFFFFF)
+    for shift, times in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = ((x ^ (x >> np.uint64(shift))) * np.uint64(times)) & mask
+    return x ^ (x >> np.uint64(16))
+
+
+def random_knn(panel: DataFrame, k: int, radius: int = 0, queries="true", seed: int = RANDOM_SEED, columns: tuple[str, ...] = STATE) -> DataFrame:
+    """``k`` eligible days at random, by a hash of the query, the day and ``seed``."""
 
     def draw(f: np.ndarray, t: int, c: np.ndarray) -> np.ndarray:
-        return np.random.default_rng(seed + t).permutation(len(c)).astype(float)
+        return scattered((c.astype(np.uint64) + np.uint64((t * 2654435761 + seed) % (1 << 32))) & np.uint64(0xFFFFFFFF)).astype(float)
 
     return R.retrieve(panel, draw, R.state_features(columns), columns, k, radius, queries)
 

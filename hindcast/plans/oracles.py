@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hindcast.config import RISK, SPLITS, STATE, WEIGHTS
+from hindcast.operators.models import RANDOM_SEED
 from hindcast.plans.queries import K, SIZE
 from hindcast.plans.suites import registry
 from hindcast.sources.synthetic import regions_sql
@@ -61,6 +62,32 @@ nn AS (SELECT q.pos AS t, c.pos AS s, c.next_loss AS loss, row_number() OVER (PA
   WHERE q.date >= DATE '{SPLITS.test}' AND q.ratio IS NOT NULL QUALIFY rank <= {K})"""
 
 
+def _mahalanobis() -> str:
+    """Covariances of the query's eligible history, factored column by column; a distance is that of the solved differences."""
+    n, good = len(STATE), " AND ".join(f"{c} IS NOT NULL" for c in STATE)
+    by = "(ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    kept = ", ".join(f"CASE WHEN {good} THEN {c} END AS x{i}" for i, c in enumerate(STATE))
+    scales = ", ".join(f"CASE WHEN stddev_pop(x{i}) OVER {by} > 1e-8 THEN stddev_pop(x{i}) OVER {by} ELSE 1 END AS s{i}" for i in range(n))
+    covs = ", ".join(f"covar_pop(x{i}, x{j}) OVER {by} AS c{i}{j}" for i in range(n) for j in range(i + 1))
+    factor = []
+    for j in range(n):
+        for i in range(j, n):
+            a = f"c{i}{j} / (s{i} * s{j})" + (" + 1e-6" if i == j else "") + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            factor.append(f"sqrt({a}) AS l{i}{j}" if i == j else f"({a}) / l{j}{j} AS l{i}{j}")
+    solved = ", ".join(f"((c.x{i} - q.x{i}) / q.s{i}" + "".join(f" - q.l{i}{k} * y{k}" for k in range(i)) + f") / q.l{i}{i} AS y{i}" for i in range(n))
+    return f""", v AS (SELECT pos, date, next_loss, {kept} FROM state), m AS (SELECT *, {scales}, {covs} FROM v), f AS (SELECT *, {", ".join(factor)} FROM m WHERE date >= DATE '{SPLITS.test}' AND x0 IS NOT NULL),
+y AS (SELECT q.pos AS t, c.pos AS s, c.next_loss AS loss, {solved} FROM f q JOIN v c ON c.pos < q.pos AND c.x0 IS NOT NULL),
+nn AS (SELECT t, s, loss, row_number() OVER (PARTITION BY t ORDER BY {" + ".join(f"y{i} * y{i}" for i in range(n))}, s) AS rank FROM y QUALIFY rank <= {K})"""
+
+
+def _random() -> str:
+    """Eligible days by a hash of query and day."""
+    good, mask = " AND ".join(f"{c} IS NOT NULL" for c in STATE), "4294967295::UBIGINT"
+    return f""", v AS (SELECT pos, date, next_loss FROM state WHERE {good}), h0 AS (SELECT q.pos AS t, c.pos AS s, c.next_loss AS loss, ((q.pos * 2654435761 + c.pos + {RANDOM_SEED}) % 4294967296)::UBIGINT AS h FROM v q JOIN v c ON c.pos < q.pos WHERE q.date >= DATE '{SPLITS.test}'),
+h1 AS (SELECT * REPLACE (((xor(h, h >> 16) * 2146121005::UBIGINT) & {mask}) AS h) FROM h0), h2 AS (SELECT * REPLACE (((xor(h, h >> 15) * 2221713035::UBIGINT) & {mask}) AS h) FROM h1),
+nn AS (SELECT t, s, loss, row_number() OVER (PARTITION BY t ORDER BY xor(h, h >> 16), s) AS rank FROM h2 QUALIFY rank <= {K})"""
+
+
 HS = ", known AS (SELECT pos, loss, row_number() OVER (ORDER BY pos) AS i FROM panel WHERE loss IS NOT NULL)"
 
 
@@ -116,6 +143,8 @@ SQL = {
     "zwindow_knn_forecasts": _forecasts(PANEL + _nn(z=True)),
     "state_knn_forecasts": _forecasts(STATES + _state_nn(0)),
     "state_knn_radius125": _forecasts(STATES + _state_nn(125)),
+    "mahalanobis_forecasts": _forecasts(STATES + _mahalanobis()),
+    "random_knn_forecasts": _forecasts(STATES + _random()),
     "rolling_hs_forecasts": _forecasts(PANEL + HS + _hs(None)),
     "gap_hs_forecasts": _forecasts(PANEL + HS + _hs(125)),
     "regime_hs_forecasts": _forecasts(STATES + _regime()),
@@ -166,6 +195,15 @@ v AS (SELECT x.model, max(x.n) AS n, max(x.mean) AS mean, sum(x.e * y.e * CASE W
 z AS (SELECT *, mean / sqrt(variance / n) * sqrt((n - 1) / n::DOUBLE) AS dm FROM v) SELECT model, n, {_r('mean variance dm', 6)} FROM z"""
 
 
+def _holm() -> str:
+    """Two-sided normal p-values by Simpson's rule, then Holm's steps."""
+    area = "list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(least(abs(dm), 12) * i / 2000, 2) / 2)))"
+    p = f"greatest(0, 1 - 2 / sqrt(2 * pi()) * least(abs(dm), 12) / 6000 * {area})"
+    body = _comparison().rpartition(") SELECT ")[0]
+    return f"""{body}), p AS (SELECT model, n, mean, variance, dm, {p} AS p FROM z), k AS (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p, model) + 1) AS step FROM p)
+SELECT model, n, {_r('mean variance dm', 6)}, {_r('p', 5)}, round(least(1, max(step) OVER (ORDER BY p, model)), 5) + 0.0 AS holm FROM k"""
+
+
 def _overlap() -> str:
     z = _nn(z=True, name="nz").replace(" w0 AS", " z0 AS").replace("FROM w0", "FROM z0").replace(", w AS (SELECT", ", zw AS (SELECT").replace("FROM w q JOIN w c", "FROM zw q JOIN zw c")
     return f"""WITH {PANEL}{_nn()}{z}, m AS (SELECT t, count(*) AS m FROM nz GROUP BY t),
@@ -177,6 +215,7 @@ SQL |= {
     "model_winners": _winners(),
     "coverage_tests": _coverage(),
     "paired_comparison": _comparison(),
+    "paired_holm": _holm(),
     "neighbour_overlap": _overlap(),
     "chosen_delay": f"WITH mi AS ({SQL['mutual_information']}), dips AS (SELECT *, mi <= lag(mi) OVER w AND mi <= lead(mi) OVER w AS dip FROM mi WINDOW w AS (ORDER BY tau)) SELECT 'all' AS series, coalesce(min(tau) FILTER (dip), arg_min(tau, mi)) AS tau FROM dips",
 }

@@ -179,7 +179,8 @@ def paired_comparison(spark, sf_dir):
 @query
 def paired_holm(spark, sf_dir):
     out = I.dm(_paired(spark, sf_dir), ["model"], "date").withColumn("all", F.lit(0))
-    return I.holm(out, ["all"]).drop("all")
+    out = I.holm(out, ["all"]).withColumn("variance", F.col("variance").cast("double"))
+    return rounded(out.select("model", "n", "mean", "variance", "dm", F.round("p", 5).alias("p"), F.round("holm", 5).alias("holm")), 6)
 
 
 @query

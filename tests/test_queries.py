@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["daily_panel", "state_panel", "window_knn_var", "rolling_hs_forecasts", "regime_hs_forecasts", "fhs_ewma_forecasts", "state_knn_forecasts", "mutual_information", "skipped_forecasts", "coverage_tests", "paired_comparison", "backtest_summary", "backtest_skips"]
+NAMES = ["daily_panel", "state_panel", "window_knn_var", "rolling_hs_forecasts", "regime_hs_forecasts", "fhs_ewma_forecasts", "state_knn_forecasts", "mutual_information", "skipped_forecasts", "coverage_tests", "paired_comparison", "paired_holm", "mahalanobis_forecasts", "random_knn_forecasts", "backtest_summary", "backtest_skips"]
 
 
 @pytest.mark.parametrize("name", NAMES)
