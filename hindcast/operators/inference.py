@@ -25,14 +25,25 @@ def _ll(p: Column, yes: Column, no: Column) -> Column:
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function of non-negative values (Numerical Recipes' rational Chebyshev form, 1.2e-7)."""
-    t = 1 / (1 + 0.5 * x)
-    # Coefficients of that form.
-    c = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
-    poly = F.lit(c[-1])
-    for a in reversed(c[:-1]):
-        poly = poly * t + a
-    return t * F.exp(-x * x + poly)
+    """Complementary error function of non-negative values (Cody's three rational forms, to some 1e-15 of the value)."""
+    # Coefficients of those forms, highest power first, for up to 0.46875, up to 4 and beyond.
+    a = (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
+    b = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
+    c = (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3)
+    d = (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3)
+    p = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4)
+    q = (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
+
+    def poly(coefficients: tuple[float, ...], at: Column) -> Column:
+        out = F.lit(coefficients[0])
+        for k in coefficients[1:]:
+            out = out * at + k
+        return out
+
+    square = x * x
+    tail = (1 / math.sqrt(math.pi) - poly(p, 1 / square) / poly(q, 1 / square) / square) / x
+    middle = F.exp(-square) * F.when(x <= 4, poly(c, x) / poly(d, x)).otherwise(tail)
+    return F.when(x <= 0.46875, 1 - x * poly(a, square) / poly(b, square)).otherwise(middle)
 
 
 def chi2_p(stat: Column, df: int) -> Column:

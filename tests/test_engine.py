@@ -110,6 +110,13 @@ def test_coverage_matches_plain_formulas(spark):
     assert got.uc_p == pytest.approx(math.erfc(math.sqrt(got.uc / 2)), abs=1e-6)
 
 
+def test_erfc_is_that_of_double_precision(spark):
+    xs = [*np.linspace(0, 6, 121).tolist(), 1e-300, 0.46875, 0.468751, 4.0, 4.0001, 12.0, 26.0, 30.0, math.inf]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", I.erfc(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erfc(r.x), rel=1e-12, abs=1e-300) for r in got)
+    assert spark.sql("SELECT CAST(NULL AS double) AS x").select(I.erfc(F.col("x"))).first()[0] is None
+
+
 def test_long_run_variance_and_holm(spark):
     x = RNG.normal(size=150)
     d = spark.createDataFrame([("m", i, float(v)) for i, v in enumerate(x)], "model string, i long, d double")
