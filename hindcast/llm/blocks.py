@@ -155,6 +155,17 @@ class Block:
         return pa.ipc.open_stream(self.carried).read_all().column(0).combine_chunks().cast(to_arrow_type(kind))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches end at ``BLOCK_BYTES``, unless it has a limit of its own.
+
+    Spark's 10,000 rows may be any number of bytes; the JVM doubles a column's memory until they fit and the worker
+    holds them again, neither of which is of the heap.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BLOCK_BYTES))
+
+
 def stream(arrays: list[pa.Array]) -> bytes:
     """Arrays as one Arrow stream; nothing for none."""
     if not arrays:

@@ -198,13 +198,15 @@ def _label(model: Model | None, fold: int, of: int):
     return run
 
 
-def _beside(model: Model | None, names: list[str]):
+def _beside(model: Model | None, names: list[str], at: list[int]):
+    """``at``: which column of a batch each of ``names`` is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, lo in B.within(b):
                 pred, score, _ = label(model, block)
                 mine = b.slice(lo, len(block))
-                yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in range(2, mine.num_columns)), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(mine.column(c) for c in at), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     return run
 
@@ -256,11 +258,16 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` beside its columns; columns so named are replaced.  Nothing is shuffled."""
+    """``docs`` with ``lang_pred`` and ``score`` beside its columns; columns so named are replaced.  Nothing is shuffled.
+
+    A text that is a string goes to the workers once, as the column that it is and as what is read.
+    """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)))
+    rest = [c for c in keep if c != text or docs.schema[text].dataType != StringType()]
+    at = [2 + rest.index(c) if c in rest else 1 for c in keep]
+    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)))
     schema = StructType([*(docs.schema[c] for c in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_beside(model, keep), schema)
+    return rows.mapInArrow(_beside(model, keep, at), schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

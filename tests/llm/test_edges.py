@@ -242,3 +242,27 @@ def test_each_stage_against_a_plain_version(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
     assert sorted(map(tuple, stages["mixing"](spark, docs, DIR).select("doc_id", "copies").collect())) == sorted(con.sql(mixing.mix_sql(columns="doc_id, copies")).fetchall())
+
+
+def test_stages_send_a_text_once_in_bounded_batches(spark, monkeypatch):
+    import corpus_pipeline
+    import pyarrow as pa
+
+    def sized(model, names, *_):  # each row gets the bytes of its batch
+        def run(batches):
+            for b in batches:
+                n = [b.nbytes] * b.num_rows
+                yield pa.RecordBatch.from_arrays([*(pa.array(n) if c in ("doc_id", "n_chars") else pa.array(["x"] * b.num_rows) for c in names), pa.array(["x"] * b.num_rows), pa.array([1.0] * b.num_rows)], [*names, "lang_pred", "score"])
+
+        return run
+
+    monkeypatch.setattr(lid, "_beside", sized)
+    monkeypatch.setattr(lid, "learn", lambda docs: None)
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('some words ', 10000)").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(110000).cast("long").alias("n_chars"))
+    try:
+        found = [r.n_chars for r in corpus_pipeline.identify_languages(spark, docs, "").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert len(found) == 200 and max(found) < B.BLOCK_BYTES + 300_000
+    assert max(found) > B.BLOCK_BYTES // 2  # no less than a block either
+    assert sum(1 / (n / 110_000) for n in found) < 3.5  # 22 MB of texts in three batches
